@@ -79,19 +79,23 @@ TIME_PARSED_SHARE = 0.25
 TIME_PARSED_ROWS = 5
 STRENGTH_LABELS = [(0.7, "very strong"), (0.5, "strong"), (0.3, "moderate"), (0.15, "weak")]
 
-# Date spellings tried in this order. A bare number or a month
-# name alone is not a date.
+# Date spellings tried in this order, each with the shape a text must
+# have before it is parsed. A bare number or a month name alone is not a date.
 DATE_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "M/d/yyyy",
-    "dd-MMM-yyyy",
-    "MMM d, yyyy",
-    "d MMM yyyy",
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}$", "yyyy-MM-dd'T'HH:mm:ss.SSS"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}$", "yyyy-MM-dd HH:mm:ss.SSS"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "MM/dd/yyyy HH:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{2}-[A-Z][a-z]{2}-\d{4}$", "dd-MMM-yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
 ]
 
 # Cohort questions.

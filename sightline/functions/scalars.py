@@ -99,8 +99,13 @@ def clean_key(df: DataFrame, name: str, sentinel: float = -1.0) -> Column:
     return F.when(number != F.lit(sentinel), number)
 
 
-def as_timestamp(df: DataFrame, name: str, formats: list[str] | None = None) -> Column:
-    """Timestamp of a temporal or text column; unparsable text becomes null."""
+def as_timestamp(
+    df: DataFrame, name: str, formats: list[tuple[str, str]] | None = None
+) -> Column:
+    """Timestamp of a temporal or text column; unparsable text becomes null.
+
+    A failed parse is costly, so each format only sees text of its shape.
+    """
     value, dtype = quoted(name), field_type(df, name)
     if is_temporal_type(dtype):
         return value.cast("timestamp_ntz")
@@ -110,11 +115,18 @@ def as_timestamp(df: DataFrame, name: str, formats: list[str] | None = None) ->
             "timestamp_ntz"
         )
     text = strip(value.cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in (formats or fv.DATE_FORMATS)]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    out = None
+    for shape, spelling in formats or fv.DATE_FORMATS:
+        fits, parsed = text.rlike(shape), F.try_to_timestamp(text, F.lit(spelling))
+        out = F.when(fits, parsed) if out is None else out.when(fits, parsed)
+    # Only text that starts like a date is tried at all.
+    likely = text.rlike(r"^(\d{1,4}[-/ ]|[A-Z][a-z]{2} \d)")
+    return F.when(likely, out).cast("timestamp_ntz")
 
 
-def day_number(df: DataFrame, name: str, formats: list[str] | None = None) -> Column:
+def day_number(
+    df: DataFrame, name: str, formats: list[tuple[str, str]] | None = None
+) -> Column:
     return F.unix_date(as_timestamp(df, name, formats).cast("date")).cast("double")
 
 
