@@ -181,8 +181,9 @@ def detect_target(roles: DataFrame, names: Sequence[str] = tuple(fv.TARGET_NAMES
             return name
     binary = [
         r["column"] for r in rows
-        if r["kind"] == "number" and r["beyond_binary"] == 0 and r["distinct"] == 2
-    ] + [r["column"] for r in rows if r["kind"] == "boolean" and r["distinct"] == 2]
+        if r["distinct"] == 2
+        and (r["kind"] == "boolean" or (r["kind"] == "number" and r["beyond_binary"] == 0))
+    ]
     for keyword in fv.TARGET_KEYWORDS:
         for name in binary:
             if keyword in name.lower():
