@@ -104,9 +104,11 @@ def _text_frame(
         .schema(T.StructType([*fields, T.StructField(RAW_LINE, T.StringType())]))
         .csv(path)
     )
-    return frame.where(
-        F.coalesce(field_count(F.col(RAW_LINE)) <= len(names), F.lit(True))
-    ).drop(RAW_LINE)
+    # The first field takes part because the raw line may not be read alone.
+    fits = F.coalesce(
+        field_count(F.col(RAW_LINE)) <= len(names), F.length("_c0") >= 0, F.lit(True)
+    )
+    return frame.where(fits).drop(RAW_LINE)
 
 
 def field_count(line: Column) -> Column:
