@@ -134,10 +134,12 @@ def add_burden(
     present = [c for c in indicators if c in df.columns]
     if not present:
         return df
-    df = df.withColumns({c: as_number(df, c) for c in present})
+    words = {c: as_number(df, c) for c in present if not is_numeric_type(field_type(df, c))}
+    if words:
+        df = df.withColumns(words)
     score = F.lit(0.0)
     for c in present:
-        score = score + F.coalesce(F.col(c), F.lit(0.0))
+        score = score + F.coalesce(as_number(df, c), F.lit(0.0))
     return df.withColumn("social_determinant_score", score).withColumn(
         "high_social_determinant_burden", (F.col("social_determinant_score") >= cutoff).cast("int")
     )

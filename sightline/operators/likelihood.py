@@ -306,18 +306,15 @@ def model_likelihood(
         return {"model": FittedModel("refused", "No datasets available for modeling.")}
     name = largest_dataset(datasets).first()["dataset"]
     df = create_features(datasets[name])
-    roles = column_roles(df, name).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        target = detect_target(roles)
-        if target is None:
-            return {
-                "dataset": name,
-                "model": FittedModel("refused", "No target column was detected."),
-            }
-        features = detect_features(roles, target, (related or {}).get(name, ()))
-        group = detect_group(roles, target)
-    finally:
-        roles.unpersist()
+    roles = column_roles(df, name)
+    target = detect_target(roles)
+    if target is None:
+        return {
+            "dataset": name,
+            "model": FittedModel("refused", "No target column was detected."),
+        }
+    features = detect_features(roles, target, (related or {}).get(name, ()))
+    group = detect_group(roles, target)
     df = df.withColumn(target, as_number(df, target))
     return {
         "dataset": name,

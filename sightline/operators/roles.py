@@ -137,20 +137,24 @@ def settle_distinct(df: DataFrame, stats: DataFrame) -> DataFrame:
     ]
     if not unsure:
         return stats
-    exact = distinct_counts(df, unsure)
-    joined = stats.join(exact, "column", "left")
-    return joined.select(
-        *[
-            F.coalesce("distinct_count", "distinct").alias("distinct")
-            if c == "distinct"
-            else F.col("distinct_count").isNotNull().alias(c)
-            if c == "distinct_is_exact"
-            else F.col(c)
-            for c in stats.columns
-        ]
+    exact = {r["column"]: r["distinct_count"] for r in distinct_counts(df, unsure).collect()}
+    counts = F.create_map(*[F.lit(x) for c in unsure for x in (c, exact.get(c, 0))])
+    return stats.withColumns(
+        {
+            "distinct": F.coalesce(counts[F.col("column")], F.col("distinct")),
+            "distinct_is_exact": F.col("column").isin(unsure),
+        }
     )
 
 
+def as_local_table(small: DataFrame) -> DataFrame:
+    """A table that is collected once, so that using it again does not rescan data.
+
+    Only for metadata: one row per column, or a top-k report.
+    """
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
 # ------------------------------------------------------------------- roles
 
 
@@ -237,7 +241,12 @@ def column_roles(
     exact_distinct: bool = False,
     unique_ratio_rule: str = "all",
 ) -> DataFrame:
-    stats = column_stats(df, dataset, order_by, exact_distinct)
+    """Statistics, role and usability of every column.
+
+    The statistics, one row per column, are collected; the result is a local
+    table that roles, pairs and catalogues read as often as they like.
+    """
+    stats = as_local_table(column_stats(df, dataset, order_by, exact_distinct))
     if not exact_distinct:
         stats = settle_distinct(df, stats)
     return with_roles(stats, unique_ratio_rule)

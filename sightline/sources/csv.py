@@ -8,6 +8,7 @@ is padded. Types are decided on whole columns by one aggregation.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +33,20 @@ REPLACEMENT = "�"
 
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the CSV files directly in a folder; only names are listed, nothing is read."""
+    """Paths of the CSVs directly in a folder; only names are listed, nothing is read.
+
+    A CSV is a file or a folder of part files that ends in ``.csv``.
+    """
+    base = re.sub(r"^[a-zA-Z0-9]+:/*", "/", folder).rstrip("/")
+    child = F.regexp_extract("path", "^(.*" + re.escape(base) + r"/[^/]+\.csv)(/[^/]+)?$", 1)
     found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", "false")
+        .option("recursiveFileLookup", "true")
         .load(folder)
-        .select("path")
+        .select(child.alias("path"))
+        .where(F.col("path") != "")
+        .distinct()
     )
     return sorted(r["path"] for r in found.collect())
 
