@@ -36,9 +36,21 @@ def is_nested_type(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
 
 
+def ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
     """A column by its literal name, also when the name holds dots."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ident(name))
+
+
+def sql_text(value: str) -> str:
+    """A string literal."""
+    return "'" + "".join(
+        c if c.isalnum() or c in " _-.,:;()[]{}<>/|+*=!?#%&@~^$" else f"\\u{ord(c):04x}"
+        for c in value
+    ) + "'"
 
 
 def round_even(value: Column, digits: int) -> Column:
@@ -47,33 +59,45 @@ def round_even(value: Column, digits: int) -> Column:
     return F.rint(value * F.lit(scale)) / F.lit(scale)
 
 
-def is_missing(df: DataFrame, name: str) -> Column:
-    value = quoted(name)
+# The per-column rules below are SQL texts, because wide aggregates use them for
+# every column of a table; the functions next to them give the same as Columns.
+
+
+def missing_sql(df: DataFrame, name: str) -> str:
+    value = ident(name)
     if isinstance(field_type(df, name), (T.DoubleType, T.FloatType)):
-        return value.isNull() | F.isnan(value)
-    return value.isNull()
+        return f"({value} IS NULL OR isnan({value}))"
+    return f"({value} IS NULL)"
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    return F.expr(missing_sql(df, name))
+
+
+def strip_sql(value: str) -> str:
+    return f"btrim({value}, {sql_text(fv.WHITESPACE)})"
 
 
 def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(fv.WHITESPACE))
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """Numeric coercion: what is not a number becomes null, NaN included."""
-    value, dtype = quoted(name), field_type(df, name)
+def number_sql(df: DataFrame, name: str) -> str:
+    value, dtype = ident(name), field_type(df, name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+        return f"nanvl(CAST({value} AS DOUBLE), CAST(NULL AS DOUBLE))"
     if is_numeric_type(dtype) or isinstance(dtype, T.BooleanType):
-        return value.cast("double")
+        return f"CAST({value} AS DOUBLE)"
     if is_text_type(dtype):
-        return text_to_number(value)
-    return F.lit(None).cast("double")
+        # The pattern keeps out spellings the cast would accept, such as '5d'.
+        text = strip_sql(value)
+        return f"CASE WHEN {text} RLIKE r'{NUMBER_PATTERN}' THEN try_cast({text} AS DOUBLE) END"
+    return "CAST(NULL AS DOUBLE)"
 
 
-def text_to_number(value: Column) -> Column:
-    # The pattern keeps out spellings the cast would accept, such as '5d'.
-    text = strip(value)
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+def as_number(df: DataFrame, name: str) -> Column:
+    """Numeric coercion: what is not a number becomes null, NaN included."""
+    return F.expr(number_sql(df, name))
 
 
 def as_flag(df: DataFrame, name: str) -> Column:
@@ -99,6 +123,26 @@ def clean_key(df: DataFrame, name: str, sentinel: float = -1.0) -> Column:
     return F.when(number != F.lit(sentinel), number)
 
 
+def timestamp_sql(
+    df: DataFrame, name: str, formats: list[tuple[str, str]] | None = None
+) -> str:
+    value, dtype = ident(name), field_type(df, name)
+    if is_temporal_type(dtype):
+        return f"CAST({value} AS TIMESTAMP_NTZ)"
+    if is_numeric_type(dtype):
+        # A bare number counts nanoseconds since 1970.
+        micros = f"try_cast({number_sql(df, name)} / 1000 AS BIGINT)"
+        return f"CAST(timestamp_micros({micros}) AS TIMESTAMP_NTZ)"
+    text = strip_sql(f"CAST({value} AS STRING)")
+    tries = " ".join(
+        f"WHEN {text} RLIKE r'{shape}' THEN try_to_timestamp({text}, {sql_text(spelling)})"
+        for shape, spelling in formats or fv.DATE_FORMATS
+    )
+    # Only text that starts like a date is tried at all.
+    likely = f"{text} RLIKE r'^(\\d{{1,4}}[-/ ]|[A-Z][a-z]{{2}} \\d)'"
+    return f"CAST(CASE WHEN {likely} THEN CASE {tries} END END AS TIMESTAMP_NTZ)"
+
+
 def as_timestamp(
     df: DataFrame, name: str, formats: list[tuple[str, str]] | None = None
 ) -> Column:
@@ -106,22 +150,7 @@ def as_timestamp(
 
     A failed parse is costly, so each format only sees text of its shape.
     """
-    value, dtype = quoted(name), field_type(df, name)
-    if is_temporal_type(dtype):
-        return value.cast("timestamp_ntz")
-    if is_numeric_type(dtype):
-        # A bare number counts nanoseconds since 1970.
-        return F.timestamp_micros((as_number(df, name) / 1000).try_cast("bigint")).cast(
-            "timestamp_ntz"
-        )
-    text = strip(value.cast("string"))
-    out = None
-    for shape, spelling in formats or fv.DATE_FORMATS:
-        fits, parsed = text.rlike(shape), F.try_to_timestamp(text, F.lit(spelling))
-        out = F.when(fits, parsed) if out is None else out.when(fits, parsed)
-    # Only text that starts like a date is tried at all.
-    likely = text.rlike(r"^(\d{1,4}[-/ ]|[A-Z][a-z]{2} \d)")
-    return F.when(likely, out).cast("timestamp_ntz")
+    return F.expr(timestamp_sql(df, name, formats))
 
 
 def day_number(

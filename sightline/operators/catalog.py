@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 from sightline import fixed_values as fv
 from sightline.functions.scalars import round_even
 from sightline.operators.profile import shared_columns, union_all
-from sightline.operators.roles import column_roles
+from sightline.operators.roles import catalog_roles
 
 
 def build_catalog(datasets: dict[str, DataFrame], exact_distinct: bool = False) -> DataFrame:
-    """Column catalogue of all datasets: one aggregation pass over each."""
-    return union_all(
-        [column_roles(df, name, exact_distinct=exact_distinct) for name, df in datasets.items()]
-    )
+    """Column catalogue of all datasets: one aggregation pass over each, side by side."""
+    return catalog_roles(datasets, exact_distinct=exact_distinct)
 
 
 def concept_root(name: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sightline import fixed_values as fv
 from sightline.functions.quantiles import exact_median, ranked_values
-from sightline.functions.scalars import as_number, quoted
+from sightline.functions.scalars import as_number, ident, number_sql, quoted, sql_text
 from sightline.operators.features import (
     create_features,
     detect_features,
@@ -23,7 +23,7 @@ from sightline.operators.features import (
     detect_target,
     is_category,
 )
-from sightline.operators.profile import largest_dataset, union_all
+from sightline.operators.profile import largest_dataset, rows_sql, union_all
 from sightline.operators.roles import column_roles
 
 HASH_RANGE = 2**52
@@ -71,11 +71,10 @@ def impute_values(
     parts = []
     if categories:
         rows = [
-            F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value"))
-            for c in categories
+            {"column": sql_text(c), "value": f"CAST({ident(c)} AS STRING)"} for c in categories
         ]
         counts = (
-            df.select(F.inline(F.array(*rows)))
+            df.selectExpr(rows_sql(rows))
             .where(F.col("value").isNotNull())
             .groupBy("column", "value")
             .agg(F.count("*").alias("n"))
@@ -87,11 +86,9 @@ def impute_values(
             .select("column", F.col("best.value").alias("text_fill"))
         )
     if numbers:
-        rows = [
-            F.struct(F.lit(c).alias("column"), as_number(df, c).alias("x")) for c in numbers
-        ]
+        rows = [{"column": sql_text(c), "x": number_sql(df, c)} for c in numbers]
         parts.append(
-            exact_median(df.select(F.inline(F.array(*rows))), "x", ["column"]).withColumnRenamed(
+            exact_median(df.selectExpr(rows_sql(rows)), "x", ["column"]).withColumnRenamed(
                 "median", "number_fill"
             )
         )

@@ -4,31 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.quantiles import exact_quantiles
 from sightline.functions.scalars import (
-    as_number,
     field_type,
+    ident,
     is_missing,
     is_nested_type,
     is_numeric_type,
     is_temporal_type,
     is_text_type,
+    missing_sql,
+    number_sql,
     quoted,
+    sql_text,
 )
 
 SKETCH_SIZE = 16
 
 
-def unfold(one_row: DataFrame, measures: dict[str, dict[str, Column]], key: str) -> DataFrame:
-    """Turn one wide row into one row per entry: {entry: {field: column}}."""
-    rows = [
-        F.struct(F.lit(name).alias(key), *[c.alias(f) for f, c in fields.items()])
-        for name, fields in measures.items()
-    ]
-    return one_row.select(F.inline(F.array(*rows)))
+def rows_sql(rows: list[dict[str, str]]) -> str:
+    """SQL that turns one row into one row per entry; values are SQL texts."""
+    structs = ", ".join(
+        "struct(" + ", ".join(f"{sql} AS {ident(name)}" for name, sql in row.items()) + ")"
+        for row in rows
+    )
+    return f"inline(array({structs}))"
+
+
+def unfold(one_row: DataFrame, measures: dict[str, dict[str, str]], key: str) -> DataFrame:
+    """Turn one wide row into one row per entry: {entry: {field: SQL text}}."""
+    return one_row.selectExpr(
+        rows_sql([{key: sql_text(name), **fields} for name, fields in measures.items()])
+    )
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -118,16 +128,17 @@ def missing_values(df: DataFrame) -> DataFrame:
     """Missing count and percent per column; NaN counts as missing."""
     counts = df.agg(
         F.count("*").alias("rows"),
-        *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
+        *[
+            F.expr(f"count_if({missing_sql(df, c)}) AS m{i}")
+            for i, c in enumerate(df.columns)
+        ],
     )
     return unfold(
         counts,
         {
             c: {
-                "missing_count": F.col(f"m{i}"),
-                "missing_percent": F.coalesce(
-                    F.try_divide(F.col(f"m{i}"), F.col("rows")) * 100, F.lit(100.0)
-                ),
+                "missing_count": f"m{i}",
+                "missing_percent": f"coalesce(try_divide(m{i}, rows) * 100, 100D)",
             }
             for i, c in enumerate(df.columns)
         },
@@ -146,44 +157,22 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     one exact quantile run over (column, value) rows.
     """
     columns = list(columns or numeric_columns(df))
-    numbers = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    spread = range(len(columns))
+    numbers = df.selectExpr(*[f"{number_sql(df, c)} AS x{i}" for i, c in enumerate(columns)])
+    kept = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
     moments = numbers.agg(
         *[
-            part
-            for i in spread
-            for part in (
-                F.count(f"x{i}").alias(f"n{i}"),
-                F.avg(f"x{i}").alias(f"a{i}"),
-                F.stddev_samp(f"x{i}").alias(f"s{i}"),
-                F.min(f"x{i}").alias(f"l{i}"),
-                F.max(f"x{i}").alias(f"h{i}"),
-            )
+            F.expr(f"{fn}(x{i}) AS {name}{i}")
+            for i in range(len(columns))
+            for name, fn in kept.items()
         ]
     )
     basic = unfold(
         moments,
-        {
-            c: {
-                "count": F.col(f"n{i}"),
-                "mean": F.col(f"a{i}"),
-                "std": F.col(f"s{i}"),
-                "min": F.col(f"l{i}"),
-                "max": F.col(f"h{i}"),
-            }
-            for i, c in enumerate(columns)
-        },
+        {c: {name: f"{name}{i}" for name in kept} for i, c in enumerate(columns)},
         "column",
     )
-    long = numbers.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(f"x{i}").alias("x"))
-                    for i, c in enumerate(columns)
-                ]
-            )
-        )
+    long = numbers.selectExpr(
+        rows_sql([{"column": sql_text(c), "x": f"x{i}"} for i, c in enumerate(columns)])
     )
     quartiles = (
         exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["column"])
@@ -208,14 +197,14 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """
     columns = list(columns or df.columns)
     rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.when(~is_missing(df, c), _distinct_form(df, c)).alias("value"),
-        )
+        {
+            "column": sql_text(c),
+            "value": f"CASE WHEN NOT {missing_sql(df, c)} THEN {_distinct_form(df, c)} END",
+        }
         for c in columns
     ]
     return (
-        df.select(F.inline(F.array(*rows)))
+        df.selectExpr(rows_sql(rows))
         .groupBy("column", "value")
         .agg(F.lit(1).alias("_one"))
         .groupBy("column")
@@ -223,20 +212,20 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def _distinct_form(df: DataFrame, name: str) -> Column:
-    dtype = field_type(df, name)
+def _distinct_form(df: DataFrame, name: str) -> str:
+    dtype, value = field_type(df, name), ident(name)
     if is_nested_type(dtype) and dtype.typeName() != "binary":
-        return F.to_json(F.struct(quoted(name)))
+        return f"to_json(struct({value}))"
     if dtype.typeName() in ("double", "float"):
         # -0.0 and 0.0 are one value.
-        return F.when(quoted(name) == 0, F.lit("0.0")).otherwise(quoted(name).cast("string"))
-    return quoted(name).cast("string")
+        return f"CASE WHEN {value} = 0 THEN '0.0' ELSE CAST({value} AS STRING) END"
+    return f"CAST({value} AS STRING)"
 
 
-def sketch_distinct(df: DataFrame, name: str) -> Column:
+def sketch_distinct_sql(df: DataFrame, name: str) -> str:
     """Estimated distinct values; the sketch is 64 KB per column and task."""
-    value = F.when(~is_missing(df, name), F.xxhash64(quoted(name)))
-    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(value, F.lit(SKETCH_SIZE))), F.lit(0))
+    value = f"CASE WHEN NOT {missing_sql(df, name)} THEN xxhash64({ident(name)}) END"
+    return f"coalesce(hll_sketch_estimate(hll_sketch_agg({value}, {SKETCH_SIZE})), 0)"
 
 
 def value_counts(

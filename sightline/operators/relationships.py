@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from sightline import fixed_values as fv
 from sightline.functions.quantiles import exact_median
 from sightline.functions.scalars import (
-    as_number,
-    day_number,
-    quoted,
+    ident,
+    number_sql,
     round_even,
+    sql_text,
     strength_label,
+    timestamp_sql,
 )
-from sightline.operators.profile import union_all, unfold
+from sightline.operators.profile import rows_sql, unfold, union_all
 from sightline.operators.roles import candidate_pairs, column_roles
 
 PAIRS_PER_PASS = 200
@@ -65,7 +66,7 @@ def _tiles(pairs: Sequence[Pair]) -> list[list[Pair]]:
     return [ordered[i : i + PAIRS_PER_PASS] for i in range(0, len(ordered), PAIRS_PER_PASS)]
 
 
-def _correlations(df: DataFrame, pairs: Sequence[Pair], left_value) -> DataFrame:
+def _correlations(df: DataFrame, pairs: Sequence[Pair], left_sql) -> DataFrame:
     """Rows and Pearson correlation per pair over rows where both sides exist.
 
     The paired sums of squares are used instead of ``corr``, which fails on a
@@ -74,28 +75,26 @@ def _correlations(df: DataFrame, pairs: Sequence[Pair], left_value) -> DataFrame
     def one_pass(some: list[Pair]) -> DataFrame:
         lefts = sorted({a for a, _ in some})
         rights = sorted({b for _, b in some})
-        values = df.select(
-            *[left_value(df, a).alias(f"a{i}") for i, a in enumerate(lefts)],
-            *[as_number(df, b).alias(f"b{i}") for i, b in enumerate(rights)],
+        values = df.selectExpr(
+            *[f"{left_sql(df, a)} AS a{i}" for i, a in enumerate(lefts)],
+            *[f"{number_sql(df, b)} AS b{i}" for i, b in enumerate(rights)],
         )
         aggs, fields = [], {}
         for k, (a, b) in enumerate(some):
-            x, y = F.col(f"a{lefts.index(a)}"), F.col(f"b{rights.index(b)}")
+            x, y = f"a{lefts.index(a)}", f"b{rights.index(b)}"
             aggs += [
-                F.regr_count(y, x).alias(f"n{k}"),
-                F.regr_sxx(y, x).alias(f"xx{k}"),
-                F.regr_syy(y, x).alias(f"yy{k}"),
-                F.regr_sxy(y, x).alias(f"xy{k}"),
+                f"regr_count({y}, {x}) AS n{k}",
+                f"regr_sxx({y}, {x}) AS xx{k}",
+                f"regr_syy({y}, {x}) AS yy{k}",
+                f"regr_sxy({y}, {x}) AS xy{k}",
             ]
             fields[str(k)] = {
-                "column_a": F.lit(a),
-                "column_b": F.lit(b),
-                "rows_used": F.col(f"n{k}"),
-                "r": F.try_divide(
-                    F.col(f"xy{k}"), F.sqrt(F.col(f"xx{k}")) * F.sqrt(F.col(f"yy{k}"))
-                ),
+                "column_a": sql_text(a),
+                "column_b": sql_text(b),
+                "rows_used": f"n{k}",
+                "r": f"try_divide(xy{k}, sqrt(xx{k}) * sqrt(yy{k}))",
             }
-        return unfold(values.agg(*aggs), fields, "_pair").drop("_pair")
+        return unfold(values.agg(*[F.expr(e) for e in aggs]), fields, "_pair").drop("_pair")
 
     return union_all([one_pass(t) for t in _tiles(pairs)])
 
@@ -140,13 +139,16 @@ def numeric_numeric(
         )
 
     return _correlation_findings(
-        _correlations(df, pairs, as_number), dataset, "numeric_vs_numeric",
+        _correlations(df, pairs, number_sql), dataset, "numeric_vs_numeric",
         "pearson_correlation", ("positive", "negative"), narrative, min_score, min_rows,
     )
 
 
-def time_value(df: DataFrame, name: str) -> Column:
-    return as_number(df, name) if "year" in name.lower() else day_number(df, name)
+def time_sql(df: DataFrame, name: str) -> str:
+    """Year number, or days since 1970."""
+    if "year" in name.lower():
+        return number_sql(df, name)
+    return f"CAST(unix_date(CAST({timestamp_sql(df, name)} AS DATE)) AS DOUBLE)"
 
 
 def time_numeric(
@@ -164,7 +166,7 @@ def time_numeric(
         )
 
     return _correlation_findings(
-        _correlations(df, pairs, time_value), dataset, "time_vs_numeric",
+        _correlations(df, pairs, time_sql), dataset, "time_vs_numeric",
         "time_correlation", ("increase", "decrease"), narrative, min_score, min_rows,
     )
 
@@ -179,38 +181,29 @@ def group_moments(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> Da
     ``mean``, ``m2``. Rows without a group are left out.
     """
     keys = [F.col(f"g{i}") for i in range(len(by))]
-    narrow = df.select(
-        *[quoted(c).alias(f"g{i}") for i, c in enumerate(by)],
-        *[as_number(df, c).alias(f"v{j}") for j, c in enumerate(values)],
+    narrow = df.selectExpr(
+        *[f"{ident(c)} AS g{i}" for i, c in enumerate(by)],
+        *[f"{number_sql(df, c)} AS v{j}" for j, c in enumerate(values)],
     )
     sums = narrow.groupingSets([[k] for k in keys], *keys).agg(
-        *[F.grouping(f"g{i}").alias(f"away{i}") for i in range(len(by))],
+        *[F.expr(f"grouping(g{i}) AS away{i}") for i in range(len(by))],
         *[
-            part
+            F.expr(f"{fn}(v{j}) AS {name}{j}")
             for j in range(len(values))
-            for part in (
-                F.count(f"v{j}").alias(f"n{j}"),
-                F.avg(f"v{j}").alias(f"a{j}"),
-                F.var_pop(f"v{j}").alias(f"p{j}"),
-            )
+            for name, fn in (("n", "count"), ("a", "avg"), ("p", "var_pop"))
         ],
     )
-    which = F.coalesce(*[F.when(F.col(f"away{i}") == 0, F.lit(c)) for i, c in enumerate(by)])
-    group = F.coalesce(
-        *[F.when(F.col(f"away{i}") == 0, F.col(f"g{i}").cast("string")) for i in range(len(by))]
-    )
+    which = " ".join(f"WHEN away{i} = 0 THEN {sql_text(c)}" for i, c in enumerate(by))
+    group = " ".join(f"WHEN away{i} = 0 THEN CAST(g{i} AS STRING)" for i in range(len(by)))
     rows = [
-        F.struct(
-            F.lit(c).alias("value"),
-            F.col(f"n{j}").alias("n"),
-            F.col(f"a{j}").alias("mean"),
-            (F.col(f"p{j}") * F.col(f"n{j}")).alias("m2"),
-        )
+        {"value": sql_text(c), "n": f"n{j}", "mean": f"a{j}", "m2": f"p{j} * n{j}"}
         for j, c in enumerate(values)
     ]
-    named = sums.select(which.alias("by"), group.alias("group"), F.array(*rows).alias("rows"))
-    return named.where(F.col("group").isNotNull()).select("by", "group", F.inline("rows")).where(
-        F.col("n") > 0
+    named = sums.selectExpr(f"CASE {which} END AS by", f"CASE {group} END AS group", "*")
+    return (
+        named.where("group IS NOT NULL")
+        .selectExpr("by", "group", rows_sql(rows))
+        .where("n > 0")
     )
 
 
@@ -340,14 +333,10 @@ def _add_medians(df: DataFrame, kept: DataFrame, pairs: Sequence[Pair]) -> DataF
         ]
     )
     rows = [
-        F.struct(
-            F.lit(k).alias("pair"),
-            quoted(a).cast("string").alias("group"),
-            as_number(df, b).alias("x"),
-        )
+        {"pair": str(k), "group": f"CAST({ident(a)} AS STRING)", "x": number_sql(df, b)}
         for (a, b), k in numbered.items()
     ]
-    long = df.select(F.inline(F.array(*rows))).join(
+    long = df.selectExpr(rows_sql(rows)).join(
         F.broadcast(kept.select(number.alias("pair"))), "pair", "left_semi"
     )
     medians = (
@@ -464,20 +453,24 @@ def discover(
     dataset: str = "data",
     roles: DataFrame | None = None,
     unique_ratio_rule: str = "all",
+    medians: bool = True,
 ) -> DataFrame:
     """All retained relationships of a dataset.
 
     The role and pair tables are collected: one row per column or column pair.
+    ``medians=False`` saves the second pass, which only fills the group medians.
     """
     if roles is None:
         roles = column_roles(df, dataset, unique_ratio_rule=unique_ratio_rule)
     by_method: dict[str, list[Pair]] = {}
     for r in candidate_pairs(roles).collect():
         by_method.setdefault(r["method"], []).append((r["column_a"], r["column_b"]))
-    return findings_of(df, dataset, by_method)
+    return findings_of(df, dataset, by_method, medians)
 
 
-def findings_of(df: DataFrame, dataset: str, by_method: dict[str, list[Pair]]) -> DataFrame:
+def findings_of(
+    df: DataFrame, dataset: str, by_method: dict[str, list[Pair]], medians: bool = True
+) -> DataFrame:
     grouped = [
         p
         for m in ("categorical_numeric", "categorical_binary", "binary_numeric")
@@ -494,7 +487,9 @@ def findings_of(df: DataFrame, dataset: str, by_method: dict[str, list[Pair]]) -
     if pairs := by_method.get("time_numeric"):
         found.append(time_numeric(df, sorted(pairs), dataset))
     if pairs := by_method.get("categorical_numeric"):
-        found.append(categorical_numeric(df, sorted(pairs), dataset, moments=moments))
+        found.append(
+            categorical_numeric(df, sorted(pairs), dataset, moments=moments, medians=medians)
+        )
     if pairs := by_method.get("categorical_binary"):
         found.append(categorical_binary(df, sorted(pairs), dataset, moments=moments))
     if pairs := by_method.get("binary_numeric"):

@@ -12,11 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import fixed_values as fv
-from sightline.functions.scalars import as_number, as_timestamp, is_missing, light_name, quoted
+from sightline.functions.scalars import (
+    as_timestamp,
+    light_name,
+    missing_sql,
+    number_sql,
+    quoted,
+    sql_text,
+    timestamp_sql,
+)
 from sightline.operators.profile import (
     distinct_counts,
     kind_of,
-    sketch_distinct,
+    sketch_distinct_sql,
     unfold,
     union_all,
 )
@@ -65,32 +73,30 @@ def column_stats(
         c for c in df.columns
         if kinds[c] == "text" and not any(t in light_name(c) for t in fv.TIME_NAME_TOKENS)
     ]
-    aggs, fields = [F.count("*").alias("rows")], {}
+    aggs, fields = ["count(*) AS rows"], {}
     for i, c in enumerate(df.columns):
-        missing = is_missing(df, c)
-        aggs.append(F.count_if(missing).alias(f"m{i}"))
-        aggs.append(sketch_distinct(df, c).cast("bigint").alias(f"d{i}"))
-        other = F.lit(0).cast("bigint")
+        aggs.append(f"count_if({missing_sql(df, c)}) AS m{i}")
+        distinct, other, parsed = "0L", "0L", "0L"
+        if kinds[c] != "nested":
+            aggs.append(f"{sketch_distinct_sql(df, c)} AS d{i}")
+            distinct = f"d{i}"
         if kinds[c] == "number":
-            number = as_number(df, c)
-            aggs.append(F.count_if((number != 0) & (number != 1)).alias(f"o{i}"))
-            other = F.col(f"o{i}")
-        parsed = F.lit(0).cast("bigint")
+            aggs.append(f"count_if({number_sql(df, c)} NOT IN (0D, 1D)) AS o{i}")
+            other = f"o{i}"
         if c in texts and order_by is None:
-            aggs.append(F.count(as_timestamp(df, c)).alias(f"t{i}"))
-            parsed = F.col(f"t{i}")
-        distinct = F.lit(0).cast("bigint") if kinds[c] == "nested" else F.col(f"d{i}")
+            aggs.append(f"count({timestamp_sql(df, c)}) AS t{i}")
+            parsed = f"t{i}"
         fields[c] = {
-            "position": F.lit(i),
-            "kind": F.lit(kinds[c]),
-            "rows": F.col("rows"),
-            "missing": F.col(f"m{i}"),
+            "position": str(i),
+            "kind": sql_text(kinds[c]),
+            "rows": "rows",
+            "missing": f"m{i}",
             "distinct": distinct,
             "beyond_binary": other,
-            "sampled": F.col("rows") - F.col(f"m{i}"),
+            "sampled": f"rows - m{i}",
             "parsed": parsed,
         }
-    stats = unfold(df.agg(*aggs), fields, "column")
+    stats = unfold(df.agg(*[F.expr(a) for a in aggs]), fields, "column")
     if order_by is not None and texts:
         shares = time_share(df, texts, order_by, time_sample)
         stats = (
@@ -123,27 +129,37 @@ def near_threshold() -> Column:
     )
 
 
-def settle_distinct(df: DataFrame, stats: DataFrame) -> DataFrame:
+def settle_distinct(frames: dict[str, DataFrame], stats: DataFrame) -> DataFrame:
     """Exact distinct counts for the columns where the estimate cannot decide.
 
     Keys (ratio near 1) and free text are decided by the sketch and are never
-    shuffled; columns with few values collapse before the shuffle.
+    shuffled; columns with few values collapse before the shuffle. All datasets
+    are counted in one job.
     """
-    unsure = [
-        r["column"]
-        for r in stats.where(near_threshold() & (F.col("kind") != "nested"))
-        .select("column")
-        .collect()
-    ]
+    unsure: dict[str, list[str]] = {}
+    for r in stats.where(near_threshold() & (F.col("kind") != "nested")).collect():
+        unsure.setdefault(r["dataset"], []).append(r["column"])
     if not unsure:
         return stats
-    exact = {r["column"]: r["distinct_count"] for r in distinct_counts(df, unsure).collect()}
-    counts = F.create_map(*[F.lit(x) for c in unsure for x in (c, exact.get(c, 0))])
-    return stats.withColumns(
-        {
-            "distinct": F.coalesce(counts[F.col("column")], F.col("distinct")),
-            "distinct_is_exact": F.col("column").isin(unsure),
-        }
+    exact = as_local_table(
+        union_all(
+            [
+                distinct_counts(frames[name], columns).select(F.lit(name).alias("dataset"), "*")
+                for name, columns in unsure.items()
+            ]
+        )
+    )
+    joined = stats.join(exact, ["dataset", "column"], "left")
+    known = F.col("distinct_count").isNotNull()
+    return joined.select(
+        *[
+            F.coalesce("distinct_count", c).alias(c)
+            if c == "distinct"
+            else known.alias(c)
+            if c == "distinct_is_exact"
+            else F.col(c)
+            for c in stats.columns
+        ]
     )
 
 
@@ -152,7 +168,7 @@ def as_local_table(small: DataFrame) -> DataFrame:
 
     Only for metadata: one row per column, or a top-k report.
     """
-    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+    return small.sparkSession.createDataFrame(small.toArrow(), small.schema)
 
 
 # ------------------------------------------------------------------- roles
@@ -241,15 +257,34 @@ def column_roles(
     exact_distinct: bool = False,
     unique_ratio_rule: str = "all",
 ) -> DataFrame:
-    """Statistics, role and usability of every column.
+    """Statistics, role and usability of every column."""
+    keys = {dataset: order_by} if order_by else {}
+    return catalog_roles({dataset: df}, keys, exact_distinct, unique_ratio_rule)
+
+
+def catalog_roles(
+    datasets: dict[str, DataFrame],
+    order_by: dict[str, Sequence[str]] | None = None,
+    exact_distinct: bool = False,
+    unique_ratio_rule: str = "all",
+) -> DataFrame:
+    """``column_roles`` of several datasets, whose passes run side by side in one job.
 
     The statistics, one row per column, are collected; the result is a local
     table that roles, pairs and catalogues read as often as they like.
     """
-    stats = as_local_table(column_stats(df, dataset, order_by, exact_distinct))
+    order_by = order_by or {}
+    stats = as_local_table(
+        union_all(
+            [
+                column_stats(df, name, order_by.get(name), exact_distinct)
+                for name, df in datasets.items()
+            ]
+        )
+    )
     if not exact_distinct:
-        stats = settle_distinct(df, stats)
-    return with_roles(stats, unique_ratio_rule)
+        stats = settle_distinct(datasets, stats)
+    return as_local_table(with_roles(stats, unique_ratio_rule))
 
 
 # ------------------------------------------------------------------- pairs

@@ -789,7 +789,7 @@ COLLECTION = {
         "insurance_status": "text", "housing_instability": "number", "age": "number", "age_group": "text",
         "low_income": "number", "unemployed": "number", "no_health_insurance": "number",
         "social_determinant_score": "number", "high_social_determinant_burden": "number"}),
-    "graded": ("graded", DOCUMENT_COLUMNS and {
+    "graded": ("graded", {
         "doc_id": "number", "lang": "text", "source": "text", "n_chars": "number", "toxic": "number",
         "target": "number"}),
     "planted": ("rel", REL_COLUMNS),
@@ -797,18 +797,16 @@ COLLECTION = {
 _views = ["enc", "sdoh", "diag", "dept", "tiger", "scored", "graded", "rel"]
 CONCEPTS = {
     "age": ["age", "birth_year", "age_group"], "income": ["income", "low_income"],
-    "employment": ["unemployed"], "insurance": ["no_health_insurance"],
+    "employment": ["unemployed", "employment_status"],
+    "insurance": ["no_health_insurance", "insurance_status"],
     "social_determinants": ["high_social_determinant_burden", "social_determinant_score"],
     "housing": ["housing_instability"],
 }
 ROOT = (
     "CASE "
     + " ".join(f"WHEN variable = '{v}' THEN '{c}'" for c, vs in CONCEPTS.items() for v in vs)
-    # The suffix is dropped first, so these two are not looked up under their full name.
-    + " WHEN variable = 'employment_status' THEN 'employment' WHEN variable = 'insurance_status' "
-    "THEN 'insurance' ELSE variable END"
+    + " ELSE variable END"
 )
-ROOT = ROOT.replace("WHEN variable = 'employment_status' THEN 'employment' WHEN variable = 'insurance_status' THEN 'insurance' ", "")
 _kcat = {
     "stats": " UNION ALL ".join(stats(v, n, c) for n, (v, c) in COLLECTION.items()),
     "roles": ROLES,

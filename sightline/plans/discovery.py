@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators import catalog, likelihood, profile, relationships
-from sightline.operators.roles import column_roles
 
 
 @dataclass(frozen=True)
@@ -43,10 +42,12 @@ def discover_collection(
             ]
         )
 
-    roles = {name: column_roles(df, name) for name, df in datasets.items()}
-    table = profile.union_all(list(roles.values()))
+    table = catalog.build_catalog(datasets)
     findings = profile.union_all(
-        [relationships.discover(df, name, roles[name]) for name, df in datasets.items()]
+        [
+            relationships.discover(df, name, table.where(F.col("dataset") == name))
+            for name, df in datasets.items()
+        ]
     )
     numeric = {n: df for n, df in datasets.items() if profile.numeric_columns(df)}
     statistics = profile.union_all(

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from sightline.operators import catalog, charts, merge
+from sightline.operators.roles import as_local_table
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,13 @@ def synthesize(
     group: str | None = None,
     declared: DataFrame | None = None,
 ) -> Synthesis:
-    variables = catalog.variable_importance(table, findings, features, target, group)
+    """Importance and advice. ``table`` and ``findings`` are metadata tables.
+
+    The variable table, one row per column name, is collected once.
+    """
+    variables = as_local_table(
+        catalog.variable_importance(table, findings, features, target, group)
+    )
     clusters = catalog.concept_clusters(variables)
     candidates = catalog.join_candidates(table, declared)
     return Synthesis(

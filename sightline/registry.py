@@ -420,7 +420,7 @@ def rel_time_num(spark, d):
 
 
 def _found(spark, d):
-    return relationships.discover(t.planted(spark, d), "planted")
+    return relationships.discover(t.planted(spark, d), "planted", medians=False)
 
 
 @query

@@ -17,6 +17,8 @@ def build_session(name: str = "sightline", master: str | None = None, **settings
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording the Python call site of every expression slows wide plans down.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = (
