@@ -517,6 +517,8 @@ STRENGTH = """CASE WHEN abs(c) >= 0.7 THEN 'very strong' WHEN abs(c) >= 0.5 THEN
 
 def correlations(source: str, pairs: list[tuple[str, str, str]]) -> str:
     """(left name, left expression, right name) pairs: rows and correlation."""
+    if not pairs:
+        return "SELECT '' AS column_a, '' AS column_b, 0 AS rows_used, 0.0e0 AS c WHERE false"
     return " UNION ALL ".join(
         f"""SELECT '{a}' AS column_a, '{b}' AS column_b,
         count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS rows_used,
@@ -601,14 +603,18 @@ ORACLES["rel_bin_num"] = sql(
 )
 
 
-def findings(source: str, num, time, cat, rate, binary) -> dict[str, str]:
+def findings(source: str, num, time, cat, rate, binary, tag: str = "") -> dict[str, str]:
     """All five kinds of findings of one dataset as named steps; the last is ``found``."""
+    nn, tt, gs, ends, ck, gs2, ends2, rk, bs, bk = (
+        f"{tag}{n}" for n in ("nn", "tt", "gs", "ends", "ck", "gs2", "ends2", "rk", "bs", "bk")
+    )
     steps = {
-        "nn": correlations(source, num), "tt": correlations(source, time),
-        "gs": grouped(source, cat), "ends": ENDS, "ck": CAT_KEPT,
-        "gs2": grouped(source, rate), "ends2": ENDS.replace("FROM gs", "FROM gs2"),
-        "rk": RATE_KEPT.replace("FROM ends", "FROM ends2"),
-        "bs": grouped(source, binary), "bk": BIN_KEPT,
+        nn: correlations(source, num), tt: correlations(source, time),
+        gs: grouped(source, cat), ends: ENDS.replace("FROM gs", f"FROM {gs}"),
+        ck: CAT_KEPT.replace("FROM ends", f"FROM {ends}"),
+        gs2: grouped(source, rate), ends2: ENDS.replace("FROM gs", f"FROM {gs2}"),
+        rk: RATE_KEPT.replace("FROM ends", f"FROM {ends2}"),
+        bs: grouped(source, binary), bk: BIN_KEPT.replace("FROM bs", f"FROM {bs}"),
     }
     one = "SELECT '{t}' AS comparison_type, column_a, column_b, rows_used, {s} AS score, {v} AS metric_value, '{m}' AS metric_name, {n} AS narrative FROM {f}"
     corr_where = " WHERE rows_used >= 15 AND NOT isnan(c) AND abs(c) >= 0.15"
@@ -623,13 +629,13 @@ def findings(source: str, num, time, cat, rate, binary) -> dict[str, str]:
         column_b, column_a, top_group, top * 100, bottom_group, bottom * 100)"""
     bin_text = """printf('`%s` is %s on average when `%s` = 1 than when `%s` = 0 (means: %.3f vs %.3f).',
         column_b, CASE WHEN m1 > m0 THEN 'higher' ELSE 'lower' END, column_a, column_a, m1, m0)"""
-    steps["found"] = " UNION ALL ".join(
+    steps[f"{tag}found"] = " UNION ALL ".join(
         [
-            one.format(t="numeric_vs_numeric", s=r("abs(c)"), v=r("c"), m="pearson_correlation", n=num_text, f="nn") + corr_where,
-            one.format(t="time_vs_numeric", s=r("abs(c)"), v=r("c"), m="time_correlation", n=time_text, f="tt") + corr_where,
-            one.format(t="categorical_vs_numeric", s=r("effect"), v=r("effect"), m="normalized_mean_difference", n=cat_text, f="ck"),
-            one.format(t="categorical_vs_binary", s=r("effect"), v=r("effect"), m="rate_difference", n=rate_text, f="rk"),
-            one.format(t="binary_vs_numeric", s=r("effect"), v=r("effect"), m="normalized_mean_difference", n=bin_text, f="bk"),
+            one.format(t="numeric_vs_numeric", s=r("abs(c)"), v=r("c"), m="pearson_correlation", n=num_text, f=nn) + corr_where,
+            one.format(t="time_vs_numeric", s=r("abs(c)"), v=r("c"), m="time_correlation", n=time_text, f=tt) + corr_where,
+            one.format(t="categorical_vs_numeric", s=r("effect"), v=r("effect"), m="normalized_mean_difference", n=cat_text, f=ck),
+            one.format(t="categorical_vs_binary", s=r("effect"), v=r("effect"), m="rate_difference", n=rate_text, f=rk),
+            one.format(t="binary_vs_numeric", s=r("effect"), v=r("effect"), m="normalized_mean_difference", n=bin_text, f=bk),
         ]
     )
     return steps
@@ -649,6 +655,20 @@ ORACLES["rel_top_by_type"] = sql(
               ORDER BY score DESC, column_a, column_b) AS k FROM found) WHERE k = 1""",
     "rel", **_found,
 )
+_graded = findings(
+    "graded", [], [], [(a, "n_chars") for a in ("lang", "source")],
+    [(a, b) for a in ("lang", "source") for b in ("toxic", "target")],
+    [(a, "n_chars") for a in ("toxic", "target")], "g_",
+)
+ORACLES["rel_top_overall"] = sql(
+    """SELECT * FROM (SELECT 'planted' AS dataset, comparison_type, column_a, column_b, rows_used, score,
+              metric_value FROM found
+       UNION ALL SELECT 'graded', comparison_type, column_a, column_b, rows_used, score, metric_value
+       FROM g_found WHERE column_b <> 'n_chars'
+         OR (SELECT count(DISTINCT n_chars) * 1.0e0 / count(*) FROM graded) <= 0.95)
+    ORDER BY score DESC, dataset, column_a, column_b LIMIT 25""",
+    "rel", "graded", **_found, **_graded,
+)
 ORACLES["rel_narratives"] = sql(
     "SELECT comparison_type, column_a, column_b, narrative FROM found", "rel", **_found
 )
@@ -673,6 +693,22 @@ ORACLES["feat_score"] = sql(
 ORACLES["feat_text_target"] = """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS outcome FROM orders"""
 
+CHOSEN = ["birth_year", "age", "age_group", "income", "employment_status", "housing_instability",
+          "insurance_status", "social_determinant_score", "low_income", "unemployed"]
+ORACLES["feat_choices"] = sql(
+    """SELECT 'target' AS choice, CAST(1 AS INT) AS rank, 'high_social_determinant_burden' AS "column"
+    UNION ALL SELECT 'group', 1, CASE WHEN (SELECT count(DISTINCT age_group) FROM scored) BETWEEN 2 AND 20
+                                 THEN 'age_group' ELSE 'employment_status' END
+    UNION ALL SELECT 'feature', CAST(row_number() OVER (ORDER BY i) AS INT), c FROM ("""
+    + " UNION ALL ".join(
+        f"SELECT {i} AS i, '{c}' AS c FROM scored HAVING count(DISTINCT {c}) > 1 "
+        f"AND (count(*) - count({c})) * 1.0e0 / count(*) < 0.8"
+        for i, c in enumerate(CHOSEN)
+    )
+    + ")",
+    "scored",
+)
+
 # -------------------------------------------------------------- likelihood
 
 GROUP_RATES = """
@@ -919,6 +955,33 @@ ORACLES["action_rows"] = sql(
     UNION ALL SELECT 'model_' || model_role, variable_name, 'use_for_next_model_iteration' FROM mr""",
     *_views, **_k, **_cand, mr=MODEL_ROLES,
 )
+JOINED = """
+SELECT '{pair}' AS dataset_pair, 'merged' AS status, CAST(NULL AS VARCHAR) AS reason, '{keys}' AS keys_used,
+       (SELECT count(*) FROM {a}) AS left_rows, (SELECT count(*) FROM {b}) AS right_rows,
+       (SELECT count(*) FROM {a} l JOIN {b} q ON {on}) AS inner_rows,
+       (SELECT count(*) FROM {a} l LEFT JOIN {b} q ON {on}) AS left_join_rows,
+       {ua} AS left_unique_ratio, {ub} AS right_unique_ratio"""
+
+
+def joined(pair: str, a: str, b: str, keys: list[str]) -> str:
+    def ratio(view: str) -> str:
+        there = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+        fields = ", ".join(keys)
+        return r(
+            f"(SELECT count(*) FROM (SELECT DISTINCT {fields} FROM {view} WHERE {there})) * 1.0e0"
+            f" / (SELECT count(*) FROM {view} WHERE {there})"
+        )
+
+    on = " AND ".join(f"l.{k} IS NOT DISTINCT FROM q.{k}" for k in keys)
+    return JOINED.format(pair=pair, keys=",".join(keys), a=a, b=b, on=on, ua=ratio(a), ub=ratio(b))
+
+
+ORACLES["merge_all"] = sql(
+    joined("departments <-> encounters", "dept", "enc", ["departmentkey"])
+    + " UNION ALL "
+    + joined("encounters <-> screenings", "enc", "sdoh", ["encounterkey", "patientdurablekey"]),
+    "dept", "enc", "sdoh",
+)
 ORACLES["run_summary"] = sql(
     """SELECT (SELECT count(DISTINCT dataset) FROM roles) AS datasets, (SELECT count(*) FROM roles) AS columns,
        (SELECT count(*) FROM (SELECT DISTINCT dataset_a, dataset_b FROM pairs)) AS shared_pairs,

@@ -437,9 +437,9 @@ def rel_top_by_type(spark, d):
 
 @query
 def rel_top_overall(spark, d):
-    graded = relationships.discover(t.graded(spark, d), "graded")
+    graded = relationships.discover(t.graded(spark, d), "graded", medians=False)
     both = profile.union_all([_found(spark, d), graded])
-    return relationships.top_overall(both, 6).select("dataset", "comparison_type", *CORE)
+    return relationships.top_overall(both).select("dataset", "comparison_type", *CORE)
 
 
 @query
@@ -778,7 +778,7 @@ def merge_all(spark, d):
     renames = merge.rename_map(merge.rename_table(plan.clusters))
     standard = {name: merge.standardize(df, renames) for name, df in frames.items()}
     found, _ = merge.merge_all(plan.merge_actions, standard, renames)
-    return found.withColumn("keys_used", F.array_join("keys_used", ","))
+    return rounded(found.withColumn("keys_used", F.array_join("keys_used", ",")))
 
 
 @query
