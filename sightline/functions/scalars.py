@@ -54,9 +54,9 @@ def sql_text(value: str) -> str:
 
 
 def round_even(value: Column, digits: int) -> Column:
-    """Round half to even by scaling, the rounding of array libraries."""
+    """Round half to even by scaling, the rounding of array libraries; never -0.0."""
     scale = float(10**digits)
-    return F.rint(value * F.lit(scale)) / F.lit(scale)
+    return F.rint(value * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 # The per-column rules below are SQL texts, because wide aggregates use them for

@@ -17,31 +17,34 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     A constant column gets the range half a unit to either side.
     """
     values = df.select(as_number(df, column).alias("x")).where(F.col("x").isNotNull())
-    limits = values.agg(F.min("x").alias("a"), F.max("x").alias("b")).select(
-        F.struct(
-            F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"),
-            F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("hi"),
-        )
+    limits = (
+        values.agg(F.min("x").alias("a"), F.max("x").alias("b"))
+        .withColumn("pad", F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0))
+        .select(F.struct((F.col("a") - F.col("pad")).alias("lo"), (F.col("b") + F.col("pad")).alias("hi")))
+        .scalar()
     )
-    lo, hi = limits.scalar()["lo"], limits.scalar()["hi"]
-    step = (hi - lo) / F.lit(bins)
-    edge = lambda i: F.when(i >= bins, hi).otherwise(lo + i * step)
-    guess = F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1).cast("bigint"))
+
+    def edge(i: str) -> str:
+        return f"CASE WHEN {i} >= {bins} THEN r.hi ELSE r.lo + ({i}) * ((r.hi - r.lo) / {bins}) END"
+
     # A value that rounding put next to its bin is moved by comparing the edges.
-    placed = values.withColumn("g", guess).select(
-        (
-            F.col("g")
-            - (F.col("x") < edge(F.col("g"))).cast("int")
-            + ((F.col("x") >= edge(F.col("g") + 1)) & (F.col("g") < bins - 1)).cast("int")
-        ).alias("bin")
+    placed = (
+        values.withColumn("r", limits)
+        .selectExpr(
+            "x", "r", f"least(floor((x - r.lo) / (r.hi - r.lo) * {bins}), {bins - 1}L) AS g"
+        )
+        .selectExpr(
+            f"g - CAST(x < {edge('g')} AS INT) "
+            f"+ CAST(x >= {edge('g + 1')} AND g < {bins - 1} AS INT) AS bin"
+        )
     )
     counts = placed.groupBy("bin").agg(F.count("*").alias("count"))
-    frame = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return frame.join(counts, "bin", "left").select(
+    frame = df.sparkSession.range(bins).select(F.col("id").alias("bin")).withColumn("r", limits)
+    return frame.join(counts, "bin", "left").selectExpr(
         "bin",
-        edge(F.col("bin")).alias("bin_from"),
-        edge(F.col("bin") + 1).alias("bin_to"),
-        F.coalesce("count", F.lit(0)).alias("count"),
+        f"{edge('bin')} AS bin_from",
+        f"{edge('bin + 1')} AS bin_to",
+        "coalesce(count, 0L) AS count",
     )
 
 

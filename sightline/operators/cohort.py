@@ -421,30 +421,29 @@ def busy_areas(areas: DataFrame, min_volume: int = fv.MIN_AREA_VOLUME) -> DataFr
 def area_medians(areas: DataFrame, min_volume: int = fv.MIN_AREA_VOLUME) -> DataFrame:
     """One row with the median rate and volume of the busy areas.
 
-    Its input has one row per area; equal values are counted first.
+    Its input has one row per area, so what the two medians hold is small.
     """
-    def median(name: str) -> DataFrame:
-        return (
-            busy_areas(areas, min_volume)
-            .groupBy(name)
-            .agg(F.count("*").alias("_n"))
-            .agg(F.percentile(name, F.lit(0.5), F.col("_n")).alias(f"median_{name}"))
-        )
+    half = F.lit(0.5)
+    return busy_areas(areas, min_volume).agg(
+        F.percentile("sdoh_screen_rate", half).alias("median_sdoh_screen_rate"),
+        F.percentile("total_encounters", half).alias("median_total_encounters"),
+    )
+
 
-    rate, volume = median("sdoh_screen_rate"), median("total_encounters")
-    return rate.withColumn("median_total_encounters", volume.scalar())
+def _medians_value(areas: DataFrame, min_volume: int) -> Column:
+    return area_medians(areas, min_volume).select(F.struct("*")).scalar()
 
 
 def underscreened_areas(
     areas: DataFrame, min_volume: int = fv.MIN_AREA_VOLUME
 ) -> DataFrame:
     """Busy areas below the median rate and above the median volume, both strictly."""
-    medians = area_medians(areas, min_volume)
+    medians = _medians_value(areas, min_volume)
     return (
         busy_areas(areas, min_volume)
         .where(
-            (F.col("sdoh_screen_rate") < medians.select("median_sdoh_screen_rate").scalar())
-            & (F.col("total_encounters") > medians.select("median_total_encounters").scalar())
+            (F.col("sdoh_screen_rate") < medians["median_sdoh_screen_rate"])
+            & (F.col("total_encounters") > medians["median_total_encounters"])
         )
         .orderBy(F.desc("total_encounters"), areas.columns[0])
     )
@@ -454,7 +453,7 @@ def map_layer(
     areas: DataFrame, cols: CohortColumns = DEFAULT, min_volume: int = fv.MIN_AREA_VOLUME
 ) -> DataFrame:
     """Marker position, size and colour for each area with coordinates."""
-    median = area_medians(areas, min_volume).select("median_sdoh_screen_rate").scalar()
+    median = _medians_value(areas, min_volume)["median_sdoh_screen_rate"]
     return areas.dropna(subset=[cols.lat, cols.lon]).withColumns(
         {
             "radius": F.greatest(

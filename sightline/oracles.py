@@ -78,7 +78,8 @@ NEEDS = {"featured": ["people"], "scored": ["people", "featured"]}
 
 
 def r(x: str, digits: int = 4) -> str:
-    return f"round_even(CAST({x} AS DOUBLE), {digits})"
+    # Adding zero turns -0.0 into 0.0.
+    return f"(round_even(CAST({x} AS DOUBLE), {digits}) + 0.0e0)"
 
 
 def big(x: str) -> str:

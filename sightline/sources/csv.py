@@ -19,17 +19,21 @@ from sightline import fixed_values as fv
 from sightline.functions.scalars import (
     INTEGER_PATTERN,
     NUMBER_PATTERN,
+    ident,
     light_name,
     quoted,
+    sql_text,
     strict_name,
     strip,
+    strip_sql,
 )
 
 log = logging.getLogger(__name__)
 
 RAW_LINE = "_raw_line"
 # Spark shows an undecodable byte as this character.
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
+FALLBACK = "ISO-8859-1"
 
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
@@ -129,41 +133,39 @@ def missing_to_null(value: Column, tokens: Sequence[str] = tuple(fv.NA_TOKENS))
     return F.when(~value.isin(list(tokens)), value)
 
 
-def undecodable(df: DataFrame) -> bool:
-    """Whether any text holds a replacement character."""
-    found = F.lit(False)
-    for c in df.columns:
-        found = found | F.coalesce(quoted(c).contains(REPLACEMENT), F.lit(False))
-    return not df.where(found).limit(1).isEmpty()
+def undecodable_rows(df: DataFrame) -> Column:
+    """Number of rows where a text holds a replacement character."""
+    found = " OR ".join(f"contains({ident(c)}, {sql_text(REPLACEMENT)})" for c in df.columns)
+    return F.expr(f"count_if({found})")
 
 
 def _read_fields(
-    spark: SparkSession,
-    path: str,
-    multi_line: bool = False,
-    encoding: str | None = None,
-    drop_long: bool = True,
+    spark: SparkSession, path: str, multi_line: bool, encoding: str, drop_long: bool = True
 ) -> tuple[DataFrame, list[str]]:
     """Text columns under positional names, and the header names.
 
     Header names may differ only in case, so they are put on last.
     """
-    chosen = encoding or "UTF-8"
-    names = header(spark, path, chosen, multi_line)
-    frame = _text_frame(spark, path, names, chosen, multi_line, drop_long)
-    if encoding is None and (any(REPLACEMENT in n for n in names) or undecodable(frame)):
-        return _read_fields(spark, path, multi_line, "ISO-8859-1", drop_long)
+    names = header(spark, path, encoding, multi_line)
+    frame = _text_frame(spark, path, names, encoding, multi_line, drop_long)
     return frame.select(*[missing_to_null(F.col(c)).alias(c) for c in frame.columns]), names
 
 
+def _is_foreign(names: list[str], undecodable: int) -> bool:
+    return undecodable > 0 or any(REPLACEMENT in n for n in names)
+
+
 def read_csv_text(
     spark: SparkSession, path: str, multi_line: bool = False, encoding: str | None = None
 ) -> DataFrame:
     """One CSV as text columns with its own header names and missing tokens as null.
 
     ``multi_line`` is needed only for quoted line breaks; it stops file splitting.
+    A given ``encoding`` saves the pass that looks for undecodable text.
     """
-    frame, names = _read_fields(spark, path, multi_line, encoding)
+    frame, names = _read_fields(spark, path, multi_line, encoding or "UTF-8")
+    if encoding is None and _is_foreign(names, frame.agg(undecodable_rows(frame)).first()[0]):
+        return read_csv_text(spark, path, multi_line, FALLBACK)
     return frame.toDF(*names)
 
 
@@ -172,26 +174,25 @@ def read_csv_text(
 
 def type_counts(df: DataFrame) -> DataFrame:
     """One row: per text column the values present and those of each type."""
-    aggs = []
+    aggs = [undecodable_rows(df).alias("undecodable")]
     for i, c in enumerate(df.columns):
-        value = strip(quoted(c))
-        number = value.rlike(NUMBER_PATTERN)
+        raw = ident(c)
+        value = strip_sql(raw)
         aggs += [
-            F.count(quoted(c)).alias(f"n{i}"),
-            F.count_if(value.rlike(INTEGER_PATTERN) & value.try_cast("bigint").isNotNull()).alias(
-                f"i{i}"
+            F.expr(f"count({raw}) AS n{i}"),
+            F.expr(
+                f"count_if({value} RLIKE r'{INTEGER_PATTERN}' "
+                f"AND try_cast({value} AS BIGINT) IS NOT NULL) AS i{i}"
             ),
-            F.count_if(number & value.try_cast("double").isNotNull()).alias(f"f{i}"),
-            F.count_if(F.lower(quoted(c)).isin("true", "false")).alias(f"b{i}"),
+            F.expr(f"count_if({value} RLIKE r'{NUMBER_PATTERN}') AS f{i}"),
+            F.expr(f"count_if(lower({raw}) IN ('true', 'false')) AS b{i}"),
         ]
     return df.agg(*aggs)
 
 
-def infer_types(df: DataFrame) -> dict[str, str]:
-    """Type per text column, from every value: bigint, double, boolean or string."""
-    row = type_counts(df).first()
+def _types(row, columns: Sequence[str]) -> dict[str, str]:
     out = {}
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         n = row[f"n{i}"]
         if n == 0:
             out[c] = "double"
@@ -206,6 +207,11 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     return out
 
 
+def infer_types(df: DataFrame) -> dict[str, str]:
+    """Type per text column, from every value: bigint, double, boolean or string."""
+    return _types(type_counts(df).first(), df.columns)
+
+
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     def typed(c: str) -> Column:
         if types[c] == "string":
@@ -215,12 +221,29 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[typed(c) for c in df.columns])
 
 
+def _typed(
+    spark: SparkSession,
+    path: str,
+    multi_line: bool,
+    encoding: str | None,
+    required: Sequence[str] | None = None,
+) -> DataFrame:
+    """Read, then decide types and encoding in one pass over all values."""
+    frame, names = _read_fields(spark, path, multi_line, encoding or "UTF-8", required is None)
+    if required is not None:
+        places = required_positions(names, required, path)
+        frame, names = frame.select(*[f"_c{i}" for i in places.values()]), list(places)
+    row = type_counts(frame).first()
+    if encoding is None and _is_foreign(names, row["undecodable"]):
+        return _typed(spark, path, multi_line, FALLBACK, required)
+    return apply_types(frame, _types(row, frame.columns)).toDF(*names)
+
+
 def read_csv(
     spark: SparkSession, path: str, multi_line: bool = False, encoding: str | None = None
 ) -> DataFrame:
     """One CSV with types inferred from all its values."""
-    frame, names = _read_fields(spark, path, multi_line, encoding)
-    return apply_types(frame, infer_types(frame)).toDF(*names)
+    return _typed(spark, path, multi_line, encoding)
 
 
 def read_folder(
@@ -283,17 +306,18 @@ def select_required(df: DataFrame, required: Sequence[str], name: str = "data")
 
 
 def read_required(
-    spark: SparkSession, candidates: Sequence[str], required: Sequence[str], typed: bool = True
+    spark: SparkSession,
+    candidates: Sequence[str],
+    required: Sequence[str],
+    multi_line: bool = False,
+    encoding: str | None = None,
 ) -> DataFrame:
-    """Required columns from the first candidate path that exists.
+    """Required columns from the first candidate path that exists, typed.
 
     Only the wanted fields are parsed, so a line with extra fields stays.
     """
     path = first_existing(spark, candidates)
-    frame, names = _read_fields(spark, path, drop_long=False)
-    places = required_positions(names, required, path)
-    text = frame.select(*[F.col(f"_c{i}").alias(c) for c, i in places.items()])
-    return apply_types(text, infer_types(text)) if typed else text
+    return _typed(spark, path, multi_line, encoding, required)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
