@@ -194,32 +194,49 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
     Values are grouped as (column, value) rows, so every column is spread over
     the cluster by its values and repeated values collapse before the shuffle.
+    Whole numbers, other numbers and everything else are grouped apart, each in
+    a type that hashes cheaply.
     """
     columns = list(columns or df.columns)
-    rows = [
-        {
-            "column": sql_text(c),
-            "value": f"CASE WHEN NOT {missing_sql(df, c)} THEN {_distinct_form(df, c)} END",
-        }
-        for c in columns
-    ]
-    return (
-        df.selectExpr(rows_sql(rows))
-        .groupBy("column", "value")
-        .agg(F.lit(1).alias("_one"))
-        .groupBy("column")
-        .agg(F.count("value").alias("distinct_count"))
-    )
+    forms: dict[str, list[str]] = {}
+    for c in columns:
+        forms.setdefault(_value_type(df, c), []).append(c)
+
+    def one_type(type_name: str, names: list[str]) -> DataFrame:
+        rows = [
+            {
+                "k": str(columns.index(c)),
+                "value": f"CASE WHEN NOT {missing_sql(df, c)} THEN {_value_form(df, c, type_name)} END",
+            }
+            for c in names
+        ]
+        return (
+            df.selectExpr(rows_sql(rows))
+            .groupBy("k", "value")
+            .agg(F.lit(1).alias("_one"))
+            .groupBy("k")
+            .agg(F.count("value").alias("distinct_count"))
+        )
+
+    labels = "CASE k " + " ".join(
+        f"WHEN {i} THEN {sql_text(c)}" for i, c in enumerate(columns)
+    ) + " END AS column"
+    counted = union_all([one_type(t, names) for t, names in forms.items()])
+    return counted.selectExpr(labels, "distinct_count")
+
+
+def _value_type(df: DataFrame, name: str) -> str:
+    kind = field_type(df, name).typeName()
+    if kind in ("byte", "short", "integer", "long"):
+        return "BIGINT"
+    return "DOUBLE" if kind in ("float", "double") else "STRING"
 
 
-def _distinct_form(df: DataFrame, name: str) -> str:
+def _value_form(df: DataFrame, name: str, type_name: str) -> str:
     dtype, value = field_type(df, name), ident(name)
     if is_nested_type(dtype) and dtype.typeName() != "binary":
         return f"to_json(struct({value}))"
-    if dtype.typeName() in ("double", "float"):
-        # -0.0 and 0.0 are one value.
-        return f"CASE WHEN {value} = 0 THEN '0.0' ELSE CAST({value} AS STRING) END"
-    return f"CAST({value} AS STRING)"
+    return f"CAST({value} AS {type_name})"
 
 
 def sketch_distinct_sql(df: DataFrame, name: str) -> str:

@@ -762,6 +762,12 @@ ORACLES["model_workflow"] = sql(
     "graded",
 )
 
+ORACLES["model_refusals"] = """
+SELECT 'one_class' AS "case", 'refused' AS status,
+       'Target column does not have at least two classes.' AS reason
+UNION ALL SELECT 'no_target_values', 'refused', 'No rows available after dropping missing target values.'
+UNION ALL SELECT 'no_features', 'refused', 'No usable feature columns were available for modeling.'"""
+
 # ------------------------------------------------------------------- merge
 
 ORACLES["key_quality"] = f"""
