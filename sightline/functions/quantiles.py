@@ -21,45 +21,39 @@ from pyspark.sql import functions as F
 
 CELLS_PER_BINADE = 1024
 SLICES_PER_CELL = 65536
-TOP_EXPONENT = 1075
-BOTTOM_EXPONENT = -1075
+# log2 of any finite double lies strictly between -1075 and 1025.
+LOWEST_LOG, HIGHEST_LOG = -1075, 1025
 
 
 def _placed(df: DataFrame) -> DataFrame:
     """Add ``_cell``, which never decreases with ``_x``, and ``_slice``, which never
     decreases with ``_x`` inside a cell.
 
-    log2 is monotone, so a value it rounds up to the next power of two only moves
-    to that power's first cell, and one it rounds down to the last cell below: the
-    order is kept. Both columns are made non-null so that joins on them do not
-    repeat these expressions in a filter.
+    Both are the whole and the fractional part of the scaled logarithm. The
+    logarithm is monotone, so values it cannot tell apart share a slice and order
+    is kept. Both columns are made non-null so that joins on them do not repeat
+    these expressions in a filter.
     """
-    size, none = F.abs("_x"), F.lit(0).cast("bigint")
+    size = F.abs("_x")
     plain = (size > 0) & (size < float("inf"))
-    last_cell = (TOP_EXPONENT - BOTTOM_EXPONENT + 1) * CELLS_PER_BINADE
-    sign = F.when(F.col("_x") < 0, F.lit(-1).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
-    exponent = F.when(plain, F.floor(F.log2(size))).otherwise(none)
-    fraction = F.greatest(size / F.pow(F.lit(2.0), F.col("_exp")) - 1.0, F.lit(0.0))
-    cell = (
-        F.when(size == 0, none)
-        .when(size == float("inf"), F.lit(last_cell).cast("bigint"))
-        .otherwise(
-            (F.col("_exp") - BOTTOM_EXPONENT) * CELLS_PER_BINADE
-            + F.least(F.floor("_part"), F.lit(CELLS_PER_BINADE - 1).cast("bigint"))
-            + 1
-        )
-    )
-    piece = F.least(
-        F.floor((F.col("_part") - F.least(F.floor("_part"), F.lit(CELLS_PER_BINADE - 1)))
-                * float(SLICES_PER_CELL)),
-        F.lit(SLICES_PER_CELL).cast("bigint"),
+    last_cell = (HIGHEST_LOG - LOWEST_LOG) * CELLS_PER_BINADE
+    scaled = (F.log2(size) - F.lit(float(LOWEST_LOG))) * float(CELLS_PER_BINADE)
+    place = (
+        F.when(plain, scaled).when(size == 0, F.lit(0.0)).otherwise(F.lit(float(last_cell)))
     )
     return (
-        df.withColumn("_exp", exponent)
-        .withColumn("_part", F.when(plain, fraction * float(CELLS_PER_BINADE)).otherwise(0.0))
-        .withColumn("_cell", F.coalesce(sign * cell, none))
-        .withColumn("_slice", F.coalesce(sign * piece, none))
-        .drop("_exp", "_part")
+        df.withColumn("_place", place)
+        .withColumn("_sign", F.when(F.col("_x") < 0, -1).otherwise(1))
+        .withColumn("_cell", F.coalesce(F.col("_sign") * F.floor("_place"), F.lit(0)))
+        .withColumn(
+            "_slice",
+            F.coalesce(
+                F.col("_sign")
+                * F.floor((F.col("_place") - F.floor("_place")) * float(SLICES_PER_CELL)),
+                F.lit(0),
+            ),
+        )
+        .drop("_place", "_sign")
     )
 
 
