@@ -267,11 +267,20 @@ def _matrix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
         .where(F.col("common") >= F.least(needed(n, low_fit, num, den), needed(n, high_fit, num, den)) - 1)
         .select(F.col("rep").alias("query"), F.col("n").alias("query_n"), "grp")
     )
-    pairs = (
-        opened.join(members.select("grp", "rep", "n"), "grp").where(_sizes_fit(n, F.col("query_n"), num, den))
-        .select(F.greatest("rep", "query").alias("a"), F.least("rep", "query").alias("b")).distinct()
+    opened = staged(opened, "opened")
+    inside = (
+        members.join(opened.select("grp").distinct(), "grp", "left_semi").groupBy("grp")
+        .agg(F.collect_list(F.struct("rep", "n", "prefix")).alias("inside"))  # about GROUP members
+    )
+    asks = members.select(F.col("rep").alias("query"), F.col("prefix").alias("query_prefix"))
+    # Members are compared within the row of the query and the group; only possible links become rows.
+    possible = F.filter(
+        "inside",
+        lambda m: _sizes_fit(m["n"], F.col("query_n"), num, den)
+        & (F.size(F.array_intersect(m["prefix"], F.col("query_prefix"))) >= needed(m["n"], F.col("query_n"), num, den)),
     )
-    return _shared_prefix(pairs, members, num, den)
+    pairs = opened.join(inside, "grp").join(asks, "query").select("query", F.explode(possible).alias("m"))
+    return pairs.select(F.greatest("m.rep", "query").alias("a"), F.least("m.rep", "query").alias("b")).distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
