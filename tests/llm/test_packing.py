@@ -12,6 +12,7 @@ from sightline.llm.queries import op8_packing
 from tests.llm.conftest import LONG, no_documents, odd_documents, rows_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+ENCODER, PLAIN = _Encoder(PATH), Tokenizer.from_file(PATH)
 
 
 def best_fit(lengths, capacity):
@@ -54,11 +55,10 @@ def test_plan_is_best_fit(histogram):
 
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.text(alphabet="ab c\n\t'd1.é\x1c <|", max_size=30), max_size=4))
-def test_encoding_in_chunks_is_exact(texts):
-    texts = [*texts, "it's a <|endoftext|> test  of two", " lead", "trail ", "a b\n c"]
-    plain = Tokenizer.from_file(PATH)
-    want = [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-    assert list(_Encoder(PATH).batch(texts)) == want
+def test_encoding_is_exact(texts):
+    texts = [*texts, "it's a <|endoftext|> test  of two", " lead", "trail ", "a b\n c", "x" * 3000, "\n \t" * 900]
+    want = [np.array(PLAIN.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(ENCODER.batch(texts)) == want
 
 
 def checked(rows, docs, whole=True):
