@@ -27,12 +27,11 @@ BUCKET_ROWS = 256
 LONG_RUN = 1_000
 
 
-def _bytes_of(symbols: str) -> bytes:
-    """The bytes that a byte-level vocabulary writes as printable characters."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [x for x in range(256) if x not in set(plain)]
-    table = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(other)}
-    return bytes(table[c] for c in symbols)
+def _byte_symbols() -> dict[str, int]:
+    """The printable characters that a byte-level vocabulary writes for bytes."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [x for x in range(256) if x not in plain]
+    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(other)}
 
 
 class _Encoder:
@@ -52,7 +51,8 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.marks = tuple(special)
-        ranks = {_bytes_of(t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
+        byte = _byte_symbols()
+        ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _plain(self, text: str) -> bool:
