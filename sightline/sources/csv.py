@@ -151,8 +151,12 @@ def _read_fields(
     return frame.select(*[missing_to_null(F.col(c)).alias(c) for c in frame.columns]), names
 
 
-def _is_foreign(names: list[str], undecodable: int) -> bool:
-    return undecodable > 0 or any(REPLACEMENT in n for n in names)
+def _is_foreign(spark: SparkSession, path: str, names: list[str], marked: int) -> bool:
+    """Whether a file is no UTF-8. Replacement characters may stand in it lawfully: the bytes decide."""
+    if not marked and not any(REPLACEMENT in n for n in names):
+        return False
+    # The text source keeps the bytes of a line as they are.
+    return not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_csv_text(
@@ -164,7 +168,9 @@ def read_csv_text(
     A given ``encoding`` saves the pass that looks for undecodable text.
     """
     frame, names = _read_fields(spark, path, multi_line, encoding or "UTF-8")
-    if encoding is None and _is_foreign(names, frame.agg(undecodable_rows(frame)).first()[0]):
+    if encoding is None and _is_foreign(
+        spark, path, names, frame.agg(undecodable_rows(frame)).first()[0]
+    ):
         return read_csv_text(spark, path, multi_line, FALLBACK)
     return frame.toDF(*names)
 
@@ -234,7 +240,7 @@ def _typed(
         places = required_positions(names, required, path)
         frame, names = frame.select(*[f"_c{i}" for i in places.values()]), list(places)
     row = type_counts(frame).first()
-    if encoding is None and _is_foreign(names, row["undecodable"]):
+    if encoding is None and _is_foreign(spark, path, names, row["undecodable"]):
         return _typed(spark, path, multi_line, FALLBACK, required)
     return apply_types(frame, _types(row, frame.columns)).toDF(*names)
 

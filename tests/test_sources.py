@@ -63,3 +63,9 @@ def test_missing_json_is_empty(spark, tmp_path):
     assert results.load_json(spark, str(tmp_path / "none.json"), "a int").collect() == []
     results.save_json(spark.range(3), str(tmp_path / "r.json"))
     assert results.load_json(spark, str(tmp_path / "r.json"), "id long").count() == 3
+
+
+def test_lawful_replacement_characters_are_no_foreign_encoding(spark, tmp_path):
+    (tmp_path / "marks.csv").write_text("id,town\n1,café\n2,a�b\n", encoding="utf-8")
+    got = csv.read_csv(spark, f"{tmp_path}/marks.csv").collect()
+    assert [r["town"] for r in got] == ["café", "a�b"]
