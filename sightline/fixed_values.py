@@ -74,7 +74,6 @@ TOP_PER_DATASET = 12
 TOP_OVERALL = 25
 TOP_PER_TYPE = 3
 TIME_NAME_TOKENS = ["date", "time", "timestamp", "month", "year"]
-TIME_SAMPLE_ROWS = 200
 TIME_PARSED_SHARE = 0.25
 TIME_PARSED_ROWS = 5
 STRENGTH_LABELS = [(0.7, "very strong"), (0.5, "strong"), (0.3, "moderate"), (0.15, "weak")]

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from sightline import fixed_values as fv
 from sightline.functions.scalars import (
-    as_timestamp,
     light_name,
     missing_sql,
     number_sql,
@@ -34,39 +33,17 @@ SMALL_DISTINCT = 100
 RATIO_BAND = 0.025
 
 
-def time_share(
-    df: DataFrame,
-    columns: Sequence[str],
-    order_by: Sequence[str],
-    sample: int = fv.TIME_SAMPLE_ROWS,
-) -> DataFrame:
-    """Parsed and sampled rows per text column, over the first non-missing values."""
-    def one(name: str) -> DataFrame:
-        first = (
-            df.where(quoted(name).isNotNull()).orderBy(*order_by).limit(sample)
-        )
-        return first.agg(
-            F.count("*").alias("sampled"), F.count(as_timestamp(df, name)).alias("parsed")
-        ).select(F.lit(name).alias("column"), "sampled", "parsed")
-
-    return union_all([one(c) for c in columns])
-
-
 def column_stats(
     df: DataFrame,
     dataset: str = "data",
-    order_by: Sequence[str] | None = None,
     exact_distinct: bool = False,
-    time_sample: int = fv.TIME_SAMPLE_ROWS,
 ) -> DataFrame:
     """One row per column: kind, rows, missing, distinct, 0/1 test, date share.
 
     Distinct counts are sketched in the same pass. ``exact_distinct`` replaces
     them by exact ones for every column; otherwise ``settle_distinct`` does so
     only for columns whose estimate lies near a threshold.
-
-    Without ``order_by`` the date share of a text column is taken over all its
-    values in the same pass; with it, over its first ``time_sample`` values.
+    The date share of a text column is taken over all its values.
     """
     kinds = {c: kind_of(df, c) for c in df.columns}
     texts = [
@@ -83,7 +60,7 @@ def column_stats(
         if kinds[c] == "number":
             aggs.append(f"count_if({number_sql(df, c)} NOT IN (0D, 1D)) AS o{i}")
             other = f"o{i}"
-        if c in texts and order_by is None:
+        if c in texts:
             aggs.append(f"count({timestamp_sql(df, c)}) AS t{i}")
             parsed = f"t{i}"
         fields[c] = {
@@ -97,13 +74,6 @@ def column_stats(
             "parsed": parsed,
         }
     stats = unfold(df.agg(*[F.expr(a) for a in aggs]), fields, "column")
-    if order_by is not None and texts:
-        shares = time_share(df, texts, order_by, time_sample)
-        stats = (
-            stats.drop("sampled", "parsed")
-            .join(shares, "column", "left")
-            .fillna(0, ["sampled", "parsed"])
-        )
     if exact_distinct:
         flat = [c for c in df.columns if kinds[c] != "nested"]
         stats = (
@@ -253,18 +223,15 @@ def with_roles(stats: DataFrame, unique_ratio_rule: str = "all") -> DataFrame:
 def column_roles(
     df: DataFrame,
     dataset: str = "data",
-    order_by: Sequence[str] | None = None,
     exact_distinct: bool = False,
     unique_ratio_rule: str = "all",
 ) -> DataFrame:
     """Statistics, role and usability of every column."""
-    keys = {dataset: order_by} if order_by else {}
-    return catalog_roles({dataset: df}, keys, exact_distinct, unique_ratio_rule)
+    return catalog_roles({dataset: df}, exact_distinct, unique_ratio_rule)
 
 
 def catalog_roles(
     datasets: dict[str, DataFrame],
-    order_by: dict[str, Sequence[str]] | None = None,
     exact_distinct: bool = False,
     unique_ratio_rule: str = "all",
 ) -> DataFrame:
@@ -273,11 +240,10 @@ def catalog_roles(
     The statistics, one row per column, are collected; the result is a local
     table that roles, pairs and catalogues read as often as they like.
     """
-    order_by = order_by or {}
     stats = as_local_table(
         union_all(
             [
-                column_stats(df, name, order_by.get(name), exact_distinct)
+                column_stats(df, name, exact_distinct)
                 for name, df in datasets.items()
             ]
         )

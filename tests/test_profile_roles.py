@@ -78,11 +78,10 @@ def test_nearly_unique_measures_can_be_kept(spark):
     assert kept["role"] == "numeric_continuous"
 
 
-def test_date_share_over_a_sample(spark):
+def test_date_share_over_all_values(spark):
     df = spark.range(400).select("id", F.when(F.col("id") < 200, "x").otherwise("2020-01-01").alias("v"))
-    first = roles.column_roles(df, order_by=["id"]).where("column = 'v'").first()
-    assert (first["sampled"], first["parsed"], first["role"]) == (200, 0, "categorical")
-    assert roles.column_roles(df).where("column = 'v'").first()["role"] == "time_like"
+    found = roles.column_roles(df).where("column = 'v'").first()
+    assert (found["sampled"], found["parsed"], found["role"]) == (400, 200, "time_like")
 
 
 def test_strict_names():
