@@ -95,17 +95,17 @@ def ranked_values(df: DataFrame, value: str, ranks: Column, by: Sequence[str] =
     hit_cells = _hits(cells.withColumn("_wants", first), [*keys, "_cell"])
 
     values = (
-        celled.join(F.broadcast(hit_cells.drop("_wants")), [*keys, "_cell"])
+        celled.join(hit_cells.drop("_wants"), [*keys, "_cell"])
         .groupBy(*keys, "_cell", "_slice", "_x")
         .agg(F.count("*").alias("_n"))
     )
     slices = values.groupBy(*keys, "_cell", "_slice").agg(F.sum("_n").alias("_n"))
     slices = _running(slices, [*keys, "_cell"], "_slice")
     hit_slices = _hits(
-        slices.join(F.broadcast(hit_cells), [*keys, "_cell"]), [*keys, "_cell", "_slice"]
+        slices.join(hit_cells, [*keys, "_cell"]), [*keys, "_cell", "_slice"]
     )
 
-    inside = values.join(F.broadcast(hit_slices), [*keys, "_cell", "_slice"])
+    inside = values.join(hit_slices, [*keys, "_cell", "_slice"])
     found = _hits(_running(inside, [*keys, "_cell", "_slice"], "_x"), [*by, "_x"])
     return found.select(*by, F.explode("_wants").alias("_want"), F.col("_x").alias("value")).select(
         *by, F.col("_want.want").alias("_want"), "value"

@@ -117,9 +117,25 @@ def as_key_text(df: DataFrame, name: str) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
-def clean_key(df: DataFrame, name: str, sentinel: float = -1.0) -> Column:
+def as_number_key(df: DataFrame, name: str) -> Column:
+    """Numeric key whose integers stay exact: BIGINT, or DECIMAL(38, 9) of other types.
+
+    What is not a number, or needs more than 29 digits, becomes null; fractions count to nine places.
+    """
+    value, dtype = quoted(name), field_type(df, name)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return value.cast("bigint")
+    if isinstance(dtype, T.DecimalType):
+        return value.try_cast("decimal(38,9)")
+    if is_text_type(dtype):
+        number = strip(value).try_cast("decimal(38,9)")
+        return F.when(as_number(df, name).isNotNull(), number)
+    return as_number(df, name).try_cast("decimal(38,9)")
+
+
+def clean_key(df: DataFrame, name: str, sentinel: int = -1) -> Column:
     """Numeric key with the sentinel turned into null."""
-    number = as_number(df, name)
+    number = as_number_key(df, name)
     return F.when(number != F.lit(sentinel), number)
 
 

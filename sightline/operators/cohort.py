@@ -18,6 +18,7 @@ from sightline.functions.scalars import (
     as_flag,
     as_key_text,
     as_number,
+    as_number_key,
     clean_key,
     domain_key,
     round_even,
@@ -315,7 +316,7 @@ def top_diagnoses(
         .agg(F.sum("_rows").alias("_rows"))
     )
     groups = diag.select(
-        as_number(diag, cols.diagnosis_key).alias("_diagnosis"), F.col(cols.group).alias("_group")
+        as_number_key(diag, cols.diagnosis_key).alias("_diagnosis"), F.col(cols.group).alias("_group")
     ).where(F.col("_group").isNotNull())
     return (
         volumes.join(groups, "_diagnosis")
@@ -486,7 +487,7 @@ def cooccurrence(
     coded = coded.groupBy("_encounter", "_diagnosis").agg(F.count("*").alias("_n"))
     groups = (
         diag.select(
-            as_number(diag, cols.diagnosis_key).alias("_diagnosis"),
+            as_number_key(diag, cols.diagnosis_key).alias("_diagnosis"),
             F.col(cols.group).alias("groupname"),
         )
         .where(F.col("groupname").isNotNull() & F.col("_diagnosis").isNotNull())
@@ -546,7 +547,9 @@ def row_percent(cells: DataFrame) -> DataFrame:
     )
 
 
-def row_percent_wide(long: DataFrame, domains: list[str]) -> DataFrame:
+def row_percent_wide(long: DataFrame) -> DataFrame:
+    """One column per domain of the long form; the vocabulary is collected."""
+    domains = [r["domain"] for r in long.select("domain").distinct().orderBy("domain").collect()]
     return long.groupBy("groupname").pivot("domain", domains).agg(F.first("pct"))
 
 

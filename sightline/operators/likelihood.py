@@ -132,7 +132,7 @@ def stratified_split(
     cuts = ranked_values(marked, "_unit", ranks, [target]).select(
         F.col(target).alias("_class"), F.col("value").alias("_cut")
     )
-    joined = marked.join(F.broadcast(cuts), F.col(target) == F.col("_class"), "left")
+    joined = marked.join(cuts, F.col(target) == F.col("_class"), "left")
     return joined.withColumn(
         "is_test", F.coalesce(F.col("_unit") <= F.col("_cut"), F.lit(False))
     ).drop("_unit", "_class", "_cut")
@@ -143,7 +143,10 @@ def stratified_split(
 
 @dataclass(frozen=True)
 class FittedModel:
-    """``status`` is 'fitted' or 'refused' with a ``reason``."""
+    """``status`` is 'fitted' or 'refused' with a ``reason``.
+
+    ``left_out`` names the features without any value in the training rows.
+    """
 
     status: str
     reason: str | None = None
@@ -152,6 +155,7 @@ class FittedModel:
     sample: DataFrame | None = None
     train_rows: int = 0
     test_rows: int = 0
+    left_out: tuple[str, ...] = ()
 
 
 def logistic_stages(categories: Sequence[str], numbers: Sequence[str], n_train: int) -> Pipeline:
@@ -171,7 +175,7 @@ def logistic_stages(categories: Sequence[str], numbers: Sequence[str], n_train:
         )
         stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True))
     stages.append(
-        VectorAssembler(inputCols=[*encoded, *numbers], outputCol="_features", handleInvalid="skip")
+        VectorAssembler(inputCols=[*encoded, *numbers], outputCol="_features", handleInvalid="error")
     )
     stages.append(
         LogisticRegression(
@@ -183,26 +187,46 @@ def logistic_stages(categories: Sequence[str], numbers: Sequence[str], n_train:
 
 
 def fit_logistic(
-    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], seed: int = 42
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    key: Sequence[str],
+    seed: int = 42,
+    test_share: float = 0.2,
 ) -> FittedModel:
     """Split, impute on the training rows, fit, and score the test rows."""
     if not features:
         return FittedModel("refused", "No usable feature columns were available for modeling.")
     working = df.select(
-        *dict.fromkeys([*key, *features]), as_number(df, target).cast("int").alias("label")
+        *dict.fromkeys([*key, *features]), as_number(df, target).alias("label")
     ).where(F.col("label").isNotNull())
-    sizes = {r["label"]: r["count"] for r in working.groupBy("label").count().collect()}
-    rows = sum(sizes.values())
-    if rows == 0:
+    facts = working.agg(
+        F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"),
+        F.count_if(F.col("label") != F.floor("label")).alias("fractions"),
+    ).first()
+    if facts["rows"] == 0:
         return FittedModel("refused", "No rows available after dropping missing target values.")
-    if len(sizes) < 2:
+    if facts["fractions"]:
+        return FittedModel("refused", "The target holds numbers that are not whole, so it has no classes.")
+    working = working.withColumn("label", F.col("label").cast("int"))
+    if facts["low"] == facts["high"]:
         return FittedModel("refused", "Target column does not have at least two classes.")
     categories = [c for c in features if is_category(df, c)]
     numbers = [c for c in features if c not in categories]
-    split = stratified_split(working, "label", key, 0.2 if rows >= 20 else 0.3, seed)
+    split = stratified_split(working, "label", key, test_share, seed)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fills = impute_values(split.where(~F.col("is_test")), categories, numbers)
+        # One row per feature.
+        fills = df.sparkSession.createDataFrame(fills.collect(), fills.schema)
+        known = {
+            r["column"] for r in fills.collect()
+            if r["text_fill"] is not None or r["number_fill"] is not None
+        }
+        left_out = tuple(c for c in features if c not in known)
+        categories, numbers = ([c for c in x if c in known] for x in (categories, numbers))
+        if not known:
+            return FittedModel("refused", "No feature has a value in the training rows.", left_out=left_out)
         filled = fill_missing(split, fills, categories, numbers)
         train, test = filled.where(~F.col("is_test")), filled.where("is_test")
         counted = {r["is_test"]: r["count"] for r in split.groupBy("is_test").count().collect()}
@@ -225,6 +249,7 @@ def fit_logistic(
         scored.orderBy(*key).limit(20),
         n_train,
         n_test,
+        left_out,
     )
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sightline import fixed_values as fv
 from sightline.functions.scalars import quoted, round_even, strict_name
-from sightline.operators.profile import union_all
 
 RESULT_SCHEMA = (
     "dataset_pair string, status string, reason string, keys_used array<string>, "
@@ -216,19 +215,16 @@ def merge_all(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Run every ready merge action: a result table and the merged DataFrames.
 
-    The action table has one row per dataset pair and is collected; each pair
-    becomes one lazy job. A pair that cannot be merged gives a row with a reason.
+    The action table has one row per dataset pair and is collected, and so is a row
+    of sizes and key quality of each pair; the merged tables stay lazy. A pair that
+    cannot be merged gives a row with a reason and no table.
     """
     spark = actions.sparkSession
-    results: list[DataFrame] = [spark.createDataFrame([], RESULT_SCHEMA)]
+    results: list[tuple] = []
     merged: dict[str, DataFrame] = {}
 
     def failed(pair: str, reason: str, keys: list[str] | None = None) -> None:
-        results.append(
-            spark.createDataFrame(
-                [(pair, "failed", reason, keys) + (None,) * 6], RESULT_SCHEMA
-            )
-        )
+        results.append((pair, "failed", reason, keys) + (None,) * 6)
 
     for action in actions.orderBy("dataset_pair").collect():
         pair = action["dataset_pair"]
@@ -248,18 +244,14 @@ def merge_all(
         if not keys:
             failed(pair, "No join keys available.")
             continue
-        quality, sizes = key_quality(left, right, keys), join_sizes(left, right, keys)
-        row = sizes.select(
-            F.lit(pair).alias("dataset_pair"),
-            F.when(quality.select("valid").scalar(), "merged").otherwise("failed").alias("status"),
-            F.when(
-                ~quality.select("valid").scalar(), "Join keys become empty after dropping nulls."
-            ).alias("reason"),
-            F.array(*[F.lit(k) for k in keys]).alias("keys_used"),
-            "left_rows", "right_rows", "inner_rows", "left_join_rows",
-            quality.select("left_unique_ratio").scalar().alias("left_unique_ratio"),
-            quality.select("right_unique_ratio").scalar().alias("right_unique_ratio"),
+        quality, sizes = key_quality(left, right, keys).first(), join_sizes(left, right, keys).first()
+        valid = quality["valid"]
+        results.append(
+            (pair, "merged" if valid else "failed", None if valid else "Join keys become empty after dropping nulls.", keys)
+            + (sizes["left_rows"], sizes["right_rows"], sizes["inner_rows"], sizes["left_join_rows"])
+            + (quality["left_unique_ratio"], quality["right_unique_ratio"])
         )
-        results.append(row)
-        merged[pair] = merge_or_left(left, right, keys, *names)
-    return union_all(results), merged
+        if valid:
+            how = "inner" if sizes["inner_rows"] else "left"
+            merged[pair] = merge_pair(left, right, keys, *names, how)
+    return spark.createDataFrame(results, RESULT_SCHEMA), merged

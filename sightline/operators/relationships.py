@@ -178,7 +178,7 @@ def group_moments(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> Da
     """Count, mean and centred sum of squares of every value column in every group.
 
     One grouping-sets pass; long result: ``by``, ``group``, ``value``, ``n``,
-    ``mean``, ``m2``. Rows without a group are left out.
+    ``mean``, ``m2``, ``binary`` (no value but 0 and 1). Rows without a group are left out.
     """
     keys = [F.col(f"g{i}") for i in range(len(by))]
     narrow = df.selectExpr(
@@ -192,11 +192,12 @@ def group_moments(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> Da
             for j in range(len(values))
             for name, fn in (("n", "count"), ("a", "avg"), ("p", "var_pop"))
         ],
+        *[F.expr(f"bool_and(v{j} IN (0D, 1D)) AS b{j}") for j in range(len(values))],
     )
     which = " ".join(f"WHEN away{i} = 0 THEN {sql_text(c)}" for i, c in enumerate(by))
     group = " ".join(f"WHEN away{i} = 0 THEN CAST(g{i} AS STRING)" for i in range(len(by)))
     rows = [
-        {"value": sql_text(c), "n": f"n{j}", "mean": f"a{j}", "m2": f"p{j} * n{j}"}
+        {"value": sql_text(c), "n": f"n{j}", "mean": f"a{j}", "m2": f"p{j} * n{j}", "binary": f"b{j}"}
         for j, c in enumerate(values)
     ]
     named = sums.selectExpr(f"CASE {which} END AS by", f"CASE {group} END AS group", "*")
@@ -337,7 +338,7 @@ def _add_medians(df: DataFrame, kept: DataFrame, pairs: Sequence[Pair]) -> DataF
         for (a, b), k in numbered.items()
     ]
     long = df.selectExpr(rows_sql(rows)).join(
-        F.broadcast(kept.select(number.alias("pair"))), "pair", "left_semi"
+        kept.select(number.alias("pair")), "pair", "left_semi"
     )
     medians = (
         exact_median(long, "x", ["pair", "group"])
@@ -356,10 +357,12 @@ def categorical_binary(
     moments: DataFrame | None = None,
     min_group: int = fv.MIN_GROUP_ROWS,
 ) -> DataFrame:
-    """Difference between the highest and lowest rate of a 0/1 column."""
+    """Difference between the highest and lowest rate of a 0/1 column; none if it holds other values."""
     if moments is None:
         moments = group_moments(df, sorted({a for a, _ in pairs}), sorted({b for _, b in pairs}))
-    groups = _with_totals(_only_pairs(moments, pairs)).where(F.col("n") >= min_group)
+    binary = F.bool_and("binary").over(Window.partitionBy("by", "value"))
+    groups = _with_totals(_only_pairs(moments, pairs)).withColumn("binary", binary)
+    groups = groups.where(F.col("binary") & (F.col("n") >= min_group))
     gap = F.col("top_mean") - F.col("bottom_mean")
     kept = _best_and_worst(groups).withColumn("gap", gap).where(
         (F.col("rows_used") >= min_rows) & (F.col("n_groups") >= 2) & (F.col("gap") >= min_score)
@@ -404,12 +407,17 @@ def binary_numeric(
     min_rows: int = fv.MIN_ROWS,
     moments: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean difference between 1 and 0 in units of the standard deviation."""
+    """Mean difference between 1 and 0 in units of the standard deviation.
+
+    A boolean column counts as 0/1; one that holds other values gives no finding.
+    """
     if moments is None:
         moments = group_moments(df, sorted({a for a, _ in pairs}), sorted({b for _, b in pairs}))
-    sides = _with_totals(_only_pairs(moments, pairs)).withColumn(
-        "side", F.col("group").try_cast("double").cast("int")
+    flags = [c for c, dtype in df.dtypes if dtype == "boolean"]
+    side = F.when(F.col("by").isin(flags), (F.col("group") == "true").cast("double")).otherwise(
+        F.col("group").try_cast("double")
     )
+    sides = _with_totals(_only_pairs(moments, pairs)).withColumn("side", side)
 
     def mean_of(side: int) -> Column:
         return F.max(F.when(F.col("side") == side, F.col("mean")))
@@ -419,9 +427,10 @@ def binary_numeric(
         F.first("std").alias("std"),
         mean_of(0).alias("mean_0"),
         mean_of(1).alias("mean_1"),
+        F.bool_and(F.coalesce(F.col("side").isin(0.0, 1.0), F.lit(False))).alias("binary"),
     )
     effect = F.try_divide(F.abs(F.col("mean_1") - F.col("mean_0")), F.col("std"))
-    kept = measured.withColumn("effect", effect).where(
+    kept = measured.where("binary").withColumn("effect", effect).where(
         (F.col("rows_used") >= min_rows) & (F.col("effect") >= min_score)
     )
     direction = F.when(F.col("mean_1") > F.col("mean_0"), "higher").otherwise("lower")

@@ -175,8 +175,7 @@ def rq4_row_pct(spark, d):
 @query
 def rq4_row_pct_wide(spark, d):
     share = cohort.row_percent(cohort.top_groups(_cells(spark, d)))
-    names = t.screenings(spark, d).select("domain").distinct().orderBy("domain").collect()
-    return rounded(cohort.row_percent_wide(share, [r["domain"] for r in names]))
+    return rounded(cohort.row_percent_wide(share))
 
 
 @query
@@ -328,7 +327,7 @@ ROLE_COLUMNS = [
 
 @query
 def column_roles(spark, d):
-    found = roles.column_roles(t.orders_nulled(spark, d), "orders_nulled", ["o_orderkey"])
+    found = roles.column_roles(t.orders_nulled(spark, d), "orders_nulled")
     return rounded(found.select(*ROLE_COLUMNS))
 
 
@@ -340,7 +339,7 @@ def column_roles_planted(spark, d):
 
 @query
 def usable_columns(spark, d):
-    found = roles.column_roles(t.table(spark, d, "documents"), "documents", ["doc_id"])
+    found = roles.column_roles(t.table(spark, d, "documents"), "documents")
     return found.select("column", "role", "usable", "exclusion_reason")
 
 

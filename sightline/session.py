@@ -8,8 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(name: str = "sightline", master: str | None = None, **settings) -> SparkSession:
-    """A session with adaptive execution on. On a cluster leave ``master`` unset."""
+def build_session(
+    name: str = "sightline", master: str | None = None, initial_partitions: int = 20_000, **settings
+) -> SparkSession:
+    """A session with adaptive execution on. On a cluster leave ``master`` unset.
+
+    Shuffles of a cluster start with ``initial_partitions``, which adaptive execution merges: it
+    merges small partitions of an aggregation but does not split large ones.
+    """
     builder = (
         SparkSession.builder.appName(name)
         .config("spark.sql.adaptive.enabled", "true")
@@ -26,6 +32,10 @@ def build_session(name: str = "sightline", master: str | None = None, **settings
             .config("spark.ui.enabled", "false")
             .config("spark.sql.shuffle.partitions", "8")
         )
+    else:
+        builder = builder.config(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial_partitions)
+        )
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

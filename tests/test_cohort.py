@@ -141,3 +141,26 @@ def test_only_chosen_questions_are_built(spark, tiny):
     frames = [f(spark, tiny) for f in (t.encounters, t.screenings, t.diagnoses, t.departments, t.area_codes)]
     names = set(cohort_questions(*frames, which=("2",)))
     assert names == {"q2_utilizer_summary", "q2_top_diagnoses", "q2_encounter_histogram"}
+
+
+def test_neighbouring_large_keys_stay_apart(spark):
+    large = 2**53
+    facts = spark.range(4).select(
+        F.col("id").alias("patientdurablekey"), F.col("id").alias("encounterkey"),
+        (F.lit(large) + F.col("id") % 2).alias("primarydiagnosiskey"),
+    )
+    screens = spark.range(4).select(F.col("id").alias("encounterkey"), F.lit("Food").alias("domain"))
+    want = {"A": 2, "B": 2}
+    for kind in ("bigint", "string", "decimal(20,0)"):
+        dims = spark.createDataFrame([(large, "A"), (large + 1, "B")], "diagnosiskey long, groupname string")
+        dims = dims.withColumn("diagnosiskey", F.col("diagnosiskey").cast(kind))
+        got = cohort.cooccurrence(facts, screens, dims).collect()
+        assert {r["groupname"]: r["count"] for r in got} == want
+        top = cohort.top_diagnoses(facts, dims, quantile=0.0).collect()
+        assert {r["diagnosis_group"]: r["count"] for r in top} == want
+
+
+def test_wide_crosstab_takes_its_domains_from_the_cells(spark):
+    cells = spark.createDataFrame([("g", "ECO", 3), ("g", "Food", 1)], "groupname string, domain string, count long")
+    wide = cohort.row_percent_wide(cohort.row_percent(cells))
+    assert wide.columns == ["groupname", "ECO", "Food"] and tuple(wide.first()) == ("g", 75.0, 25.0)

@@ -77,3 +77,14 @@ def test_rates(spark, tiny):
     assert got == sorted(got, key=lambda r: (-r["percent_rate"], r["lang"]))
     gap = likelihood.rate_gap(rates, "lang").first()
     assert gap["top_group"] == got[0]["lang"] and gap["bottom_group"] == got[-1]["lang"]
+
+
+def test_features_without_values_are_left_out_and_fractions_are_refused(spark):
+    df = spark.range(200).select(
+        "id", (F.col("id") % 2 + F.rand(3)).alias("x"), F.lit(None).cast("double").alias("none"),
+        (F.col("id") % 2).alias("y"), (F.col("id") % 4 * 0.25).alias("part"),
+    )
+    fitted = likelihood.fit_logistic(df, ["x", "none"], "y", ["id"])
+    assert (fitted.status, fitted.left_out) == ("fitted", ("none",))
+    assert likelihood.fit_logistic(df, ["none"], "y", ["id"]).status == "refused"
+    assert "not whole" in likelihood.fit_logistic(df, ["x"], "part", ["id"]).reason

@@ -86,3 +86,16 @@ def test_hot_group_and_many_pairs_in_tiles(spark):
     assert len(got) == len(pairs)
     for r in got[::17]:
         assert r["metric_value"] == pytest.approx(corr.loc[r["column_a"], r["column_b"]], abs=6e-5)
+
+
+def test_booleans_count_as_zero_and_one_and_other_values_give_nothing(spark):
+    df = spark.range(60).select(
+        (F.col("id") % 2).cast("int").alias("number"), (F.col("id") % 2 == 1).alias("flag"),
+        (F.col("id") % 3 * 0.5).alias("half"), (F.col("id") % 2 * 5.0 + F.col("id") % 7).alias("v"),
+    )
+    found = {r["column_a"]: r for r in rel.binary_numeric(df, [(c, "v") for c in ("number", "flag", "half")]).collect()}
+    assert set(found) == {"number", "flag"}
+    assert found["flag"]["metric_value"] == found["number"]["metric_value"]
+    kinds = df.select(F.when(F.col("number") == 1, "a").otherwise("b").alias("kind"), "flag", (F.col("number") * 10).alias("ten"))
+    rates = rel.categorical_binary(kinds, [("kind", "flag"), ("kind", "ten")]).collect()
+    assert [r["column_b"] for r in rates] == ["flag"]
