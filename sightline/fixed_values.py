@@ -167,5 +167,4 @@ CONCEPT_ALIASES = {
 
 # Join keys preferred among shared columns.
 PREFERRED_KEYS = ["id", "year", "date", "zip_code", "zipcode"]
-MAX_JOIN_KEYS = 3
 MERGE_ACTIONS = ["test_merge_first", "evaluate_merge_after_standardization"]

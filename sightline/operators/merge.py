@@ -58,10 +58,12 @@ def join_keys(
     declared: Sequence[str] = (),
     shared: Sequence[str] = (),
     renames: dict[str, str] | None = None,
+    max_keys: int | None = None,
 ) -> list[str]:
     """Declared keys, else shared columns that look like keys, else shared columns.
 
-    Names given before standardisation are mapped through ``renames``.
+    Names given before standardisation are mapped through ``renames``. Of shared
+    columns all count, or the first ``max_keys``.
     """
     renames = renames or {}
 
@@ -73,7 +75,7 @@ def join_keys(
         return keys
     found = usable(shared)
     preferred = [k for k in found if k.endswith("_id") or k in fv.PREFERRED_KEYS]
-    return (preferred or found)[: fv.MAX_JOIN_KEYS]
+    return (preferred or found)[:max_keys]
 
 
 # ------------------------------------------------------------- key quality
