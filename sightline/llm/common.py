@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.session import shared_folder
 from sightline.sources.tables import table
 
-__all__ = ["WORD", "pick", "staged", "table", "word_count"]
+__all__ = ["WORD", "mixed", "pick", "staged", "table", "word_count"]
 
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,5 +44,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all bits, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,25 +18,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import pick, staged
+from sightline.llm.common import mixed, pick, staged
 from sightline.llm.components import connected_components
 
 #: Occurrences that make a shingle frequent, and frequent shingles at most (the most frequent ones).
 FREQUENT, MAX_FREQUENT = 16, 1_000_000
 #: Members of a group, words that a worker remembers, shingles worked on at once, rows to broadcast.
 GROUP, KNOWN_WORDS, AT_ONCE, MAX_BROADCAST = 32, 500_000, 4_000_000, 1_000_000
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 #: Shingle hashes below this are counted one by one; others once they repeat within a batch.
 _COUNTED = np.uint64(2**64 // 6)
 _FLAG = np.int64(1) << np.int64(62)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingles:
     """Sorted distinct 64-bit shingle hashes of texts; words are lower-cased A-Z, split at ASCII space."""
 
@@ -58,7 +52,7 @@ class Shingles:
         size = min(self.words, len(hashes))
         out = np.full(len(hashes) - size + 1, np.uint64(size))
         for i in range(size):
-            out = _mixed(out * _M1 + hashes[i : len(hashes) - size + 1 + i])
+            out = mixed(out * _M1 + hashes[i : len(hashes) - size + 1 + i])
         return np.unique(out)
 
 

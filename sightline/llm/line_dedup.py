@@ -17,12 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import pick, shuffle_tasks, staged
+from sightline.llm.common import mixed, pick, shuffle_tasks, staged
 from sightline.llm.components import connected_components
 
-#: Lines of a hot signature that meet in one tile, rows to broadcast at most, rows sent at once.
-TILE, MAX_BROADCAST, AT_ONCE = 256, 1_000_000, 500_000
+#: Lines of a hot signature that meet in one tile, rows to broadcast at most, characters worked on at once.
+TILE, MAX_BROADCAST, AT_ONCE = 256, 1_000_000, 1_000_000
 _SEED = 42  # the seed of the built-in xxhash64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def within_edits(a: str, b: str, limit: int) -> bool:
@@ -128,10 +130,10 @@ def probe_plan(length: int, limit: int) -> list[tuple[int, int, int, bool]]:
     return plan
 
 
-def _bag(points: np.ndarray) -> int:
-    """Counts of 16 classes of code points, modulo 16, in the 16 halves of the bytes of a 64-bit number."""
-    counts = np.bincount(points & 15, minlength=16) & 15
-    return int((counts.astype(np.uint64) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum())
+def _bags(points: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
+    """Per line the counts of 16 classes of code points, modulo 16, in the 16 halves of the bytes of a 64-bit number."""
+    counts = np.bincount(owner * 16 + (points & 15), minlength=16 * lines).reshape(-1, 16) & 15
+    return (counts.astype(np.uint64) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
 
 
 def bags_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,45 +145,83 @@ def bags_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+class LineSignatures:
+    """Signatures of the substrings of many lines at once.
+
+    A running sum of code points times powers of an odd number gives the hash of any substring as a
+    difference, divided by the power at its start (modulo 2**64). Equal substrings have equal hashes; others
+    that collide only cost a verification.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.plans: dict[int, np.ndarray] = {}
+        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
+
+    def _plan(self, length: int) -> np.ndarray:
+        """Rows of seed, start, end and indexed; a line without segments, up to ``limit`` long, has none."""
+        if (plan := self.plans.get(length)) is None:
+            if len(self.plans) > 5000:
+                self.plans.clear()
+            plan = self.plans[length] = np.array(probe_plan(length, self.limit), dtype=np.int64).reshape(-1, 4).T
+        return plan
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.powers):
+            one = np.ones(1, dtype=np.uint64)
+            self.powers = np.concatenate([one, np.cumprod(np.full(n, _BASE))])
+            self.inverse = np.concatenate([one, np.cumprod(np.full(n, _INVERSE))])
+
+    def __call__(self, lines: list[str], names: list[int]) -> pa.RecordBatch:
+        length = np.array([len(x) for x in lines], dtype=np.int64)
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        bags = _bags(points, np.repeat(np.arange(len(lines)), length), len(lines))
+        self._grow(len(points) + 1)
+        sums = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum(mixed(points.astype(np.uint64) + _BASE) * self.powers[: len(points)], out=sums[1:])
+        begin = np.cumsum(length) - length
+        different, which = np.unique(length, return_inverse=True)
+        plans = [self._plan(int(x)) for x in different]
+        rows = np.array([x.shape[1] for x in plans], dtype=np.int64)
+        seed, start, end, indexed = np.concatenate(plans, axis=1) if plans else np.zeros((4, 0), dtype=np.int64)
+        # The plan rows of a line's length follow each other in the joined plans.
+        mine = rows[which]
+        row = np.repeat(np.arange(len(lines)), mine)
+        at = np.arange(len(row)) + np.repeat((np.cumsum(rows) - rows)[which] - (np.cumsum(mine) - mine), mine)
+        first, last = begin[row] + start[at], begin[row] + end[at]
+        sig = mixed(((sums[last] - sums[first]) * self.inverse[first]) ^ mixed(seed.astype(np.uint64) + _BASE)[at])
+        line = np.array(names, dtype=np.uint64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(sig.view(np.int64)), pa.array(line[row].view(np.int64)), pa.array(indexed[at] == 1), pa.array(bags[row].view(np.int64))],
+            names=["sig", "line", "indexed", "bag"],
+        )
+
+
 def _signatures(docs: DataFrame, limit: int, min_chars: int) -> DataFrame:
     """(sig, line, indexed, bag) of the different lines of each batch of texts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, list] = {}
-
-        def table(out: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64())],
-                names=["sig", "line", "indexed", "bag"],
-            )
-
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        signatures = LineSignatures(limit)
         for batch in batches:
-            seen: set[str] = set()
-            out: list[list] = [[], [], [], []]
+            seen: set[int] = set()
+            lines: list[str] = []
+            names: list[int] = []
+            size = 0
             for text in batch.column("text"):
                 for line in (text.as_py() or "").split("\n"):
-                    if len(line) < min_chars or line in seen:
+                    if len(line) < min_chars:
+                        continue
+                    name = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), _SEED)
+                    if name in seen:
                         continue
-                    seen.add(line)
-                    raw = line.encode("utf-8", "surrogatepass")
-                    plain = len(raw) == len(line)
-                    points = np.frombuffer(raw, np.uint8) if plain else np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-                    name, bag = signed(xxhash.xxh64_intdigest(raw, _SEED)), signed(_bag(points))
-                    if (plan := plans.get(len(line))) is None:
-                        if len(plans) > 5000:
-                            plans.clear()
-                        plan = plans[len(line)] = probe_plan(len(line), limit)
-                    for seed, i, j, indexed in plan:
-                        part = raw[i:j] if plain else line[i:j].encode("utf-8", "surrogatepass")
-                        out[0].append(signed(xxhash.xxh64_intdigest(part, seed)))
-                        out[1].append(name)
-                        out[2].append(indexed)
-                        out[3].append(bag)
-                if len(out[0]) >= AT_ONCE:
-                    yield table(out)
-                    out = [[], [], [], []]
-            yield table(out)
+                    seen.add(name)
+                    lines.append(line)
+                    names.append(name)
+                    size += len(line)
+                    if size >= AT_ONCE:
+                        yield signatures(lines, names)
+                        lines, names, size = [], [], 0
+            yield signatures(lines, names)
 
     return docs.mapInArrow(emit, "sig long, line long, indexed boolean, bag long")
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sightline.llm.line_dedup import bags_apart, _bag, dedup_lines, probe_plan, segments, whole_runs, within_edits, without_lines
+from sightline.llm.line_dedup import LineSignatures, _bags, bags_apart, dedup_lines, probe_plan, segments, whole_runs, within_edits, without_lines
 from sightline.llm.queries import op9_line_dedup
 from tests.llm.conftest import no_documents, odd_documents, rows_of
 
@@ -45,7 +45,7 @@ def test_edited_lines_are_found(a, edits, limit):
     b = "".join(b)
     d = distance(a, b)
     assert within_edits(a, b, limit) == (d <= limit)
-    bags = [np.array([_bag(np.array([ord(c) for c in x], dtype=np.uint32))], dtype=np.uint64) for x in (a, b)]
+    bags = [_bags(np.array([ord(c) for c in x], dtype=np.uint32), np.zeros(len(x), dtype=np.int64), 1) for x in (a, b)]
     assert bags_apart(*bags)[0] <= 2 * d
     if d <= limit:  # lines within the limit meet under a signature that one of them has indexed
         sigs = [{(seed, x[i:j]): own for seed, i, j, own in probe_plan(len(x), limit)} for x in (a, b)]
@@ -53,6 +53,19 @@ def test_edited_lines_are_found(a, edits, limit):
         assert index[0] & set(sigs[1]) or index[1] & set(sigs[0])
 
 
+def test_signatures_name_the_planned_substrings():
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abc\U0001f600") for _ in range(n)) for n in [3, 3, 4, 5, 5, 9, 40, 40, 41, 42] * 3]
+    got = LineSignatures(2)(lines, list(range(len(lines)))).to_pydict()
+    want = [(number, seed, line[i:j], known) for number, line in enumerate(lines) for seed, i, j, known in probe_plan(len(line), 2)]
+    assert got["line"] == [w[0] for w in want] and got["indexed"] == [w[3] for w in want]
+    by_sig = {}
+    for sig, (_, seed, part, _) in zip(got["sig"], want):
+        by_sig.setdefault(sig, set()).add((seed, part))
+    assert all(len(x) == 1 for x in by_sig.values()) and len(by_sig) == len({w[1:3] for w in want})
+    assert LineSignatures(2)([], []).num_rows == 0
+
+
 def test_segments():
     assert segments(10, 3) == [(0, 3), (3, 6), (6, 10)]
 
