@@ -391,13 +391,14 @@ def repeated_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 40) ->
 def with_removed(docs: DataFrame, max_edits: int = 2, min_chars: int = 40) -> DataFrame:
     """``docs`` (which needs doc_id and text) with ``removed``, the sorted numbers of its repeated lines."""
     gone = (
-        repeated_lines(docs, max_edits, min_chars).groupBy(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash"))
-        .agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
-    return docs.join(gone, same, "left").drop("gone_id", "gone_hash").withColumn(
-        "removed", F.coalesce("removed", F.array().cast("array<int>"))
+        repeated_lines(docs, max_edits, min_chars).groupBy(F.col("doc_id").alias("_gone_id"), F.col("hash").alias("_gone_hash"))
+        .agg(F.array_sort(F.collect_set("line_no")).alias("_removed"))
     )
+    # The hash is a column of its own, so that texts travel only for a caller who takes them.
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash"))
+    removed = F.coalesce("_removed", F.array().cast("array<int>")).alias("removed")
+    return hashed.join(gone, same, "left").select(*docs.columns, removed)
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 40) -> DataFrame:
@@ -409,9 +410,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 40) -> Dat
     removed. A null text has no lines, an empty one has one empty line. Rows that repeat both doc_id and
     text count as one. An empty table gives an empty result. Columns besides doc_id and text are ignored.
     """
-    return with_removed(pick(docs, "doc_id", "text"), max_edits, min_chars).select(
-        "doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), "removed"
-    )
+    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
+    rows = pick(docs, "doc_id", "text").withColumn("n_lines", n_lines)
+    return with_removed(rows, max_edits, min_chars).select("doc_id", "text", "n_lines", "removed")
 
 
 def without_lines(text: Column, removed: Column) -> Column:
