@@ -159,6 +159,19 @@ def needed(a: Column, b: Column, num: int, den: int) -> Column:
     return F.greatest(F.lit(1), least_overlap(a, b, num, den) + F.floor(-num * F.greatest(a, b) / den + 1e-9) + 1)
 
 
+def least_needed(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
+    """The least that ``needed`` asks of a set of size n and any size from low to high that can be linked.
+
+    Up to n it grows with the other size. Beyond n it falls by t * t / (1 + t) a step, give or take two for
+    rounding, so the last 3 * (1 + t) / (t * t) sizes hold the least.
+    """
+    low = F.greatest(low, -F.floor(-n * num / den + 1e-9)).cast("long")
+    high = F.least(high, F.floor(n * den / num + 1e-9)).cast("long")
+    steps = 3 * den * (num + den) // (num * num) + 1
+    last = F.transform(F.sequence(F.greatest(low, high - steps), F.greatest(low, high)), lambda b: needed(n, b, num, den))
+    return F.least(needed(n, low, num, den), F.array_min(last))
+
+
 def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
@@ -246,19 +259,19 @@ def _matrix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     shared = staged(tokens.join(F.broadcast(live) if few else live, "token"), "shared")
     top = shared.groupBy("token").agg(F.max("rank").alias("top"))
     matrix = shared.groupBy("token", "grp", "rank").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high")).withColumnRenamed("rank", "grp_rank")
-    asking = shared.join(top, "token").where(F.col("rank") < F.col("top")).select("token", "rep", "n", "rank")
+    asking = staged(shared.join(top, "token").where(F.col("rank") < F.col("top")).select("token", "rep", "n", "rank"), "asking")
+    # A set with fewer such shingles in all than a link to the group's sizes takes need not ask that group.
+    asking = asking.join(asking.groupBy("rep").agg(F.count("*").alias("asks")), "rep")
     n, low, high = F.col("n"), F.col("n_low"), F.col("n_high")
-    # Both ends of the group's sizes bound what any member needs; sizes a member cannot have are cut off.
-    low_fit = F.greatest(low, -F.floor(-n * num / den + 1e-9))
-    high_fit = F.least(high, F.floor(n * den / num + 1e-9))
     bounds = members.groupBy("grp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
     opened = (
-        asking.join(matrix, "token").where(F.col("rank") < F.col("grp_rank"))
-        .where((high * den >= n * num) & (n * den >= low * num))
+        asking.join(
+            matrix,
+            (asking["token"] == matrix["token"]) & (F.col("rank") < F.col("grp_rank")) & (high * den >= n * num) & (n * den >= low * num)
+            & (F.col("asks") >= least_needed(n, low, high, num, den)),
+        )
         .groupBy("rep", "n", "grp").agg(F.count("*").alias("common"))
-        .join(bounds, "grp")
-        # Less one: between the ends rounding may ask for one less.
-        .where(F.col("common") >= F.least(needed(n, low_fit, num, den), needed(n, high_fit, num, den)) - 1)
+        .join(bounds, "grp").where(F.col("common") >= least_needed(n, low, high, num, den))
         .select(F.col("rep").alias("query"), F.col("n").alias("query_n"), "grp")
     )
     opened = staged(opened, "opened")

@@ -2,9 +2,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm.components import connected_components
-from sightline.llm.jaccard_join import ngram_jaccard_join
+from sightline.llm.jaccard_join import least_needed, ngram_jaccard_join
 from sightline.llm.queries import op5_ngram_jaccard
 from tests.llm.conftest import no_documents, odd_documents, rows_of
 
@@ -109,3 +110,22 @@ def test_components(spark):
     rows = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (8, 10), (1, 2)])
+def test_least_needed_is_the_least_over_the_sizes(spark, num, den):
+    rng = random.Random(num)
+    cases = []
+    for _ in range(400):
+        n = rng.randint(1, 400)
+        low = rng.randint(max(1, n * num // den - 3), n * den // num + 1)
+        cases.append((n, low, low + rng.choice([0, 1, 5, 60])))
+    ceil = lambda a, b: -(-a // b)
+    cases = [c for c in cases if max(c[1], ceil(c[0] * num, den)) <= min(c[2], c[0] * den // num)]
+    rows = spark.createDataFrame(cases, "n long, low long, high long")
+    got = rows.select("*", least_needed(F.col("n"), F.col("low"), F.col("high"), num, den).alias("x")).collect()
+    one = lambda a, b: max(1, ceil(num * (a + b), num + den) - ceil(num * max(a, b), den) + 1)
+    assert len(got) > 200
+    for r in got:
+        sizes = range(max(r["low"], ceil(r["n"] * num, den)), min(r["high"], r["n"] * den // num) + 1)
+        assert r["x"] == min(one(r["n"], b) for b in sizes), r
