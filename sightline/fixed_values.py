@@ -56,7 +56,6 @@ GROUP_NAMES = [
     "age_group", "birth_year", "income_level", "employment_status",
     "education_level", "race", "ethnicity", "gender", "sex", "zip_code",
 ]
-MAX_FEATURES = 12
 
 # Relationship discovery thresholds.
 MAX_MISSING_PERCENT = 60.0

@@ -48,8 +48,8 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     )
 
 
-def default_histograms(df: DataFrame, max_columns: int = 3, bins: int = 10) -> DataFrame:
-    """Histograms of the first numeric columns in one long table."""
+def default_histograms(df: DataFrame, max_columns: int | None = None, bins: int = 10) -> DataFrame:
+    """Histograms of all numeric columns, or the first ``max_columns``, in one long table."""
     return union_all(
         [
             histogram(df, c, bins).select(F.lit(c).alias("column"), "*")
@@ -94,7 +94,8 @@ def chart_table(df: DataFrame, column: str, chart: str, numeric: bool) -> DataFr
     if chart == "time_series_line_chart":
         data = monthly_counts(df, column).select(F.col("period").alias("label"), "count")
     elif chart == "histogram_or_boxplot" or (chart == "relationship_plot" and numeric):
-        data = histogram(df, column, 20).select(
+        # A column without numbers has bins without edges.
+        data = histogram(df, column, 20).where("bin_from IS NOT NULL").select(
             F.lpad(F.col("bin").cast("string"), 2, "0").alias("label"), "count"
         )
     else:
@@ -106,11 +107,13 @@ def run_charts(
     actions: DataFrame,
     datasets: dict[str, DataFrame],
     preferred: dict[str, Sequence[str]] | None = None,
-    limit: int = 25,
+    limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """A status table and the long chart data for the chart actions.
 
-    Actions are one row per variable and are collected; every chart stays lazy.
+    Actions are one row per variable and are collected; every chart stays lazy, and so
+    does the status table, which reads the data. A ``limit`` leaves out the charts of the
+    least important variables, with a status row each.
     A variable that is in no dataset, or whose column gives no data, is skipped
     with a reason and does not stop the others.
     """
@@ -121,9 +124,12 @@ def run_charts(
             [], "variable_name string, dataset_name string, graph_type string, label string, count bigint"
         )
     ]
-    rows = actions.orderBy(F.desc("importance_score"), "variable_name").limit(limit).collect()
-    for r in rows:
+    rows = actions.orderBy(F.desc("importance_score"), "variable_name").collect()
+    for place, r in enumerate(rows):
         variable, chart = r["variable_name"], r["recommended_graph"]
+        if limit is not None and place >= limit:
+            status.append((variable, None, chart, "skipped", f"Beyond the limit of {limit} charts."))
+            continue
         name = dataset_for(variable, datasets, (preferred or {}).get(variable, ()))
         if name is None:
             status.append((variable, None, chart, "skipped", "No dataset found containing this variable."))
@@ -149,7 +155,16 @@ def run_charts(
         status,
         "variable_name string, dataset_name string, graph_type string, status string, reason string",
     )
-    return table, union_all(data)
+    charted = union_all(data)
+    made = ["variable_name", "dataset_name", "graph_type"]
+    drawn = charted.groupBy(*made).agg(F.sum("count").alias("_drawn"))
+    empty = (F.col("status") == "created") & (F.coalesce("_drawn", F.lit(0)) == 0)
+    table = table.join(drawn, made, "left").select(
+        *made,
+        F.when(empty, "skipped").otherwise(F.col("status")).alias("status"),
+        F.when(empty, "The column has no values to draw.").otherwise(F.col("reason")).alias("reason"),
+    )
+    return table, charted
 
 
 def dataset_for(

@@ -197,11 +197,12 @@ def detect_features(
     roles: DataFrame,
     target: str,
     related: Sequence[str] = (),
-    limit: int = fv.MAX_FEATURES,
+    limit: int | None = None,
 ) -> list[str]:
     """Columns of strong relationships, then usual names, else any simple column.
 
-    Columns that are mostly missing, constant, identifiers or wide text drop out.
+    Columns that are mostly missing, constant, identifiers or wide text drop out. All others
+    are returned, or the first ``limit``.
     """
     rows = {r["column"]: r for r in _collected(roles)}
     chosen = [c for c in dict.fromkeys([*related, *fv.FEATURE_NAMES]) if c in rows and c != target]

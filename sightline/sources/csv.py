@@ -11,6 +11,8 @@ import logging
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,22 +254,32 @@ def read_csv(
     return _typed(spark, path, multi_line, encoding)
 
 
-def read_folder(
+def read_folder_status(
     spark: SparkSession, folder: str, names: str | None = None, multi_line: bool = False
-) -> dict[str, DataFrame]:
-    """Every CSV of a folder by file name; a file that cannot be read is skipped.
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every CSV of a folder by file name, and a row per file: ``path``, ``status``, ``reason``.
 
+    The status is 'read' or 'failed'; a file that cannot be read does not stop the others.
     ``names`` is None, 'light' or 'strict' and says how headers are normalised.
     """
-    out = {}
+    out, status = {}, []
     for path in csv_files(spark, folder):
         name = path.rsplit("/", 1)[-1]
         try:
             frame = read_csv(spark, path, multi_line)
             out[name] = normalize_header(frame, names) if names else frame
-        except Exception as error:  # noqa: BLE001 - skipped, the others go on
-            log.warning("skipped %s: %s", name, error)
-    return out
+            status.append((path, "read", None))
+        except (PySparkException, Py4JJavaError, ValueError) as error:
+            log.warning("failed %s: %s", name, error)
+            status.append((path, "failed", str(error)))
+    return out, spark.createDataFrame(status, "path string, status string, reason string")
+
+
+def read_folder(
+    spark: SparkSession, folder: str, names: str | None = None, multi_line: bool = False
+) -> dict[str, DataFrame]:
+    """The readable CSVs of ``read_folder_status``."""
+    return read_folder_status(spark, folder, names, multi_line)[0]
 
 
 # ------------------------------------------------------------------ headers

@@ -94,6 +94,18 @@ def test_missing_chart_variable_does_not_stop_others(spark):
     assert data.agg(F.sum("count")).first()[0] == 50
 
 
+def test_empty_and_limited_charts_are_reported(spark):
+    actions = spark.createDataFrame(
+        [("words", "histogram_or_boxplot", 3.0), ("x", "histogram_or_boxplot", 2.0), ("y", "bar_chart", 1.0)],
+        "variable_name string, recommended_graph string, importance_score double",
+    )
+    df = spark.range(9).select(F.col("id").alias("x"), F.lit("none").alias("words"), F.lit("k").alias("y"))
+    status, data = charts.run_charts(actions, {"d": df}, limit=2)
+    assert {r["variable_name"]: r["status"] for r in status.collect()} == {"words": "skipped", "x": "created", "y": "skipped"}
+    assert {r["variable_name"] for r in data.collect()} == {"x"}
+    assert {r["variable_name"] for r in charts.run_charts(actions, {"d": df})[1].collect()} == {"x", "y"}
+
+
 def test_concept_roots(spark):
     names = ["age_group", "employment_status", "unemployed", "social_determinant_score", "Zip_Code", "visit_count", "other"]
     df = spark.createDataFrame([(n,) for n in names], "n string")

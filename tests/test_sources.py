@@ -39,6 +39,9 @@ def test_types_and_encoding(spark, folder):
 
 def test_folder_skips_what_cannot_be_read(spark, folder):
     assert set(csv.read_folder(spark, folder, "strict")) == {"a.csv", "b.csv", "same.csv"}
+    status = {r["path"].rsplit("/", 1)[-1]: r for r in csv.read_folder_status(spark, folder)[1].collect()}
+    assert {n for n, r in status.items() if r["status"] == "read"} == {"a.csv", "b.csv", "same.csv"}
+    assert all(r["reason"] for r in status.values() if r["status"] == "failed")
     assert csv.read_csv(spark, f"{folder}/same.csv").columns == ["a", "a.1", "b"]
 
 
