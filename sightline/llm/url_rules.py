@@ -1,8 +1,8 @@
 """URL filters: a rule list by host and path, and association rules mined from what it decides.
 
 The listed rules label the urls that they fit. FP-growth mines token combinations from these labelled
-urls; rules that conclude a verdict, pruned by support and confidence, are kept in an inverted index from
-token to rules and judge the urls that no listed rule fits.
+urls; rules that conclude a verdict, pruned by support, confidence and their parts, are kept in an inverted
+index from token to rules and judge the urls that no listed rule fits.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import pick
+from sightline.llm.common import pick, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
@@ -22,7 +22,7 @@ RULES = (
 VERDICTS = ("allow", "block")
 #: Tells what the url is judged as, among the items of a labelled url.
 MARK = "verdict="
-MAX_LISTED, MAX_MINED = 10_000, 1_000
+MAX_LISTED, MAX_MINED = 10_000, 1_000  # rules that an expression holds
 
 
 def host_of(url: Column) -> Column:
@@ -85,37 +85,59 @@ def listed_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], .
     return F.array_max(F.transform(fitting, lambda r: F.struct(r["length"].alias("length"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
-def mine_rules(
-    labelled: DataFrame, min_support: float, min_confidence: float, max_rules: int = MAX_MINED
-) -> list[tuple[list[str], str, float, float]]:
-    """(tokens, verdict, confidence, support) mined from urls with ``tokens`` and ``verdict``, best first.
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+    """(tokens, verdict, confidence, support) mined from urls with ``tokens`` and ``verdict``.
 
-    A rule stays only if it is surer than every rule with fewer of its tokens. ``max_rules`` bounds what
-    comes to the driver: the surest, then the best supported.
+    A rule stays only if it is surer than every rule of its verdict with fewer of its tokens. All of these stay.
     """
+    spark = labelled.sparkSession
     items = labelled.select(F.array_append("tokens", F.concat(F.lit(MARK), "verdict")).alias("items"))
-    if items.isEmpty():
-        return []
-    rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
-    conclude = rules.where(
-        (F.size("consequent") == 1) & F.startswith(F.col("consequent")[0], F.lit(MARK))
-    ).select(
-        F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(MARK) + 1, 99).alias("verdict"),
-        "confidence", "support",
+    n = items.count()
+    if not n:
+        return spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
+    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(items)
+    is_mark = lambda x: F.startswith(x, F.lit(MARK))
+    sets = staged(
+        model.freqItemsets.select(
+            F.array_sort(F.filter("items", lambda x: ~is_mark(x))).alias("tokens"),
+            F.substring(F.get(F.filter("items", is_mark), 0), len(MARK) + 1, 99).alias("verdict"), "freq",
+        ).where(F.size("tokens") > 0),
+        "token_sets",
     )
-    found = conclude.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), "tokens").limit(max_rules).collect()
-    kept: list[tuple[list[str], str, float, float]] = []
-    for r in sorted(found, key=lambda r: (len(r["tokens"]), -r["confidence"])):
-        mine = set(r["tokens"])
-        if not any(v == r["verdict"] and set(t) < mine and c >= r["confidence"] for t, v, c, _ in kept):
-            kept.append((list(r["tokens"]), r["verdict"], r["confidence"], r["support"]))
-    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[0]))
+    fewer = F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("fewer")
+    known = sets.where("verdict is null").select("tokens", F.col("freq").alias("n"))
+    # A set of as many urls as one with a token less gives no surer rule; nor does any set that has it within.
+    less = known.select(F.col("tokens").alias("fewer"), "n")
+    idle = known.where(F.size("tokens") > 1).select("tokens", "n", fewer).join(less, ["fewer", "n"]).select("tokens")
+    rules = staged(
+        sets.where("verdict is not null").join(known.join(idle, "tokens", "left_anti"), "tokens").select(
+            "tokens", "verdict", (F.col("freq") / F.col("n")).alias("confidence"), (F.col("freq") / F.lit(n)).alias("support")
+        ),
+        "token_rules",
+    )
+    longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
+    # Every part of a set is a set too, so the surest part is found by leaving out one token at a time.
+    kept, best = None, None
+    for size in range(1, longest + 1):
+        level = rules.where(F.size("tokens") == size)
+        if best is None:
+            level = level.withColumn("part", F.lit(-1.0))
+        else:
+            parts = (
+                level.select("tokens", "verdict", fewer).join(best, ["fewer", "verdict"])
+                .groupBy("tokens", "verdict").agg(F.max("best").alias("part"))
+            )
+            level = staged(level.join(parts, ["tokens", "verdict"]), "token_level")
+        surer = level.where((F.col("confidence") > F.col("part")) & (F.col("confidence") >= min_confidence)).select(*rules.columns)
+        kept = surer if kept is None else kept.union(surer)
+        best = level.select(F.col("tokens").alias("fewer"), "verdict", F.greatest("confidence", "part").alias("best"))
+    return rules if kept is None else staged(kept, "mined")
 
 
-def mined_verdict(tokens: Column, rules: list[tuple[list[str], str, float, float]], default: str) -> Column:
-    """The first rule all of whose tokens a url has; rules are found through the index of tokens."""
+def mined_verdict(tokens: Column, rules: list[tuple[list[str], str]]) -> Column:
+    """The verdict of the first rule (tokens, verdict) all of whose tokens a url has, or null; rules are found through the index of tokens."""
     if not rules:
-        return F.lit(default)
+        return F.lit(None).cast("string")
     index: dict[str, list[int]] = {}
     for number, (needed, *_) in enumerate(rules):
         for token in needed:
@@ -126,7 +148,31 @@ def mined_verdict(tokens: Column, rules: list[tuple[list[str], str, float, float
     full = F.filter(
         F.array_distinct(hits), lambda n: F.size(F.filter(hits, lambda m: m == n)) == F.element_at(need, n + 1)
     )
-    return F.coalesce(F.try_element_at(verdict, F.array_min(full) + 1), F.lit(default))
+    return F.try_element_at(verdict, F.array_min(full) + 1)
+
+
+def with_mined(judged: DataFrame, rules: DataFrame, max_literal: int = MAX_MINED) -> DataFrame:
+    """``judged`` (listed and tokens) with ``mined``: the verdict of the best rule that fits, for rows that no listed one fits.
+
+    The surest rule is the best, then the best supported, the shortest and the first by its tokens. Up to
+    ``max_literal`` rules become an index within the expression; more are joined through a table.
+    """
+    order = [(-F.col("confidence")).alias("unsure"), (-F.col("support")).alias("rare"), F.size("tokens").alias("size"), "tokens", "verdict"]
+    ranked = rules.select(F.struct(*order).alias("rule"))
+    if rules.count() <= max_literal:
+        found = sorted(tuple(r["rule"]) for r in ranked.collect())
+        return judged.withColumn("mined", mined_verdict(F.col("tokens"), [(r[3], r[4]) for r in found]))
+    # A rule stands at the token that the fewest rules share, so common tokens lead to few of them.
+    postings = ranked.select("rule", F.explode("rule.tokens").alias("token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("rules"))
+    index = postings.join(shared, "token").groupBy("rule").agg(F.min_by("token", F.struct("rules", "token")).alias("token"))
+    asked = judged.where(F.col("listed").isNull()).select("tokens").distinct()
+    verdicts = (
+        asked.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
+        .where(F.size(F.array_except("rule.tokens", "tokens")) == 0)
+        .groupBy("tokens").agg(F.min("rule")["verdict"].alias("mined"))
+    )
+    return judged.join(verdicts, "tokens", "left")
 
 
 def judge_urls(
@@ -151,7 +197,7 @@ def judge_urls(
         judged.where(F.col("listed").isNotNull()).select("tokens", F.col("listed.verdict").alias("verdict")),
         min_support, min_confidence,
     )
-    return judged.select(
+    return with_mined(judged, mined).select(
         "page_id", "host", "path", F.col("listed.rule").alias("rule"),
-        F.coalesce(F.col("listed.verdict"), mined_verdict(F.col("tokens"), mined, default)).alias("verdict"),
+        F.coalesce("listed.verdict", "mined", F.lit(default)).alias("verdict"),
     )
