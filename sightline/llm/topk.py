@@ -35,7 +35,7 @@ def clean_vectors(vectors: DataFrame, scale: int) -> DataFrame:
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,7 +91,8 @@ def exact_top_k(
     each meets all other vectors, tile by tile. Ties go to the smaller vec_id. Vectors that are null, or
     hold null or non-finite components, and rows without vec_id take no part; rows that repeat a vec_id
     count once, with their smallest vector. Vectors of another length than the query's are no candidates
-    of it. Returns query_id, rank (from 1), vec_id and score; an empty table gives an empty result.
+    of it, so vectors without components meet only each other, with a score of 0. Returns query_id, rank
+    (from 1), vec_id and score; an empty table gives an empty result.
     """
     rows = staged(clean_vectors(vectors, scale).withColumn("width", F.size("v")), "vectors")
     n = rows.count()

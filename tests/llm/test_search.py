@@ -89,3 +89,10 @@ def test_chi_square_and_leaves():
     assert chi_square_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
     leaves = kd_leaves(np.random.default_rng(1).normal(size=(777, 4)), 10)
     assert sorted(np.concatenate(leaves).tolist()) == list(range(777)) and max(map(len, leaves)) <= 10
+
+
+def test_empty_vectors_meet_only_each_other(spark):
+    rows = [(50, []), (100, []), (7, []), (150, [1.0, 2.0]), (8, [2.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert lists(exact_top_k(df, k=5, every=50).collect()) == {50: [(7, 0), (100, 0)], 100: [(7, 0), (50, 0)], 150: [(8, 768 * 256)]}
+    assert lists(exact_top_k(df.where("vec_id in (50, 150, 8)"), k=5, every=50).collect()) == {150: [(8, 768 * 256)]}
