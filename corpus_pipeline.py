@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.common import staged, table
-from sightline.llm.jaccard_join import ngram_jaccard_join
+from sightline.llm.jaccard_join import linked_rows
 from sightline.llm.line_dedup import with_removed, without_lines
 from sightline.llm.mixing import mix_sources, words_of_spans
 from sightline.llm.packing import best_fit_packing
@@ -36,14 +36,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of every group linked by a similarity of 0.8 or more.
+    """One row, that of the smallest doc_id, of every group linked by a similarity of 0.8 or more.
 
-    Shingles have five words. Documents without words and rows without doc_id stay; rows that repeat a
-    doc_id stay or go together.
+    Shingles have five words. Rows are judged each by its own text, also those that share a doc_id or have
+    none (these come last); of equal rows one stays. Documents without words stay.
     """
-    linked = ngram_jaccard_join(docs, words=5, similarity=(8, 10))
-    copies = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(staged(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    linked = staged(linked_rows(docs, words=5, similarity=(8, 10), unnamed=True).where(F.col("component").isNotNull()), "linked")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Few rows of a component have its smallest doc_id, mostly one; the first of their texts stays.
+    heads = linked.where(least).groupBy("component", "doc_id", "hash").agg(F.count("*").alias("n"))
+    first = heads.groupBy("component").agg(F.min("hash").alias("first"))
+    judged = staged(heads.join(first, "component").withColumn("stays", F.col("hash") == F.col("first")), "heads")
+    named = [F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")]
+    gone = staged(linked.where(~least).select(*named).union(judged.where("not stays").select(*named)).distinct(), "copies")
+    repeated = staged(judged.where("stays and n > 1").select(*named), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        kept = kept.join(repeated, same, "left_anti").union(again)
+    return kept.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,12 +56,12 @@ class Shingles:
         return np.unique(out)
 
 
-def _in_chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingle sets of a bounded number of shingles at once."""
+def _in_chunks(batches: Iterator[pa.RecordBatch], words: int, *names: str) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """The named columns' values and the shingle sets of a bounded number of shingles at once."""
     shingles, ids, sets, size = Shingles(words), [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            ids.append(doc)
+        for *row, text in zip(*[batch.column(n).to_pylist() for n in names], batch.column("text")):
+            ids.append(tuple(row))
             sets.append(shingles(text.as_py()))
             size += len(sets[-1])
             if size > AT_ONCE:
@@ -78,7 +78,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _in_chunks(batches, words):
+        for _, sets in _in_chunks(batches, words, "doc_id"):
             different = {s.tobytes(): s for s in sets if len(s)}
             if not different:
                 continue
@@ -120,26 +120,26 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64)))
 
 
-SETS = "doc_id long, n int, key1 long, key2 long, low1 long, low2 long, prefix array<long>"
+SETS = "doc_id long, hash long, n int, key1 long, key2 long, low1 long, low2 long, prefix array<long>"
 
 
 def shingle_sets(docs: DataFrame, words: int, frequent, num: int, den: int) -> DataFrame:
     """Per row the set's size, a 128-bit key of the set, two minimum hashes and the prefix."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _in_chunks(batches, words):
+        for ids, sets in _in_chunks(batches, words, "doc_id", "hash"):
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             half = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
             ordered = _ordered(sets, frequent.value)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                    *[pa.array(x, pa.int64()) for x in zip(*ids)], pa.array([len(s) for s in sets], pa.int32()),
                     pa.array(half([k >> 64 for k in keys])), pa.array(half([k & (2**64 - 1) for k in keys])),
                     pa.array(half([s[0] if len(s) else 0 for s in sets])),
                     pa.array(half([(s * _M1).min() if len(s) else 0 for s in sets])),
                     _lists([x[: len(x) + (-num * len(x) // den) + 1] if len(x) else x for x in ordered]),
                 ],
-                names=["doc_id", "n", "key1", "key2", "low1", "low2", "prefix"],
+                names=["doc_id", "hash", "n", "key1", "key2", "low1", "low2", "prefix"],
             )
 
     return docs.mapInArrow(describe, SETS)
@@ -176,19 +176,21 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The linked ones of pairs (a, b) of doc_ids, by their whole sets."""
-    asked = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "asked")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The linked ones of pairs (a, b) of classes, by their whole sets."""
+    either = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    asked = staged(either.join(classes.select("rep", F.col("doc_id").alias("asked_id")), "rep"), "asked")
     few = asked.count() <= MAX_BROADCAST
-    chosen = docs.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("hash") == F.col("rep"))
+    chosen = docs.join(F.broadcast(asked) if few else asked, same, "left_semi")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _in_chunks(batches, words):
+        for ids, sets in _in_chunks(batches, words, "hash"):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), _lists([s.view(np.int64) for s in sets])], names=["doc_id", "tokens"]
+                [*[pa.array(x, pa.int64()) for x in zip(*ids)], _lists([s.view(np.int64) for s in sets])], names=["rep", "tokens"]
             )
 
-    whole = staged(chosen.mapInArrow(tokens, "doc_id long, tokens array<long>"), "whole")
+    whole = staged(chosen.mapInArrow(tokens, "rep long, tokens array<long>"), "whole")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +207,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
 
     both = (
-        pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-        .join(whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+        pairs.join(whole.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+        .join(whole.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b")
         .select("a", "b", "tokens_a", "tokens_b")
     )
     return staged(both.mapInArrow(link, "a long, b long"), "links")
@@ -299,28 +301,43 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, similarity: tuple[int, i
     row without doc_id belongs to the component of the rows with its set, null if these have no doc_id
     either. An empty table gives an empty result. Columns besides doc_id and text are ignored.
     """
+    linked = linked_rows(docs, words, similarity)
+    return linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked_rows(docs: DataFrame, words: int, similarity: tuple[int, int], unnamed: bool = False) -> DataFrame:
+    """(doc_id, hash, n_shingles, component, component_id) of every row; ``hash`` is xxhash64 of the text.
+
+    ``component`` is a number of the row's component that tells apart texts that share a doc_id, null for
+    texts without words; ``component_id`` is the smallest doc_id in it. Sets that only rows without doc_id
+    have take part if ``unnamed``; else they have no component.
+    """
     num, den = similarity
     spark = docs.sparkSession
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, words))
     sets = staged(shingle_sets(rows, words, frequent, num, den), "sets")
     key = ["key1", "key2"]
+    # A class goes by the hash of one of its texts: other classes have other texts, whatever their doc_ids.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "n", "low1", "low2", "prefix")).alias("x")
     classes = staged(
-        sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key)
-        .agg(F.min(F.struct("doc_id", "n", "low1", "low2", "prefix")).alias("x"))
-        .select(*key, F.col("x.doc_id").alias("rep"), "x.n", "x.low1", "x.low2", "x.prefix"),
+        sets.where((F.col("n") > 0) & (F.col("doc_id").isNotNull() | F.lit(unnamed))).groupBy(*key).agg(one)
+        .select(*key, F.col("x.hash").alias("rep"), "x.doc_id", "x.n", "x.low1", "x.low2", "x.prefix"),
         "classes",
     )
-    near = verified(_pivot_pairs(classes, num, den), rows, words, num, den)
+    near = verified(_pivot_pairs(classes, num, den), classes, rows, words, num, den)
     first = connected_components(near)
     placed = classes.select("rep", "n", "prefix").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = first.groupBy("component").agg(F.count("*").alias("component_size"))
     placed = staged(
         placed.join(sizes, "component", "left").withColumn("component_size", F.coalesce("component_size", F.lit(1)).cast("long")), "placed"
     )
-    far = verified(_matrix_pairs(placed, num, den), rows, words, num, den)
-    last = connected_components(near.union(far))
-    named = classes.select(*key, "rep").join(last.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), *key).join(named, key, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    far = verified(_matrix_pairs(placed, num, den), classes, rows, words, num, den)
+    last = connected_components(near.union(far)).withColumnRenamed("node", "rep")
+    least = last.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = classes.select(*key, "rep", "doc_id").join(last.join(least, "component"), "rep", "left").select(
+        *key, F.coalesce("component", "rep").alias("component"), F.coalesce("least", "doc_id").alias("component_id")
+    )
+    return sets.select("doc_id", "hash", F.col("n").cast("long").alias("n_shingles"), *key).join(named, key, "left").select(
+        "doc_id", "hash", "n_shingles", "component", "component_id"
     )

@@ -129,3 +129,10 @@ def test_least_needed_is_the_least_over_the_sizes(spark, num, den):
     for r in got:
         sizes = range(max(r["low"], ceil(r["n"] * num, den)), min(r["high"], r["n"] * den // num) + 1)
         assert r["x"] == min(one(r["n"], b) for b in sizes), r
+
+
+def test_texts_that_share_an_id_keep_their_own_components(spark):
+    first, other, last = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, first), (2, first + " z"), (2, other), (3, other + " z"), (4, last)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, (8, 10)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)]

@@ -72,3 +72,12 @@ def test_odd_rows_run_through(spark, small, tmp_path):
         spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
         got = corpus_pipeline.run(spark, folder).collect()
         assert (len(got) > 0) == (name == "odd")
+
+
+def test_copies_are_judged_by_their_own_text(spark, small):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a + " z"), (2, b), (3, b + " z"), (4, c), (4, c), (None, c), (None, c + " z"), (None, d), (None, d), (5, None), (5, None), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC)
+    got = corpus_pipeline.drop_near_copies(spark, docs, small).collect()
+    want = [(1, a), (2, b), (4, c), (None, d), (5, None), (5, None), (6, " ")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
