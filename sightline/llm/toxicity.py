@@ -132,47 +132,33 @@ def with_features(docs: DataFrame, weights: dict[str, float], *names: str) -> Da
     return docs.select(F.col("text").alias("_text"), *names).mapInArrow(features, schema)
 
 
-def learn_terms(labelled: DataFrame, min_docs: int = 4, min_log_odds: float = 1.5, min_z: float = 2.5, max_terms: int = 3_000, max_candidates: int = 50_000) -> dict[str, float]:
+def learn_terms(labelled: DataFrame, min_docs: int = 4, min_log_odds: float = 1.5, min_z: float = 2.5, max_terms: int = 3_000) -> dict[str, float]:
     """Log odds of the terms that mark toxic texts, from rows with text and toxic.
 
-    Terms of at least ``min_docs`` toxic texts are counted in the others too. ``max_candidates`` and
-    ``max_terms`` bound what the driver holds: the most frequent and the surest.
+    Terms of at least ``min_docs`` toxic texts are weighed, however rare. ``max_terms`` bounds what the
+    driver holds: the surest.
     """
 
-    def counted(keep: set[str] | None):
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: Counter[str] = Counter()
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    terms = terms_of(text or "")
-                    found.update(terms if keep is None else terms & keep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"]
-            )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found.update(terms_of(text or ""))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"]
+        )
 
-        return count
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        return texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
 
     toxic, clean = labelled.where("toxic = 1").select("text"), labelled.where("toxic = 0").select("text")
     n_toxic, n_clean = toxic.count(), clean.count()
-    marks = (
-        toxic.mapInArrow(counted(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= min_docs).orderBy(F.desc("n"), "term").limit(max_candidates).collect()
-    )
-    if not marks:
-        return {}
-    keep = {r["term"] for r in marks}
-    other = {
-        r["term"]: r["n"]
-        for r in clean.mapInArrow(counted(keep), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    }
-    odds: list[tuple[float, str, float]] = []
-    for r in marks:
-        a, b = r["n"] + 0.5, other.get(r["term"], 0) + 0.5
-        weight = math.log(a / (n_toxic + 1)) - math.log(b / (n_clean + 1))
-        z = weight / math.sqrt(1 / a + 1 / b)
-        if weight >= min_log_odds and z >= min_z:
-            odds.append((z, r["term"], weight))
-    return {term: weight for _, term, weight in sorted(odds, key=lambda x: (-x[0], x[1]))[:max_terms]}
+    both = counted(toxic, "n").where(F.col("n") >= min_docs).join(counted(clean, "others"), "term", "left")
+    a, b = F.col("n") + 0.5, F.coalesce("others", F.lit(0)) + 0.5
+    weight = F.log(a / (n_toxic + 1)) - F.log(b / (n_clean + 1))
+    weighed = both.select("term", weight.alias("weight"), (weight / F.sqrt(1 / a + 1 / b)).alias("z"))
+    marks = weighed.where((F.col("weight") >= min_log_odds) & (F.col("z") >= min_z))
+    return {r["term"]: r["weight"] for r in marks.orderBy(F.desc("z"), "term").limit(max_terms).collect()}
 
 
 def may_learn(doc_id: Column) -> Column:

@@ -1,7 +1,10 @@
+import math
 import zlib
 
+from pyspark.sql import functions as F
+
 from sightline.llm.queries import op2_toxicity
-from sightline.llm.toxicity import FEATURES, Features, score_toxicity, terms_of
+from sightline.llm.toxicity import FEATURES, Features, learn_terms, score_toxicity, terms_of
 from tests.llm.conftest import DOC, no_documents, odd_documents, rows_of
 
 
@@ -48,3 +51,13 @@ def test_features():
     assert got["capital_words"] == 1 / 7 and got["obfuscated"] == 1 / 7 and got["strongest"] == 3.0
     assert len(tell(None)) == len(FEATURES) and tell("") == tell(None)
     assert terms_of("Abcd, x") == {"abcd", "abc-"}
+
+
+def test_rare_terms_are_weighed_among_many_frequent_ones(spark):
+    many = " ".join(f"{i:05d}abc" for i in range(15_000))
+    rows = [(1, i < 6, i < 5) for i in range(20)] + [(0, i < 30, False) for i in range(200)]
+    df = spark.createDataFrame(rows, "toxic int, common boolean, rare boolean").repartition(4)
+    text = F.concat(F.when(F.col("common"), F.lit(many)).otherwise(F.lit("")), F.when(F.col("rare"), F.lit(" zork")).otherwise(F.lit("")))
+    got = learn_terms(df.select("toxic", text.alias("text")))
+    weight = math.log(5.5 / 21) - math.log(0.5 / 201)
+    assert set(got) == {"zork", "zor-"} and all(abs(x - weight) < 1e-12 for x in got.values())
