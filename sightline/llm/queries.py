@@ -14,6 +14,7 @@ from sightline.llm.jaccard_join import ngram_jaccard_join
 from sightline.llm.line_dedup import dedup_lines
 from sightline.llm.mixing import mix_sources
 from sightline.llm.packing import best_fit_packing
+from sightline.llm.quality_rules import MEASURES, quality_cascade
 from sightline.llm.secret_scan import BASE, find_secrets, span_text
 from sightline.llm.topk import exact_top_k
 from sightline.llm.toxicity import score_toxicity
@@ -78,11 +79,15 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_cascade(table(spark, folder, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_nearest, op4_url_rules, op5_ngram_jaccard, op6_warc, op7_exact_top_k,
-        op8_packing, op9_line_dedup, op10_secrets,
+        op8_packing, op9_line_dedup, op10_secrets, op13_quality_rules,
     )
 }
 
@@ -103,4 +108,38 @@ ORACLES: dict[str, str] = {
         FROM scores
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
     """,
+    "op13_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ),
+        windows AS (
+            SELECT row_no, i, array_to_string(words[i:i + 7], ' ') AS w
+            FROM (SELECT row_no, words, unnest(range(1, len(words) - 6)) AS i FROM d)
+        ),
+        twice AS (
+            SELECT row_no, i FROM windows QUALIFY count(*) OVER (PARTITION BY row_no, w) > 1
+        ),
+        covered AS (
+            SELECT row_no, count(DISTINCT place) AS n FROM (SELECT row_no, unnest(range(i, i + 8)) AS place FROM twice) GROUP BY row_no
+        ),
+        m AS (
+            SELECT doc_id, len(words) AS n_words,
+                   coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+                   coalesce(n, 0) AS n_repeat_words,
+                   len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words
+            FROM d LEFT JOIN covered USING (row_no)
+        )
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+               n_repeat_words::BIGINT AS n_repeat_words,
+               n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words AND 10 * n_symbols <= 3 * n_words
+                   AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_letter_words >= 7 * n_words
+                   AND 2 * n_dup_lines <= n_lines AS kept
+        FROM m
+    """,
 }
