@@ -15,6 +15,7 @@ from sightline.llm.line_dedup import dedup_lines
 from sightline.llm.mixing import mix_sources
 from sightline.llm.packing import best_fit_packing
 from sightline.llm.quality_rules import MEASURES, quality_cascade
+from sightline.llm.resampling import importance_resample
 from sightline.llm.secret_scan import BASE, find_secrets, span_text
 from sightline.llm.topk import exact_top_k
 from sightline.llm.toxicity import score_toxicity
@@ -79,6 +80,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), share=(25, 100))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_cascade(table(spark, folder, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
 
@@ -87,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_nearest, op4_url_rules, op5_ngram_jaccard, op6_warc, op7_exact_top_k,
-        op8_packing, op9_line_dedup, op10_secrets, op13_quality_rules,
+        op8_packing, op9_line_dedup, op10_secrets, op12_importance, op13_quality_rules,
     )
 }
 
@@ -108,6 +114,62 @@ ORACLES: dict[str, str] = {
         FROM scores
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
     """,
+    "op12_importance": r"""
+        WITH crc_table AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+                FROM range(256) r(i)
+            )
+        ),
+        texts AS (
+            SELECT row_number() OVER () AS row_no, of_docs, doc_id,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
+                   ) AS w
+            FROM (SELECT true AS of_docs, doc_id, text FROM documents UNION ALL SELECT false, NULL, text FROM benchmark)
+        ),
+        features AS (
+            SELECT row_no, of_docs, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature
+            FROM texts
+        ),
+        per_row AS (SELECT row_no, of_docs, feature, count(*) AS n FROM features GROUP BY ALL),
+        names AS (
+            SELECT feature, xor(4294967295, list_reduce(
+                range(0, octet_length(encode(feature))),
+                lambda c, k: xor(c >> 8, t[xor(c % 256, ('0x' || substr(hex(encode(feature)), 2 * k + 1, 2))::BIGINT) + 1]),
+                4294967295
+            )) % 10000 AS bucket
+            FROM (SELECT DISTINCT feature FROM per_row) CROSS JOIN crc_table
+        ),
+        hashed AS (SELECT row_no, of_docs, bucket, sum(n)::BIGINT AS n FROM per_row JOIN names USING (feature) GROUP BY ALL),
+        totals AS (
+            SELECT bucket, coalesce(sum(n) FILTER (of_docs), 0) AS s, coalesce(sum(n) FILTER (NOT of_docs), 0) AS t FROM hashed GROUP BY bucket
+        ),
+        gains AS (
+            SELECT bucket, floor(1000 * ln(
+                ((t + 1) * ((SELECT sum(s) FROM totals) + 10000))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000))::DOUBLE
+            ))::BIGINT AS gain
+            FROM totals
+        ),
+        weights AS (
+            SELECT row_no, sum(n)::BIGINT AS n_features, (sum(n * gain) - ((sum(n * gain) % sum(n)) + sum(n)) % sum(n)) // sum(n) AS weight
+            FROM hashed JOIN gains USING (bucket) WHERE of_docs GROUP BY row_no
+        ),
+        scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(w) >= 20 AS enough,
+                   coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+                       (('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE
+                   )))::BIGINT AS score
+            FROM texts LEFT JOIN weights USING (row_no) WHERE of_docs
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id NULLS LAST) AS place,
+                   25 * count(*) OVER (PARTITION BY enough) // 100 AS drawn
+            FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= drawn THEN place END AS rank FROM ranked
+    """,
     "op13_quality_rules": r"""
         WITH d AS (
             SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text,
