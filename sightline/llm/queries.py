@@ -14,6 +14,7 @@ from sightline.llm.jaccard_join import ngram_jaccard_join
 from sightline.llm.line_dedup import dedup_lines
 from sightline.llm.mixing import mix_sources
 from sightline.llm.packing import best_fit_packing
+from sightline.llm.prefix_trie import prefix_trie
 from sightline.llm.quality_rules import MEASURES, quality_cascade
 from sightline.llm.resampling import importance_resample
 from sightline.llm.secret_scan import BASE, find_secrets, span_text
@@ -80,6 +81,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"), shared=6, group=100)
+
+
 def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
     drawn = importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), share=(25, 100))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -93,10 +98,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_nearest, op4_url_rules, op5_ngram_jaccard, op6_warc, op7_exact_top_k,
-        op8_packing, op9_line_dedup, op10_secrets, op12_importance, op13_quality_rules,
+        op8_packing, op9_line_dedup, op10_secrets, op11_prefix_trie, op12_importance, op13_quality_rules,
     )
 }
 
+#: A function of one byte: the table of the usual 32-bit checksum, which DuckDB does not have.
+CRC_TABLE = """
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+                FROM range(256) r(i)
+            )
+"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned checksum of a text's bytes, with the column ``t`` of CRC_TABLE in reach."""
+    return f"""xor(4294967295, list_reduce(
+                range(0, octet_length(encode({text}))),
+                lambda c, k: xor(c >> 8, t[xor(c % 256, ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT) + 1]),
+                4294967295
+            ))"""
+
+
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": """
         WITH v AS (
@@ -114,13 +137,48 @@ ORACLES: dict[str, str] = {
         FROM scores
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
     """,
-    "op12_importance": r"""
-        WITH crc_table AS (
-            SELECT list(c ORDER BY i) AS t FROM (
-                SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
-                FROM range(256) r(i)
-            )
+    "op11_prefix_trie": """
+        WITH crc_table AS (""" + CRC_TABLE + """        ),
+        ordered AS (
+            SELECT conv_id, list(md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))
+                                 || ':' || length(coalesce(text, ''))
+                                 ORDER BY turn NULLS FIRST) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ),
+        shares AS (SELECT conv_id, turns, (""" + crc_sql("conv_id::VARCHAR") + """ % 6)::BIGINT AS h FROM ordered CROSS JOIN crc_table),
+        rebuilt AS (
+            SELECT s.conv_id, list_concat(coalesce(b.turns, [])[1:s.h], s.turns[s.h + 1:len(s.turns)]) AS path
+            FROM shares s LEFT JOIN ordered b ON b.conv_id = s.conv_id - s.conv_id % 100
+        ),
+        prefixes AS (
+            SELECT conv_id, len(path) AS whole, d, array_to_string(path[1:d], ',') AS node,
+                   CASE WHEN d > 0 THEN array_to_string(path[1:d - 1], ',') END AS parent,
+                   CASE WHEN d > 0 THEN split_part(path[d], ':', 2)::BIGINT ELSE 0 END AS chars
+            FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM rebuilt)
+        ),
+        nodes AS (
+            SELECT node, d, parent, min(conv_id) AS least, count(*) AS n, any_value(chars) AS chars,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole = d), '')) AS ends
+            FROM prefixes GROUP BY node, d, parent
         ),
+        kids AS (SELECT parent, count(*) AS n_children FROM nodes GROUP BY parent),
+        facts AS (
+            SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.parent = nodes.node
+        ),
+        under AS (
+            SELECT DISTINCT up.node AS top, p.node AS node
+            FROM prefixes p JOIN prefixes up ON up.conv_id = p.conv_id AND up.d <= p.d
+        ),
+        sums AS (
+            SELECT top, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * chars)::BIGINT AS saved
+            FROM under JOIN facts USING (node) GROUP BY top
+        )
+        SELECT f.least AS conv_id, f.d AS depth, a.least AS parent_conv_id, f.n AS n_convs, f.n_children,
+               n_leaves, saved AS saved_tokens, f.ends AS ends_sha256
+        FROM facts f JOIN sums ON sums.top = f.node LEFT JOIN nodes a ON a.node = f.parent
+    """,
+    "op12_importance": r"""
+        WITH crc_table AS (""" + CRC_TABLE + r"""        ),
         texts AS (
             SELECT row_number() OVER () AS row_no, of_docs, doc_id,
                    regexp_extract_all(
@@ -135,11 +193,7 @@ ORACLES: dict[str, str] = {
         ),
         per_row AS (SELECT row_no, of_docs, feature, count(*) AS n FROM features GROUP BY ALL),
         names AS (
-            SELECT feature, xor(4294967295, list_reduce(
-                range(0, octet_length(encode(feature))),
-                lambda c, k: xor(c >> 8, t[xor(c % 256, ('0x' || substr(hex(encode(feature)), 2 * k + 1, 2))::BIGINT) + 1]),
-                4294967295
-            )) % 10000 AS bucket
+            SELECT feature, """ + crc_sql("feature") + r""" % 10000 AS bucket
             FROM (SELECT DISTINCT feature FROM per_row) CROSS JOIN crc_table
         ),
         hashed AS (SELECT row_no, of_docs, bucket, sum(n)::BIGINT AS n FROM per_row JOIN names USING (feature) GROUP BY ALL),
