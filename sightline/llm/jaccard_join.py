@@ -1,11 +1,12 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
-Documents become sets of word shingles; equal sets are one class. Shingles are ordered with the frequent
-ones last, so that a set's first few shingles (its prefix) are rare; two linked sets share at least
-``needed`` shingles of their prefixes. Similar sets are grouped around pivots that agree in a minimum hash;
-every group's row of the matrix holds the union of its members' prefix shingles. A set then asks the
-matrix for the groups of other components, the overlap with a group's union bounds the overlap with
-every member, and only groups that the bound does not rule out are opened and verified with whole sets.
+Documents become sets of word shingles; equal sets are one class. Shingles are ordered by how often they
+occur, rare ones first, so that a set's first few shingles (its prefix) are rare; two linked sets share at
+least ``needed`` shingles of their prefixes. Similar sets are grouped: around pivots that agree in a
+minimum hash, and, where no link to a pivot holds, by the minimum hash alone. Every group's row of the
+matrix holds the union of its members' prefix shingles, their sizes and how much follows. A set then asks
+the matrix for the other groups, the overlap with a group's union bounds the overlap with every member,
+and only groups that the bound does not rule out are opened and verified with whole sets.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ from pyspark.sql import functions as F
 from sightline.llm.common import mixed, pick, staged
 from sightline.llm.components import connected_components
 
-#: Occurrences that make a shingle frequent, and frequent shingles at most (the most frequent ones).
-FREQUENT, MAX_FREQUENT = 16, 1_000_000
+#: Counters that shingles are hashed to, 2 ** COUNTERS_LOG of one byte each for every worker, in parts.
+COUNTERS_LOG, PARTS_LOG = 24, 8
 #: Members of a group, words that a worker remembers, shingles worked on at once, rows to broadcast.
 GROUP, KNOWN_WORDS, AT_ONCE, MAX_BROADCAST = 32, 500_000, 4_000_000, 1_000_000
 _M1 = np.uint64(0x9E3779B97F4A7C15)
-#: Shingle hashes below this are counted one by one; others once they repeat within a batch.
-_COUNTED = np.uint64(2**64 // 6)
-_FLAG = np.int64(1) << np.int64(62)
+#: An ordered shingle is its level above 57 bits of its hash.
+_HASH_BITS = 57
 
 
 class Shingles:
@@ -71,47 +71,59 @@ def _in_chunks(batches: Iterator[pa.RecordBatch], words: int, *names: str) -> It
         yield ids, sets
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """The most frequent shingles by number of sets, at most MAX_FREQUENT, sorted.
+def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
+    """floor(log2) of the occurrences in all sets, per counter that shingles are hashed to.
 
-    They only decide the order of shingles, which may be any.
+    Levels only decide the order of shingles, which may be any: shingles that share a counter come later
+    than they could. Tasks add up counters of their own and pass them on in compressed parts, so the data
+    shuffled and the result (one byte a counter) are bounded.
     """
+    size = 1 << (COUNTERS_LOG - PARTS_LOG)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS_LOG, dtype=np.uint32)
         for _, sets in _in_chunks(batches, words, "doc_id"):
             different = {s.tobytes(): s for s in sets if len(s)}
-            if not different:
-                continue
-            token, n = np.unique(np.concatenate(list(different.values())), return_counts=True)
-            kept = (n > 1) | (token < _COUNTED)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))], names=["token", "n"]
-            )
-
-    counts = staged(
-        docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT),
-        "frequent",
-    )
-    level = F.floor(F.log2("n")).cast("int")
-    at_level = {r["level"]: r["n"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
-    total, least = 0, 63
-    for x in sorted(at_level, reverse=True):
-        total += at_level[x]
-        if total > MAX_FREQUENT:
-            break
-        least = x
-    chosen = counts.where(level >= least).select("token").toArrow()
-    return np.sort(chosen.column("token").to_numpy().view(np.uint64))
-
-
-def _ordered(sets: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
-    """Each set in the global order: 62-bit hashes, frequent ones (flagged) last."""
-    whole = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-    values = (whole >> np.uint64(2)).astype(np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, whole), len(frequent) - 1)
-        values = np.where(frequent[at] == whole, values | _FLAG, values)
-    return [np.sort(x) for x in np.split(values, np.cumsum([len(s) for s in sets])[:-1])] if sets else []
+            if different:
+                at, n = np.unique(np.concatenate(list(different.values())) >> np.uint64(64 - COUNTERS_LOG), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        for part, counters in enumerate(total.reshape(-1, size)):
+            if counters.any():
+                packed = pa.compress(counters.tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["part", "counters"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(size, dtype=np.uint64)
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("counters").to_pylist()):
+                if part != now:
+                    if now is not None:
+                        yield level(now, total)
+                    now, total = part, np.zeros(size, dtype=np.uint64)
+                total += np.frombuffer(pa.decompress(packed, 4 * size, codec="zstd", asbytes=True), dtype=np.uint32)
+        if now is not None:
+            yield level(now, total)
+
+    def level(part: int, total: np.ndarray) -> pa.RecordBatch:
+        found = np.maximum(np.frexp(total.astype(np.float64))[1] - 1, 0).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["part", "levels"])
+
+    counted = docs.mapInArrow(count, "part int, counters binary")
+    levels = counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, levels binary")
+    out = np.zeros((1 << PARTS_LOG, size), dtype=np.uint8)
+    for row in levels.collect():  # at most 2 ** PARTS_LOG rows
+        out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _ordered(sets: list[np.ndarray], levels: np.ndarray) -> list[np.ndarray]:
+    """Each set in the global order: by level, then by hash."""
+    if not sets:
+        return []
+    whole = np.concatenate(sets)
+    level = levels[(whole >> np.uint64(64 - COUNTERS_LOG)).astype(np.int64)].astype(np.int64)
+    values = level << _HASH_BITS | (whole & np.uint64((1 << _HASH_BITS) - 1)).astype(np.int64)
+    return [np.sort(x) for x in np.split(values, np.cumsum([len(s) for s in sets])[:-1])]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -123,14 +135,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 SETS = "doc_id long, hash long, n int, key1 long, key2 long, low1 long, low2 long, prefix array<long>"
 
 
-def shingle_sets(docs: DataFrame, words: int, frequent, num: int, den: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int, levels, num: int, den: int) -> DataFrame:
     """Per row the set's size, a 128-bit key of the set, two minimum hashes and the prefix."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _in_chunks(batches, words, "doc_id", "hash"):
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             half = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            ordered = _ordered(sets, frequent.value)
+            ordered = _ordered(sets, levels.value)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[pa.array(x, pa.int64()) for x in zip(*ids)], pa.array([len(s) for s in sets], pa.int32()),
@@ -224,7 +236,7 @@ def _shared_prefix(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
 
 def _pivot_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Every set with the pivot of its minimum-hash buckets, where their sizes and prefixes allow a link."""
-    rare = F.size(F.filter("prefix", lambda x: x < int(_FLAG))) / F.size("prefix")
+    rare = F.size(F.filter("prefix", lambda x: x < 1 << _HASH_BITS)) / F.size("prefix")
     low = lambda i: F.struct(F.lit(i).alias("kind"), F.col(f"low{i}").alias("low"))
     entries = sets.select("rep", "n", rare.alias("rare"), F.explode(F.array(low(1), low(2))).alias("m")).select(
         "rep", "n", "rare", "m.kind", "m.low"
@@ -242,16 +254,51 @@ def _pivot_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     return _shared_prefix(pairs, sets, num, den)
 
 
+def _grouped(sets: DataFrame, first: DataFrame) -> DataFrame:
+    """rep, n, prefix, component and component_size: the linked sets by component, the others in groups.
+
+    Sets without a link join others of their minimum hash, about GROUP at a time; such a group counts as a
+    component of size 1, whose members are yet to be compared.
+    """
+    sizes = first.groupBy("component").agg(F.count("*").alias("component_size"))
+    placed = sets.select("rep", "n", "prefix", "low1").join(first.withColumnRenamed("node", "rep"), "rep", "left").join(sizes, "component", "left")
+    alone = placed.where(F.col("component").isNull())
+    crowds = alone.groupBy("low1").agg(F.ceil(F.count("*") / GROUP).alias("chunks")).where("chunks > 1")
+    chunk = F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1)))
+    named = alone.join(crowds, "low1", "left").withColumn("component", F.xxhash64(F.lit("alone"), "low1", chunk))
+    names = ["rep", "n", "prefix", "component"]
+    return placed.where(F.col("component").isNotNull()).select(*names, "component_size").union(named.select(*names, F.lit(1).cast("long").alias("component_size")))
+
+
+def _pairs_within(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible links inside the groups of sets without links, compared within the group's row."""
+    groups = (
+        members.where("component_size = 1").groupBy("grp")
+        .agg(F.collect_list(F.struct("rep", "n", "prefix")).alias("inside")).where(F.size("inside") > 1)  # about GROUP members
+    )
+    linked = lambda a, b: (
+        (b["rep"] < a["rep"]) & _sizes_fit(a["n"], b["n"], num, den)
+        & (F.size(F.array_intersect(a["prefix"], b["prefix"])) >= needed(a["n"], b["n"], num, den))
+    )
+    pairs = F.flatten(
+        F.transform("inside", lambda a: F.transform(F.filter("inside", lambda b: linked(a, b)), lambda b: F.struct(a["rep"].alias("a"), b["rep"].alias("b"))))
+    )
+    return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
 def _matrix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of sets of different components from the groups that the matrix does not rule out.
 
     ``sets`` has rep, n, prefix, component and component_size. Of two components the smaller one asks
-    (the smaller number, if equally large), so the sets of a large one never meet each other.
+    (the smaller number, if equally large), so the sets of a large one never meet each other. Where the
+    first shingle that two linked sets share stands, both must have as many shingles left as a link takes;
+    a row of the matrix holds the most that any member has left, and other rows are not asked.
     """
     rank = F.struct("component_size", "component")
     chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("component_size") / GROUP))
     members = sets.withColumn("grp", F.xxhash64("component", chunk)).withColumn("rank", rank)
-    tokens = members.select("rep", "n", "grp", "rank", "component", F.explode("prefix").alias("token"))
+    tokens = members.select("rep", "n", "grp", "rank", "component", F.posexplode("prefix").alias("at", "token"))
+    tokens = tokens.withColumn("rest", F.col("n") - F.col("at")).drop("at")
     live = staged(
         tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where(F.col("low") != F.col("high")).select("token"),
@@ -260,23 +307,24 @@ def _matrix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     few = live.count() <= MAX_BROADCAST
     shared = staged(tokens.join(F.broadcast(live) if few else live, "token"), "shared")
     top = shared.groupBy("token").agg(F.max("rank").alias("top"))
-    matrix = shared.groupBy("token", "grp", "rank").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high")).withColumnRenamed("rank", "grp_rank")
-    asking = staged(shared.join(top, "token").where(F.col("rank") < F.col("top")).select("token", "rep", "n", "rank"), "asking")
+    matrix = (
+        shared.groupBy("token", "grp", "rank").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("rest").alias("grp_rest"))
+        .withColumnRenamed("rank", "grp_rank")
+    )
+    asking = staged(shared.join(top, "token").where(F.col("rank") < F.col("top")).select("token", "rep", "n", "rank", "rest"), "asking")
     # A set with fewer such shingles in all than a link to the group's sizes takes need not ask that group.
     asking = asking.join(asking.groupBy("rep").agg(F.count("*").alias("asks")), "rep")
     n, low, high = F.col("n"), F.col("n_low"), F.col("n_high")
-    bounds = members.groupBy("grp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-    opened = (
+    smallest = F.greatest(low, -F.floor(-n * num / den + 1e-9))
+    opened = staged(
         asking.join(
             matrix,
             (asking["token"] == matrix["token"]) & (F.col("rank") < F.col("grp_rank")) & (high * den >= n * num) & (n * den >= low * num)
+            & (F.least("rest", "grp_rest") >= least_overlap(n, smallest, num, den))
             & (F.col("asks") >= least_needed(n, low, high, num, den)),
-        )
-        .groupBy("rep", "n", "grp").agg(F.count("*").alias("common"))
-        .join(bounds, "grp").where(F.col("common") >= least_needed(n, low, high, num, den))
-        .select(F.col("rep").alias("query"), F.col("n").alias("query_n"), "grp")
+        ).select(F.col("rep").alias("query"), F.col("n").alias("query_n"), "grp").distinct(),
+        "opened",
     )
-    opened = staged(opened, "opened")
     inside = (
         members.join(opened.select("grp").distinct(), "grp", "left_semi").groupBy("grp")
         .agg(F.collect_list(F.struct("rep", "n", "prefix")).alias("inside"))  # about GROUP members
@@ -289,7 +337,8 @@ def _matrix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
         & (F.size(F.array_intersect(m["prefix"], F.col("query_prefix"))) >= needed(m["n"], F.col("query_n"), num, den)),
     )
     pairs = opened.join(inside, "grp").join(asks, "query").select("query", F.explode(possible).alias("m"))
-    return pairs.select(F.greatest("m.rep", "query").alias("a"), F.least("m.rep", "query").alias("b")).distinct()
+    across = pairs.select(F.greatest("m.rep", "query").alias("a"), F.least("m.rep", "query").alias("b"))
+    return across.union(_pairs_within(members, num, den)).distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -315,8 +364,8 @@ def linked_rows(docs: DataFrame, words: int, similarity: tuple[int, int], unname
     num, den = similarity
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, words))
-    sets = staged(shingle_sets(rows, words, frequent, num, den), "sets")
+    levels = spark.sparkContext.broadcast(shingle_levels(rows, words))
+    sets = staged(shingle_sets(rows, words, levels, num, den), "sets")
     key = ["key1", "key2"]
     # A class goes by the hash of one of its texts: other classes have other texts, whatever their doc_ids.
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "n", "low1", "low2", "prefix")).alias("x")
@@ -327,11 +376,7 @@ def linked_rows(docs: DataFrame, words: int, similarity: tuple[int, int], unname
     )
     near = verified(_pivot_pairs(classes, num, den), classes, rows, words, num, den)
     first = connected_components(near)
-    placed = classes.select("rep", "n", "prefix").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = first.groupBy("component").agg(F.count("*").alias("component_size"))
-    placed = staged(
-        placed.join(sizes, "component", "left").withColumn("component_size", F.coalesce("component_size", F.lit(1)).cast("long")), "placed"
-    )
+    placed = staged(_grouped(classes, first), "placed")
     far = verified(_matrix_pairs(placed, num, den), classes, rows, words, num, den)
     last = connected_components(near.union(far)).withColumnRenamed("node", "rep")
     least = last.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("least"))
