@@ -1,9 +1,11 @@
+import random
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from sightline.llm.mixing import capped_targets, mix_sources, sainte_lague, words_of_spans
+from sightline.llm.mixing import PRIME, capped_targets, mix_sources, sainte_lague, words_of_spans
 from sightline.llm.queries import op1_mix_sources
 from tests.llm.conftest import no_documents, odd_documents, rows_of
 
@@ -58,6 +60,58 @@ def test_shards_share_a_source(spark, small):
     assert all(abs(t - n) <= max(60, 0.03 * t) for t, n in by_source.values())
 
 
+def taken_by_hand(sizes, quota, block, turn):
+    """Words taken of documents of the given sizes laid end to end: block after block in turn, the last in part."""
+    words = sum(sizes)
+    times = [0] * words
+    for i in range(quota // words):
+        times = [t + 1 for t in times]
+    left = quota % words
+    blocks = -(-words // block)
+    for b in sorted(range(blocks), key=lambda b: turn(b, blocks)):
+        for w in range(b * block, min(words, (b + 1) * block, b * block + left)):
+            times[w] += 1
+        left -= min(left, min(words, (b + 1) * block) - b * block)
+    out, at = [], 0
+    for n in sizes:
+        out.append(sum(times[at : at + n]))
+        at += n
+    return out
+
+
+def test_many_small_sources(spark):
+    """No document beyond twice its size, and every source gives its target, however small."""
+    texts = [("a", 64)] + [(f"b{i:02d}", 12) for i in range(40)] + [("c", 704), ("d", 0), (None, 5)]
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(texts)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["taken"] <= 2 * r["size"]
+        assert r["taken"] == min(round(r["target"]), 2 * r["source_size"])
+        assert all(0 <= s["start"] < s["end"] <= r["size"] and s["times"] in (1, 2) for s in r["spans"])
+    assert sum(r["taken"] for r in got) == pytest.approx(1.5 * sum(n for _, n in texts), abs=len(texts))
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_taken_blocks_by_hand(spark, block):
+    """One shard a source: the blocks taken are those of the permutation, compared word by word."""
+    rng = random.Random(block)
+    docs = [(i, "w " * rng.choice([0, 1, 3, 20, 90]), rng.choice("xyz")) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mix_sources(frame, block_words=block).collect()}
+    keys = {
+        r["doc_id"]: r["place"]
+        for r in frame.select("doc_id", F.xxhash64(F.lit(17), F.col("doc_id"), F.xxhash64("text")).alias("place")).collect()
+    }
+    shifts = {r["i"]: r["h"] for r in spark.range(3).select(F.col("id").cast("int").alias("i"), F.xxhash64(F.lit(17), F.col("id").cast("int"), F.lit(0).cast("long")).alias("h")).collect()}
+    for number, source in enumerate("xyz"):
+        mine = sorted((i for i, _, s in docs if s == source), key=lambda i: keys[i])
+        sizes = [got[i]["size"] for i in mine]
+        turn = lambda b, blocks: (b * PRIME + shifts[number] % blocks) % blocks  # noqa: E731, B023
+        want = taken_by_hand(sizes, round(got[mine[0]]["target"]), block, turn)
+        assert [got[i]["taken"] for i in mine] == want
+
+
 def test_odd_rows(spark):
     rows = mix_sources(odd_documents(spark)).collect()
     assert len(rows) == 11
