@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sightline.session import shared_folder
 from sightline.sources.tables import table
 
-__all__ = ["WORD", "mixed", "pick", "staged", "table", "word_count"]
+__all__ = ["WORD", "mixed", "pick", "positioned", "staged", "table", "word_count"]
 
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The lower bits of monotonically_increasing_id count rows of a partition.
+_ROW_BITS = 33
+
+
+def positioned(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``position``, their place (from 0) in the global order; no task sees more than its range.
+
+    The rows are written in order over range partitions; how many rows come before each partition is known
+    from one count per partition. The order should be unique, else many equal rows share a partition.
+    """
+    ranged = rows.repartitionByRange(max(1, shuffle_tasks(rows.sparkSession)), *order).sortWithinPartitions(*order)
+    written = staged(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_place", _ROW_BITS).cast("int")
+    sizes = {r["part"]: r["n"] for r in written.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=0) + 1):  # as many as there are partitions
+        before.append(total)
+        total += sizes.get(p, 0)
+    place = F.element_at(F.lit(before), part + 1) + F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return written.withColumn("position", place.cast("long")).drop("_place")
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

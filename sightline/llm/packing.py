@@ -2,27 +2,26 @@
 
 The plan depends only on how many pieces there are of each length (at most ``capacity`` numbers), so it
 is made on the driver in a moment whatever the corpus size. Pieces then take the planned slots by their
-rank within their length; ranks come from small hash buckets, so a length that a third of all pieces
-share is still dealt over many tasks.
+rank within their length; ranks come from one sort by length over range partitions, so a length that a
+third of all pieces share is still dealt over many tasks.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sightline.llm.common import pick, staged
+from sightline.llm.common import pick, positioned, staged
 
-#: Pieces in a rank bucket at least; large lengths take the square root of their count.
-BUCKET_ROWS = 256
 #: Characters of a word, or white space beyond one a word, from which on a text goes to the slow library.
 LONG_RUN = 1_000
 
@@ -37,23 +36,32 @@ def _byte_symbols() -> dict[str, int]:
 class _Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary file is read by ``tokenizers``. Most texts are encoded by ``tiktoken`` from the same
-    file's vocabulary, whose ids are the ranks of its merges; it gives the same ids in a quarter of the
-    time. Texts that may hold special tokens, or runs long enough to make it slow, go to ``tokenizers``.
+    Most texts are encoded by ``tiktoken`` from the file's vocabulary, whose ids are the ranks of its
+    merges; it gives the ids of ``tokenizers`` in a quarter of the time. Texts that may hold special
+    tokens, or runs long enough to make it slow, go to ``tokenizers``, which is loaded for the first such
+    text, so that most workers hold one vocabulary.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.marks = tuple(special)
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
+        self.marks = tuple(t["content"] for t in stated["added_tokens"])
         byte = _byte_symbols()
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
+        ranks = {bytes(byte[c] for c in t): i for t, i in stated["model"]["vocab"].items() if t not in self.marks}
+        del stated
         self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast._mergeable_ranks = {}  # the encoder has its own copy
+
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _plain(self, text: str) -> bool:
         if any(mark in text for mark in self.marks):
@@ -168,53 +176,29 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> dict[int, list[tu
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Give every piece ``sequence_id`` and ``offset``; sequences are filled from 0 without gaps.
 
-    ``pieces`` needs doc_id, piece, start and length and is read twice, so pass a written table.
+    ``pieces`` needs doc_id, piece, start, length and ``row``, a number of its own for every row, and is
+    read twice, so pass a written table. A piece's rank within its length is its position in the order by
+    length less the pieces that are shorter; the runs of its length say where that rank goes.
     """
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit_plan(counted, capacity)
-    starts = {x: np.array([r[0] for r in runs], dtype=np.int64) for x, runs in plan.items()}
-    firsts = {x: np.array([r[1] for r in runs], dtype=np.int64) for x, runs in plan.items()}
-    places = {x: np.array([r[2] for r in runs], dtype=np.int64) for x, runs in plan.items()}
-
-    buckets = [1] * (capacity + 1)
-    for length, n in counted.items():
-        buckets[length] = -(-n // max(BUCKET_ROWS, int(n**0.5)))
-    bucket = F.pmod(
-        F.xxhash64("doc_id", "piece", "start"),
-        F.element_at(F.lit([int(x) for x in buckets[1:]]), F.col("length")).cast("long"),
+    shorter, rows = 0, []
+    for length in sorted(plan):
+        rows.append((length, shorter, plan[length]))
+        shorter += counted[length]
+    # A row per length, at most ``capacity``; the runs of all lengths do not grow with the corpus.
+    runs = pieces.sparkSession.createDataFrame(rows, "length int, shorter long, runs array<struct<rank:long,first:long,place:int>>")
+    placed = (
+        positioned(pieces, F.col("length"), F.col("doc_id"), F.col("piece"), F.col("start"), F.col("row"))
+        .join(F.broadcast(runs), "length")
+        .withColumn("rank", F.col("position") - F.col("shorter"))
+        .withColumn("run", F.element_at(F.filter("runs", lambda r: r["rank"] <= F.col("rank")), -1))
     )
-    dealt = pieces.withColumn("bucket", bucket)
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-        .select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return placed.select(
+        *[n for n in pieces.columns if n != "row"],
+        (F.col("run.first") + F.col("rank") - F.col("run.rank")).alias("sequence_id"),
+        F.col("run.place").cast("long").alias("offset"),
     )
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
-    ranked = (
-        dealt.withColumn("at", F.row_number().over(within) - 1)
-        .join(offsets, ["length", "bucket"])
-        .withColumn("rank", (F.col("at") + F.col("before")).cast("long"))
-        .drop("at", "before", "bucket")
-    )
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
-            sequence, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
-            for x in np.unique(length):
-                mine = np.flatnonzero(length == x)
-                run = np.searchsorted(starts[x], rank[mine], side="right") - 1
-                sequence[mine] = firsts[x][run] + rank[mine] - starts[x][run]
-                offset[mine] = places[x][run]
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "rank"]
-            names = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"]
-            )
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes if n != "rank")
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -225,4 +209,5 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_
     piece doc_id, piece, start, length, ids_crc32, sequence_id and offset. Repeated rows and rows without
     doc_id are packed like others, each by itself; an empty table gives an empty result.
     """
-    return pack(staged(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id())
+    return pack(staged(pieces, "pieces"), capacity)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import pick, shuffle_tasks, staged
+from sightline.llm.common import pick, positioned, staged
 
 #: Lower-case A-Z; ASCII besides digits and letters parts words, all else belongs to them.
 _CLEAN = bytes(
@@ -26,8 +26,6 @@ _CLEAN = bytes(
 )
 #: Texts whose planes are held at once.
 AT_ONCE = 256
-#: The lower bits of monotonically_increasing_id count rows of a partition.
-_ROW_BITS = 33
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -161,21 +159,6 @@ def _noise(doc_id: Column, seed: int) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def _positions(rows: DataFrame, *order: Column) -> tuple[DataFrame, dict[int, int]]:
-    """The rows written in order over range partitions, and the rows before each of them.
-
-    ``place`` holds the partition and the row within it. No task sees more than its range.
-    """
-    ranged = rows.repartitionByRange(max(1, shuffle_tasks(rows.sparkSession)), *order).sortWithinPartitions(*order)
-    written = staged(ranged.withColumn("place", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("place", _ROW_BITS).cast("int")
-    sizes = {r["part"]: r["n"] for r in written.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):  # as many as there are partitions
-        before[p], total = total, total + sizes[p]
-    return written, before
-
-
 def importance_resample(
     docs: DataFrame,
     target: DataFrame,
@@ -203,7 +186,6 @@ def importance_resample(
         "scores",
     )
     drawn = scored.where(enough).count() * share[0] // share[1]
-    ranked, before = _positions(scored, F.when(enough, F.lit(0)).otherwise(F.lit(1)), F.desc("score"), F.asc_nulls_last("doc_id"), F.col("row"))
-    start = F.element_at(F.lit([before.get(p, 0) for p in range(max(before, default=0) + 1)]), F.shiftright("place", _ROW_BITS).cast("int") + 1)
-    rank = (start + F.col("place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1).cast("long")
+    ranked = positioned(scored, F.when(enough, F.lit(0)).otherwise(F.lit(1)), F.desc("score"), F.asc_nulls_last("doc_id"), F.col("row"))
+    rank = F.col("position") + 1
     return ranked.select("doc_id", "n_words", "n_features", "weight", "score", F.when(enough & (rank <= drawn), rank).alias("rank"))

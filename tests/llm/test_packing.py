@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sightline.llm.packing import _Encoder, best_fit_packing, best_fit_plan
@@ -111,3 +112,14 @@ def test_odd_rows(spark):
 def test_small_capacity(spark, capacity):
     rows = best_fit_packing(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), PATH, capacity).collect()
     assert sum(r["length"] for r in rows) == 7 and max(r["length"] for r in rows) <= capacity
+
+
+def test_many_rows_without_id(spark):
+    """Rows that share everything but their number are spread over tasks and each get a slot."""
+    df = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))
+    rows = best_fit_packing(df, PATH)
+    places = rows.groupBy("sequence_id", "offset").count()
+    assert rows.count() == 50_000 and places.count() == 50_000
+    length = rows.first()["length"]
+    assert rows.agg(F.max("offset")).first()[0] == (1024 // length - 1) * length
+    assert rows.select("sequence_id").distinct().count() == -(-50_000 // (1024 // length))
