@@ -23,6 +23,13 @@ def build_catalog(datasets: dict[str, DataFrame], exact_distinct: bool = False)
     return catalog_roles(datasets, exact_distinct=exact_distinct)
 
 
+def name_catalog(datasets: dict[str, DataFrame]) -> DataFrame:
+    """(dataset, column) of all datasets: what join candidates need, without reading any data."""
+    spark = next(iter(datasets.values())).sparkSession
+    rows = [(name, column) for name, df in datasets.items() for column in df.columns]
+    return spark.createDataFrame(rows, "dataset string, column string")
+
+
 def concept_root(name: Column) -> Column:
     """Name without its suffix tokens, then the alias of what is left."""
     out = F.lower(F.trim(name))
@@ -64,9 +71,11 @@ def _events(
         event("categorical", fv.WEIGHT_CATEGORICAL, ~number),
         event("time", fv.WEIGHT_DATE, date),
     ]
-    pairs = shared_columns(catalog).select(F.explode("shared_columns").alias("variable"))
+    # A name that k datasets have is shared by k (k - 1) / 2 pairs.
+    k = F.countDistinct("dataset")
+    shared = catalog.groupBy(F.col("column").alias("variable")).agg((k * (k - 1) / 2).alias("pairs")).where("pairs > 0")
     parts.append(
-        pairs.select("variable", F.lit(fv.WEIGHT_SHARED).alias("weight"), F.lit("shared").alias("what"))
+        shared.select("variable", (F.col("pairs") * fv.WEIGHT_SHARED).alias("weight"), F.lit("shared").alias("what"))
     )
     if findings is not None:
         weight = F.lit(fv.WEIGHT_RELATIONSHIP) + F.least("score", F.lit(fv.RELATIONSHIP_SCORE_CAP))
@@ -116,8 +125,8 @@ def variable_importance(
             F.sort_array(F.collect_list(F.struct("dataset", "missing_percent")))
         ).alias("missing_by_dataset"),
         F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct("dataset", "distinct")))
-        ).alias("unique_by_dataset"),
+            F.sort_array(F.collect_list(F.struct("dataset", "distinct_estimate")))
+        ).alias("unique_estimate_by_dataset"),
         F.min("missing_percent").alias("min_missing"),
     )
     bonus = None

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.scalars import as_number, as_timestamp, strict_name
+from sightline.functions.scalars import as_number, as_timestamp, is_missing, quoted, strict_name
 from sightline.operators.profile import numeric_columns, union_all, value_counts
 
 
@@ -48,14 +49,111 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     )
 
 
-def default_histograms(df: DataFrame, max_columns: int | None = None, bins: int = 10) -> DataFrame:
-    """Histograms of all numeric columns, or the first ``max_columns``, in one long table."""
-    return union_all(
-        [
-            histogram(df, c, bins).select(F.lit(c).alias("column"), "*")
-            for c in numeric_columns(df)[:max_columns]
+@dataclass(frozen=True)
+class Chart:
+    """A chart of one column: ``histogram`` (equal bins), ``months`` or ``bars`` (the top values)."""
+
+    column: str
+    kind: str
+    bins: int = 20
+    top: int = 10
+
+
+#: Parts that the values of a chart are ranked in first.
+PARTS = 64
+_VALUE = "struct<chart:int,bin:bigint,label:string>"
+
+
+def fused_charts(df: DataFrame, charts: Sequence[Chart]) -> DataFrame:
+    """Any number of charts of one dataset from two scans of it, or one without histograms.
+
+    The first scan takes the limits of all histogram columns, which reach the second as one array; the
+    second turns every row into a value per chart (a bin, a month or a text), counted by chart and value
+    before anything is shuffled. Returns (chart, bin, label, bin_from, bin_to, count) with chart the place
+    in ``charts``: all bins of a histogram whose column has numbers, the months present, and the most
+    frequent texts, missing ones as 'nan'.
+    """
+    spark = df.sparkSession
+    if not charts:
+        return spark.createDataFrame([], "chart int, bin bigint, label string, bin_from double, bin_to double, count bigint")
+    numbers = {c.column: f"_x{i}" for i, c in enumerate(charts) if c.kind == "histogram"}
+    limits = None
+    if numbers:
+        bounds = [
+            F.struct(F.min(as_number(df, c)).alias("a"), F.max(as_number(df, c)).alias("b")) for c in numbers
         ]
+        pad = lambda r: F.when(r["a"] == r["b"], 0.5).otherwise(0.0)
+        limits = df.agg(F.array(*bounds).alias("r")).select(
+            F.transform("r", lambda r: F.struct((r["a"] - pad(r)).alias("lo"), (r["b"] + pad(r)).alias("hi"))).alias("r")
+        )
+    place = {column: i for i, column in enumerate(numbers)}
+
+    columns = []
+    for i, chart in enumerate(charts):
+        if chart.kind == "histogram":
+            value = as_number(df, chart.column)
+        elif chart.kind == "months":
+            value = F.date_format(as_timestamp(df, chart.column), "yyyy-MM")
+        else:
+            value = F.when(is_missing(df, chart.column), F.lit("nan")).otherwise(quoted(chart.column).cast("string"))
+        columns.append(value.alias(f"_v{i}"))
+    wide = df.select(*columns)
+    if limits is not None:
+        wide = wide.withColumn("_r", limits.scalar())
+    cells = []
+    for i, chart in enumerate(charts):
+        value = F.col(f"_v{i}")
+        number = chart.kind == "histogram"
+        bin_ = _bin_of(value, F.col("_r")[place[chart.column]], chart.bins) if number else F.lit(None).cast("bigint")
+        label = F.lit(None).cast("string") if number else value
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("chart"), bin_.alias("bin"), label.alias("label"))))
+    counts = (
+        wide.select(F.explode(F.array_compact(F.array(*cells)).cast(f"array<{_VALUE}>")).alias("v"))
+        .groupBy("v.chart", "v.bin", "v.label").agg(F.count("*").alias("count"))
+    )
+    # The most frequent texts of a chart: first within parts of its values, so that no task sees them all.
+    most = F.element_at(F.lit([c.top if c.kind == "bars" else 2**31 - 1 for c in charts]), F.col("chart") + 1)
+    for keys in (["chart", "_part"], ["chart"]):
+        best = Window.partitionBy(*keys).orderBy(F.desc("count"), "label", "bin")
+        counts = counts.withColumn("_part", F.pmod(F.xxhash64("label"), F.lit(PARTS)))
+        counts = counts.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= most).drop("_rank", "_part")
+    none = F.lit(None).cast("double")
+    if limits is None:
+        return counts.select("chart", "bin", "label", none.alias("bin_from"), none.alias("bin_to"), "count")
+    # A row per bin of every histogram whose column has numbers.
+    kinds = spark.createDataFrame(
+        [(i, c.bins, place[c.column]) for i, c in enumerate(charts) if c.kind == "histogram"], "chart int, bins int, place int"
+    )
+    frame = (
+        kinds.withColumn("_r", limits.scalar()).withColumn("r", F.col("_r")[F.col("place")]).where(F.col("r.lo").isNotNull())
+        .select("chart", "bins", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("bins") - 1).cast("bigint"))).alias("bin"))
     )
+    edge = lambda at: F.when(at >= F.col("bins"), F.col("r.hi")).otherwise(
+        F.col("r.lo") + at * ((F.col("r.hi") - F.col("r.lo")) / F.col("bins"))
+    )
+    return counts.join(frame, ["chart", "bin"], "full_outer").select(
+        "chart", "bin", F.coalesce("label", F.lpad(F.col("bin").cast("string"), 2, "0")).alias("label"),
+        edge(F.col("bin")).alias("bin_from"), edge(F.col("bin") + 1).alias("bin_to"),
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+    )
+
+
+def _bin_of(x: Column, r: Column, bins: int) -> Column:
+    """The bin of x; a value that rounding put next to its bin is moved by comparing the edges."""
+    step = (r["hi"] - r["lo"]) / bins
+    edge = lambda i: F.when(i >= bins, r["hi"]).otherwise(r["lo"] + i * step)
+    guess = F.least(F.floor((x - r["lo"]) / (r["hi"] - r["lo"]) * bins), F.lit(bins - 1).cast("bigint"))
+    return (
+        guess - F.when(x < edge(guess), 1).otherwise(0) + F.when((x >= edge(guess + 1)) & (guess < bins - 1), 1).otherwise(0)
+    ).cast("bigint")
+
+
+def default_histograms(df: DataFrame, max_columns: int | None = None, bins: int = 10) -> DataFrame:
+    """Histograms of all numeric columns, or the first ``max_columns``, in one long table from two scans."""
+    columns = numeric_columns(df)[:max_columns]
+    data = fused_charts(df, [Chart(c, "histogram", bins) for c in columns])
+    names = F.element_at(F.lit(columns or [""]), F.col("chart") + 1)
+    return data.select(names.alias("column"), "bin", "bin_from", "bin_to", "count")
 
 
 def category_bars(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -89,18 +187,16 @@ def scatter_pairs(
     return pairs.where(enough)
 
 
-def chart_table(df: DataFrame, column: str, chart: str, numeric: bool) -> DataFrame:
-    """Long rows (label, position, count) for one chart of one column."""
-    if chart == "time_series_line_chart":
-        data = monthly_counts(df, column).select(F.col("period").alias("label"), "count")
-    elif chart == "histogram_or_boxplot" or (chart == "relationship_plot" and numeric):
-        # A column without numbers has bins without edges.
-        data = histogram(df, column, 20).where("bin_from IS NOT NULL").select(
-            F.lpad(F.col("bin").cast("string"), 2, "0").alias("label"), "count"
-        )
-    else:
-        data = category_bars(df, column).select(F.col("value").alias("label"), "count")
-    return data
+def chart_of(df: DataFrame, column: str, graph: str) -> Chart:
+    """The chart that an action's graph type stands for; fails if the column cannot be drawn."""
+    if graph == "time_series_line_chart":
+        df.select(as_timestamp(df, column))
+        return Chart(column, "months")
+    if graph == "histogram_or_boxplot" or (graph == "relationship_plot" and column in numeric_columns(df)):
+        df.select(as_number(df, column))
+        return Chart(column, "histogram")
+    df.select(quoted(column).cast("string"))
+    return Chart(column, "bars")
 
 
 def run_charts(
@@ -111,51 +207,39 @@ def run_charts(
 ) -> tuple[DataFrame, DataFrame]:
     """A status table and the long chart data for the chart actions.
 
-    Actions are one row per variable and are collected; every chart stays lazy, and so
-    does the status table, which reads the data. A ``limit`` leaves out the charts of the
-    least important variables, with a status row each.
-    A variable that is in no dataset, or whose column gives no data, is skipped
-    with a reason and does not stop the others.
+    Actions are one row per variable and are collected. All charts of a dataset come from one pass of
+    ``fused_charts``; both tables stay lazy, and the status reads the data. A ``limit`` leaves out the
+    charts of the least important variables, with a status row each. A variable that is in no dataset, or
+    whose column gives no data, is skipped with a reason and does not stop the others.
     """
     spark = actions.sparkSession
-    status = []
-    data = [
-        spark.createDataFrame(
-            [], "variable_name string, dataset_name string, graph_type string, label string, count bigint"
-        )
-    ]
+    status: list[tuple] = []
+    by_dataset: dict[str, list[tuple[str, str, Chart]]] = {}
     rows = actions.orderBy(F.desc("importance_score"), "variable_name").collect()
     for place, r in enumerate(rows):
-        variable, chart = r["variable_name"], r["recommended_graph"]
+        variable, graph = r["variable_name"], r["recommended_graph"]
         if limit is not None and place >= limit:
-            status.append((variable, None, chart, "skipped", f"Beyond the limit of {limit} charts."))
+            status.append((variable, None, graph, "skipped", f"The limit of {limit} charts was reached."))
             continue
         name = dataset_for(variable, datasets, (preferred or {}).get(variable, ()))
         if name is None:
-            status.append((variable, None, chart, "skipped", "No dataset found containing this variable."))
+            status.append((variable, None, graph, "skipped", "No dataset has a column of this name."))
             continue
-        df, column = datasets[name], strict_name(variable)
         try:
-            numeric = column in numeric_columns(df)
-            table = chart_table(df, column, chart, numeric)
+            chart = chart_of(datasets[name], strict_name(variable), graph)
         except Exception as error:  # noqa: BLE001 - reported, the other charts go on
-            status.append((variable, name, chart, "skipped", f"Graph creation failed: {error}"))
+            status.append((variable, name, graph, "skipped", f"The column cannot be drawn: {error}"))
             continue
-        status.append((variable, name, chart, "created", None))
-        data.append(
-            table.select(
-                F.lit(variable).alias("variable_name"),
-                F.lit(name).alias("dataset_name"),
-                F.lit(chart).alias("graph_type"),
-                "label",
-                "count",
-            )
-        )
-    table = spark.createDataFrame(
-        status,
-        "variable_name string, dataset_name string, graph_type string, status string, reason string",
-    )
-    charted = union_all(data)
+        status.append((variable, name, graph, "created", None))
+        by_dataset.setdefault(name, []).append((variable, graph, chart))
+    text = "variable_name string, dataset_name string, graph_type string"
+    parts = [spark.createDataFrame([], text + ", label string, count bigint")]
+    for name, wanted in by_dataset.items():
+        made = spark.createDataFrame([(i, v, name, g) for i, (v, g, _) in enumerate(wanted)], "chart int, " + text)
+        data = fused_charts(datasets[name], [c for _, _, c in wanted])
+        parts.append(data.join(F.broadcast(made), "chart").select(*parts[0].columns))  # a row per chart
+    charted = union_all(parts)
+    table = spark.createDataFrame(status, text + ", status string, reason string")
     made = ["variable_name", "dataset_name", "graph_type"]
     drawn = charted.groupBy(*made).agg(F.sum("count").alias("_drawn"))
     empty = (F.col("status") == "created") & (F.coalesce("_drawn", F.lit(0)) == 0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.quantiles import exact_quantiles
@@ -96,24 +96,35 @@ def shared_columns(catalog: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def row_signature(keys: Sequence[Column]) -> Column:
+    """Two 64-bit hashes of a row."""
+    return F.struct(F.xxhash64(*keys).alias("h1"), F.xxhash64(F.lit(1), *keys, F.lit(2)).alias("h2"))
+
+
+def duplicate_rows(df: DataFrame, signature: Callable[[Sequence[Column]], Column] = row_signature) -> DataFrame:
     """Rows beyond the first of each set of equal rows; nulls are equal.
 
-    Copies are counted before the shuffle, so a row that fills a third of the
-    table travels once per task.
+    Signatures of 16 bytes are counted first, in part before the shuffle. Only rows whose signature
+    repeats are compared in full, copies again counted before the shuffle, so different rows that share a
+    signature are told apart and a table without repeats moves no row.
     """
     # Maps cannot be grouped; their sorted entries can.
     keys = [
-        F.array_sort(F.map_entries(quoted(f.name))).alias(f.name)
+        F.array_sort(F.map_entries(quoted(f.name))).alias(f"_k{i}")
         if f.dataType.typeName() == "map"
-        else quoted(f.name)
-        for f in df.schema.fields
+        else quoted(f.name).alias(f"_k{i}")
+        for i, f in enumerate(df.schema.fields)
     ]
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_copies"))
-    return groups.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*keys).withColumn("_signature", signature([F.col(n) for n in names]))
+    counted = rows.groupBy("_signature").agg(F.count("*").alias("_n"))
+    # Counts of copies, one row per different row of a repeated signature.
+    groups = (
+        rows.join(counted.where("_n > 1").select("_signature"), "_signature", "left_semi")
+        .groupBy("_signature", *names).agg(F.count("*").alias("_copies"))
     )
+    beyond = groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))).scalar()
+    return counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).withColumn("duplicate_rows", beyond)
 
 
 def sample_rows(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
@@ -239,10 +250,15 @@ def _value_form(df: DataFrame, name: str, type_name: str) -> str:
     return f"CAST({value} AS {type_name})"
 
 
+def sketch_sql(df: DataFrame, name: str) -> str:
+    """A sketch of the different values, at most 64 KB; sketches of two tables can be merged."""
+    value = f"CASE WHEN NOT {missing_sql(df, name)} THEN xxhash64({ident(name)}) END"
+    return f"hll_sketch_agg({value}, {SKETCH_SIZE})"
+
+
 def sketch_distinct_sql(df: DataFrame, name: str) -> str:
     """Estimated distinct values; the sketch is 64 KB per column and task."""
-    value = f"CASE WHEN NOT {missing_sql(df, name)} THEN xxhash64({ident(name)}) END"
-    return f"coalesce(hll_sketch_estimate(hll_sketch_agg({value}, {SKETCH_SIZE})), 0)"
+    return f"coalesce(hll_sketch_estimate({sketch_sql(df, name)}), 0)"
 
 
 def value_counts(

@@ -23,7 +23,7 @@ from sightline.functions.scalars import (
     timestamp_sql,
 )
 from sightline.operators.profile import rows_sql, unfold, union_all
-from sightline.operators.roles import candidate_pairs, column_roles
+from sightline.operators.roles import as_local_table, candidate_pairs, column_roles
 
 PAIRS_PER_PASS = 200
 COLUMNS_PER_TILE = 20
@@ -286,7 +286,7 @@ def categorical_numeric(
         (F.col("rows_used") >= min_rows) & (F.col("n_groups") >= 2) & (F.col("effect") >= min_score)
     )
     if medians:
-        kept = _add_medians(df, kept, pairs)
+        kept = _add_medians(df, kept)
     else:
         kept = kept.withColumn("medians", F.lit(None).cast("map<string,double>"))
     found = kept.withColumns(
@@ -321,31 +321,27 @@ def categorical_numeric(
     return _as_findings(found, dataset)
 
 
-def _add_medians(df: DataFrame, kept: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
+def _add_medians(df: DataFrame, kept: DataFrame) -> DataFrame:
     """Exact group medians as a map, for the pairs in ``kept``.
 
-    ``kept`` has at most one row per column pair and is broadcast.
+    ``kept``, at most one row per column pair, is collected first: it says which values are unfolded, so
+    that rows are multiplied by the pairs kept and not by all pairs.
     """
-    numbered = {pair: k for k, pair in enumerate(pairs)}
-    number = F.coalesce(
-        *[
-            F.when((F.col("column_a") == a) & (F.col("column_b") == b), F.lit(k))
-            for (a, b), k in numbered.items()
-        ]
-    )
+    kept = as_local_table(kept)
+    numbered = {(r["column_a"], r["column_b"]): i for i, r in enumerate(kept.select("column_a", "column_b").collect())}
+    if not numbered:
+        return kept.withColumn("medians", F.lit(None).cast("map<string,double>"))
     rows = [
-        {"pair": str(k), "group": f"CAST({ident(a)} AS STRING)", "x": number_sql(df, b)}
-        for (a, b), k in numbered.items()
+        {"pair": str(i), "group": f"CAST({ident(a)} AS STRING)", "x": number_sql(df, b)}
+        for (a, b), i in numbered.items()
     ]
-    long = df.selectExpr(rows_sql(rows)).join(
-        kept.select(number.alias("pair")), "pair", "left_semi"
-    )
+    names = df.sparkSession.createDataFrame([(i, a, b) for (a, b), i in numbered.items()], "pair int, column_a string, column_b string")
     medians = (
-        exact_median(long, "x", ["pair", "group"])
+        exact_median(df.selectExpr(rows_sql(rows)), "x", ["pair", "group"])
         .groupBy("pair")
         .agg(F.map_from_entries(F.collect_list(F.struct("group", "median"))).alias("medians"))
     )
-    return kept.withColumn("pair", number).join(medians, "pair", "left").drop("pair")
+    return kept.join(names, ["column_a", "column_b"]).join(medians, "pair", "left").drop("pair")
 
 
 def categorical_binary(

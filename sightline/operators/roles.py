@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline import fixed_values as fv
@@ -24,6 +24,7 @@ from sightline.operators.profile import (
     distinct_counts,
     kind_of,
     sketch_distinct_sql,
+    sketch_sql,
     unfold,
     union_all,
 )
@@ -33,17 +34,10 @@ SMALL_DISTINCT = 100
 RATIO_BAND = 0.025
 
 
-def column_stats(
-    df: DataFrame,
-    dataset: str = "data",
-    exact_distinct: bool = False,
-) -> DataFrame:
-    """One row per column: kind, rows, missing, distinct, 0/1 test, date share.
+def _measures(df: DataFrame, sketch: bool) -> DataFrame:
+    """One row per column from one pass: kind, rows, missing, distinct, beyond_binary, sampled, parsed.
 
-    Distinct counts are sketched in the same pass. ``exact_distinct`` replaces
-    them by exact ones for every column; otherwise ``settle_distinct`` does so
-    only for columns whose estimate lies near a threshold.
-    The date share of a text column is taken over all its values.
+    ``distinct`` is the estimate of a sketch, or with ``sketch`` the sketch itself.
     """
     kinds = {c: kind_of(df, c) for c in df.columns}
     texts = [
@@ -53,9 +47,9 @@ def column_stats(
     aggs, fields = ["count(*) AS rows"], {}
     for i, c in enumerate(df.columns):
         aggs.append(f"count_if({missing_sql(df, c)}) AS m{i}")
-        distinct, other, parsed = "0L", "0L", "0L"
+        distinct, other, parsed = "CAST(NULL AS BINARY)" if sketch else "0L", "0L", "0L"
         if kinds[c] != "nested":
-            aggs.append(f"{sketch_distinct_sql(df, c)} AS d{i}")
+            aggs.append(f"{(sketch_sql if sketch else sketch_distinct_sql)(df, c)} AS d{i}")
             distinct = f"d{i}"
         if kinds[c] == "number":
             aggs.append(f"count_if({number_sql(df, c)} NOT IN (0D, 1D)) AS o{i}")
@@ -73,24 +67,76 @@ def column_stats(
             "sampled": f"rows - m{i}",
             "parsed": parsed,
         }
-    stats = unfold(df.agg(*[F.expr(a) for a in aggs]), fields, "column")
+    return unfold(df.agg(*[F.expr(a) for a in aggs]), fields, "column")
+
+
+def column_stats(
+    df: DataFrame,
+    dataset: str = "data",
+    exact_distinct: bool = False,
+) -> DataFrame:
+    """One row per column: kind, rows, missing, distinct, 0/1 test, date share.
+
+    Distinct counts are sketched in the same pass; ``distinct_estimate`` holds the sketch's figure.
+    ``exact_distinct`` replaces ``distinct`` by exact counts for every column; otherwise
+    ``settle_distinct`` does so only for columns whose estimate lies near a threshold.
+    The date share of a text column is taken over all its values.
+    """
+    stats = _measures(df, False)
+    stats = stats.withColumn("distinct_estimate", F.col("distinct"))
     if exact_distinct:
-        flat = [c for c in df.columns if kinds[c] != "nested"]
+        flat = [c for c in df.columns if kind_of(df, c) != "nested"]
         stats = (
             stats.drop("distinct")
             .join(distinct_counts(df, flat), "column", "left")
             .withColumn("distinct", F.coalesce("distinct_count", F.lit(0)))
             .drop("distinct_count")
         )
+    return _as_stats(stats.withColumn("dataset", F.lit(dataset)), exact_distinct)
+
+
+def _as_stats(stats: DataFrame, exact_distinct: bool) -> DataFrame:
     return stats.select(
-        F.lit(dataset).alias("dataset"),
+        "dataset",
         "column", "position", "kind", "rows", "missing",
         (F.col("rows") - F.col("missing")).alias("non_missing"),
-        "distinct", "beyond_binary", "sampled", "parsed",
+        "distinct", "beyond_binary", "sampled", "parsed", "distinct_estimate",
         F.lit(exact_distinct).alias("distinct_is_exact"),
     )
 
 
+def column_sketches(df: DataFrame, dataset: str = "data") -> DataFrame:
+    """What a file adds to a catalogue, one row per column: counts and a sketch of its values.
+
+    Keep the rows of every file as a table; ``stats_of_sketches`` merges any of them, so that a new file
+    costs its own scan only. A sketch has at most 64 KB whatever the file's size.
+    """
+    return _measures(df, True).withColumnRenamed("distinct", "sketch").select(F.lit(dataset).alias("dataset"), "*")
+
+
+def stats_of_sketches(sketches: DataFrame) -> DataFrame:
+    """``column_stats`` of datasets whose files were sketched one by one; distinct counts are estimates.
+
+    A column's kind must be the same in all files of a dataset, else it counts as text. Columns stand in
+    the order of their first place in any file; a file without a column counts as missing there.
+    """
+    merged = sketches.groupBy("dataset", "column").agg(
+        F.min("position").alias("position"),
+        F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("text").alias("kind"),
+        *[F.sum(c).alias(c) for c in ("rows", "missing", "beyond_binary", "sampled", "parsed")],
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).cast("bigint").alias("distinct"),
+    )
+    # Every file gives its rows with each of its columns; the fullest column has the rows of all files.
+    whole = F.max("rows").over(Window.partitionBy("dataset"))
+    merged = merged.withColumn("missing", F.col("missing") + whole - F.col("rows")).withColumn("rows", whole)
+    return _as_stats(merged.withColumn("distinct_estimate", F.col("distinct")), False)
+
+
+def merged_catalog(sketches: DataFrame, unique_ratio_rule: str = "all") -> DataFrame:
+    """Roles and usability of every column from the sketches of its files, without reading the files."""
+    return with_roles(stats_of_sketches(sketches), unique_ratio_rule)
+
+
 def near_threshold() -> Column:
     """Whether an estimated distinct count could fall on either side of a rule."""
     ratio = F.col("distinct") / F.greatest("non_missing", F.lit(1))

@@ -893,6 +893,11 @@ _k = {
         FROM v GROUP BY 1 HAVING count(*) >= 2""",
     "top": "SELECT * FROM v ORDER BY importance_score DESC, variable LIMIT 20",
 }
+ORACLES["catalog_merge"] = sql(
+    f"""SELECT dataset, "column", kind, rows, missing, role, {r('missing_percent')} AS missing_percent,
+       exclusion_reason IS NULL AS usable FROM roles WHERE dataset IN ('encounters', 'graded', 'planted')""",
+    *_views, **_kcat,
+)
 ORACLES["var_importance"] = sql(
     f"""SELECT variable, concept_root, importance_score, importance_bucket, datasets, roles,
        {r('min_missing')} AS min_missing FROM v""",
@@ -962,6 +967,53 @@ ORACLES["action_rows"] = sql(
     UNION ALL SELECT 'model_' || model_role, variable_name, 'use_for_next_model_iteration' FROM mr""",
     *_views, **_k, **_cand, mr=MODEL_ROLES,
 )
+
+
+def chart_rows() -> str:
+    """Every chart that a top variable may get, of its first dataset by name; only those of ``top`` stay."""
+    first: dict[str, tuple[str, str, str]] = {}
+    for dataset in sorted(COLLECTION):
+        view, columns = COLLECTION[dataset]
+        for column, kind in columns.items():
+            first.setdefault(column, (dataset, view, kind))
+    parts = []
+    for column, (dataset, view, kind) in first.items():
+        said = f"'{column}' AS variable_name, '{dataset}' AS dataset_name"
+        # A bare number counts nanoseconds.
+        stamp = {"time": column, "number": f"make_timestamp(CAST({column} / 1000 AS BIGINT))"}.get(kind)
+        months = f"strftime({stamp}, '%Y-%m')" if stamp else "NULL"
+        parts.append(
+            f"""SELECT {said}, 'time_series_line_chart' AS graph_type, {months} AS label, count(*) AS count FROM {view}
+                WHERE {months} IS NOT NULL GROUP BY {months}"""
+        )
+        if kind == "number":
+            bins = histogram(view, column, 20)
+            parts.append(f"SELECT {said}, 'histogram_or_boxplot', lpad(bin::VARCHAR, 2, '0'), count FROM ({bins}) WHERE bin_from IS NOT NULL")
+        else:
+            parts.append(
+                f"""SELECT {said}, 'bar_chart', label, count FROM (
+                    SELECT coalesce({column}::VARCHAR, 'nan') AS label, count(*) AS count FROM {view} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)"""
+            )
+    return " UNION ALL ".join(parts)
+
+
+CHOSEN_CHARTS = """
+SELECT variable AS variable_name, CASE WHEN is_time = 1 THEN 'time_series_line_chart'
+       WHEN roles LIKE '%numeric%' THEN 'histogram_or_boxplot' ELSE 'bar_chart' END AS graph_type,
+       split_part(datasets, ',', 1) AS dataset_name FROM top"""
+ORACLES["chart_dispatch"] = sql(
+    "SELECT * FROM charted SEMI JOIN chosen USING (variable_name, graph_type, dataset_name)",
+    *_views, **_k, charted=chart_rows(), chosen=CHOSEN_CHARTS,
+)
+ORACLES["chart_status"] = sql(
+    """SELECT variable_name, dataset_name, graph_type,
+       CASE WHEN drawn > 0 THEN 'created' ELSE 'skipped' END AS status,
+       CASE WHEN drawn > 0 THEN NULL ELSE 'The column has no values to draw.' END AS reason
+    FROM (SELECT variable_name, dataset_name, graph_type, coalesce(sum(count), 0) AS drawn
+          FROM chosen LEFT JOIN charted USING (variable_name, graph_type, dataset_name) GROUP BY ALL)
+    UNION ALL SELECT 'not_there', NULL, 'bar_chart', 'skipped', 'No dataset has a column of this name.'""",
+    *_views, **_k, charted=chart_rows(), chosen=CHOSEN_CHARTS,
+)
 JOINED = """
 SELECT '{pair}' AS dataset_pair, 'merged' AS status, CAST(NULL AS VARCHAR) AS reason, '{keys}' AS keys_used,
        (SELECT count(*) FROM {a}) AS left_rows, (SELECT count(*) FROM {b}) AS right_rows,

@@ -416,8 +416,8 @@ def rel_time_num(spark, d):
     return found.select(*CORE, "strength_label", "direction")
 
 
-def _found(spark, d):
-    return relationships.discover(t.planted(spark, d), "planted")
+def _found(spark, d, medians=True):
+    return relationships.discover(t.planted(spark, d), "planted", medians=medians)
 
 
 @query
@@ -689,6 +689,19 @@ def _catalog(spark, d):
     return catalog.build_catalog(collection(spark, d))
 
 
+@query
+def catalog_merge(spark, d):
+    """The catalogue of datasets in two files each, merged from a kept table of sketches per file."""
+    frames = {n: df for n, df in collection(spark, d).items() if n in ("encounters", "graded", "planted")}
+    folder = shared_folder(spark)
+    for name, df in frames.items():
+        half = F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(2))
+        for i in range(2):
+            roles.column_sketches(df.where(half == i), name).write.parquet(f"{folder}/file={name}-{i}")
+    found = roles.merged_catalog(spark.read.parquet(folder).drop("file"))
+    return rounded(found.select("dataset", "column", "kind", "rows", "missing", "role", "missing_percent", "usable"))
+
+
 def _declared(spark):
     return spark.createDataFrame(
         [("departments", "encounters", ["departmentkey"])],
@@ -699,7 +712,8 @@ def _declared(spark):
 def _synthesis(spark, d):
     return synthesize(
         _catalog(spark, d),
-        roles.as_local_table(relationships.top_relationships(_found(spark, d))),
+        # Importance takes scores only, so the pass for group medians is left out.
+        roles.as_local_table(relationships.top_relationships(_found(spark, d, medians=False))),
         ["n_chars", "source"], "target", "lang", _declared(spark),
     )
 
@@ -729,7 +743,7 @@ def concept_clusters(spark, d):
 
 @query
 def join_candidates(spark, d):
-    found = catalog.join_candidates(_catalog(spark, d), _declared(spark))
+    found = catalog.join_candidates(catalog.name_catalog(collection(spark, d)), _declared(spark))
     return found.select(
         "dataset_pair", F.array_join("shared_columns", ",").alias("shared_columns"),
         "join_strength", "recommendation",
@@ -781,20 +795,34 @@ def merge_all(spark, d):
 @query
 def merge_readiness(spark, d):
     found = merge.merge_readiness(
-        catalog.merge_actions(catalog.join_candidates(_catalog(spark, d), _declared(spark))),
+        catalog.merge_actions(catalog.join_candidates(catalog.name_catalog(collection(spark, d)), _declared(spark))),
         list(collection(spark, d)),
     )
     return found.select("dataset_pair", "join_strength", "recommended_action", "readiness")
 
 
+def _charts(spark, d):
+    frames = {n: merge.standardize(df, {}) for n, df in collection(spark, d).items()}
+    # One row per variable, read several times.
+    found = roles.as_local_table(
+        _synthesis(spark, d).chart_actions.select("variable_name", "importance_score", "recommended_graph", "datasets")
+    )
+    places = {r["variable_name"]: r["datasets"] for r in found.collect()}
+    # A column that no dataset has, to show that it stops nothing.
+    absent = spark.createDataFrame([("not_there", 0.0, "bar_chart")], "variable_name string, importance_score double, recommended_graph string")
+    return charts.run_charts(found.drop("datasets").unionByName(absent), frames, places)
+
+
 @query
 def chart_dispatch(spark, d):
     """Chart tables of the most important variables, picked by their action rows."""
-    frames = {n: merge.standardize(df, {}) for n, df in collection(spark, d).items()}
-    actions = _synthesis(spark, d).chart_actions
-    places = {r["variable_name"]: r["datasets"] for r in actions.collect()}
-    _, data = charts.run_charts(actions, frames, places)
-    return data
+    return _charts(spark, d)[1]
+
+
+@query
+def chart_status(spark, d):
+    """Which of these charts were made, and why others were not."""
+    return _charts(spark, d)[0]
 
 
 # ----------------------------------------------------------------- sources

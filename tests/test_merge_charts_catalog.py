@@ -106,6 +106,41 @@ def test_empty_and_limited_charts_are_reported(spark):
     assert {r["variable_name"] for r in charts.run_charts(actions, {"d": df})[1].collect()} == {"x", "y"}
 
 
+def test_fused_charts_equal_single_ones(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    n = 400
+    rows = [
+        (round(float(rng.normal()), 1) if i % 7 else None, int(rng.integers(5)), str(rng.integers(30)) if i % 5 else None,
+         f"20{i % 23:02d}-{i % 12 + 1:02d}-11" if i % 9 else "n/a", float("nan") if i % 3 else 2.5)
+        for i in range(n)
+    ]
+    spark.createDataFrame(rows, "x double, k int, word string, day string, same double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    asked = [
+        charts.Chart("x", "histogram", 10), charts.Chart("x", "histogram", 7), charts.Chart("k", "bars", top=3), charts.Chart("word", "bars"),
+        charts.Chart("day", "months"), charts.Chart("same", "histogram", 4), charts.Chart("word", "histogram", 5), charts.Chart("day", "bars", top=2),
+        charts.Chart("day", "histogram"),
+    ]
+    got = charts.fused_charts(df, asked)
+    by_chart = {i: [] for i in range(len(asked))}
+    for r in got.collect():
+        by_chart[r["chart"]].append(r)
+    for i, c in enumerate(asked):
+        mine = by_chart[i]
+        if c.kind == "histogram":
+            want = [r for r in charts.histogram(df, c.column, c.bins).orderBy("bin").collect() if r["bin_from"] is not None]
+            mine.sort(key=lambda r: r["bin"])
+            assert [(r["bin"], r["bin_from"], r["bin_to"], r["count"]) for r in mine] == [tuple(r) for r in want]
+        elif c.kind == "months":
+            assert sorted((r["label"], r["count"]) for r in mine) == sorted(map(tuple, charts.monthly_counts(df, c.column).collect()))
+        else:
+            assert sorted((r["label"], r["count"]) for r in mine) == sorted(map(tuple, charts.category_bars(df, c.column, c.top).collect()))
+    # Beside the bins the plan has one scan; the other one takes the limits, one subquery used several times.
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    assert "ReusedSubquery" in got._jdf.queryExecution().executedPlan().toString()
+    assert charts.fused_charts(df, []).collect() == []
+
+
 def test_concept_roots(spark):
     names = ["age_group", "employment_status", "unemployed", "social_determinant_score", "Zip_Code", "visit_count", "other"]
     df = spark.createDataFrame([(n,) for n in names], "n string")

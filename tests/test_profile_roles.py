@@ -86,3 +86,31 @@ def test_date_share_over_all_values(spark):
 
 def test_strict_names():
     assert strict_name("  Zip Code (5) ") == "zip_code_5"
+
+
+def test_duplicates_tell_equal_signatures_apart(spark):
+    rows = [(i % 4, "x" if i % 3 else None, float(i % 2)) for i in range(60)] + [(9, "one", 0.5)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    want = (len(rows), len(rows) - len(set(rows)))
+    assert tuple(profile.duplicate_rows(df).first()) == want
+    for weak in (lambda keys: F.lit(1), lambda keys: F.pmod(F.xxhash64(*keys), F.lit(2))):
+        assert tuple(profile.duplicate_rows(df, weak).first()) == want
+    assert tuple(profile.duplicate_rows(df.distinct()).first()) == (len(set(rows)), 0)
+    assert tuple(profile.duplicate_rows(df.limit(0)).first()) == (0, 0)
+
+
+def test_merged_sketches_equal_the_whole(spark):
+    df = spark.range(3000).select(
+        "id", (F.col("id") % 7).alias("k"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("w"), F.col("id") % 300)).alias("word"),
+        (F.col("id") % 2).alias("flag"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int") % 50).alias("day"),
+    )
+    parts = [roles.column_sketches(df.where(F.col("id") % 3 == i), "d") for i in range(3)]
+    got = roles.merged_catalog(parts[0].union(parts[1]).union(parts[2])).orderBy("position").collect()
+    want = roles.column_roles(df, "d").orderBy("position").collect()
+    for a, b in zip(got, want, strict=True):
+        assert all(a[c] == b[c] for c in ("column", "kind", "rows", "missing", "role", "usable", "exclusion_reason"))
+        assert a["distinct"] == a["distinct_estimate"] == b["distinct_estimate"]
+    # A column that one file does not have is missing in its rows.
+    less = parts[0].where("column != 'k'").union(parts[1])
+    row = next(r for r in roles.merged_catalog(less).collect() if r["column"] == "k")
+    assert (row["rows"], row["missing"]) == (2000, 1000)
