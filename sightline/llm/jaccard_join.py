@@ -25,7 +25,7 @@ from sightline.llm.components import connected_components
 #: Counters that shingles are hashed to, 2 ** COUNTERS_LOG of one byte each for every worker, in parts.
 COUNTERS_LOG, PARTS_LOG = 24, 8
 #: Members of a group, words that a worker remembers, shingles worked on at once, rows to broadcast.
-GROUP, KNOWN_WORDS, AT_ONCE, MAX_BROADCAST = 32, 500_000, 4_000_000, 1_000_000
+GROUP, KNOWN_WORDS, AT_ONCE, MAX_BROADCAST = 32, 300_000, 1_000_000, 1_000_000
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 #: An ordered shingle is its level above 57 bits of its hash.
 _HASH_BITS = 57
@@ -81,12 +81,12 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
     size = 1 << (COUNTERS_LOG - PARTS_LOG)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS_LOG, dtype=np.uint32)
+        total = np.zeros(1 << COUNTERS_LOG, dtype=np.uint16)  # a task's own counts stop at 65,535
         for _, sets in _in_chunks(batches, words, "doc_id"):
             different = {s.tobytes(): s for s in sets if len(s)}
             if different:
                 at, n = np.unique(np.concatenate(list(different.values())) >> np.uint64(64 - COUNTERS_LOG), return_counts=True)
-                total[at] += n.astype(np.uint32)
+                total[at] = np.minimum(total[at] + n, 65_535)
         for part, counters in enumerate(total.reshape(-1, size)):
             if counters.any():
                 packed = pa.compress(counters.tobytes(), codec="zstd", asbytes=True)
@@ -100,7 +100,7 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
                     if now is not None:
                         yield level(now, total)
                     now, total = part, np.zeros(size, dtype=np.uint64)
-                total += np.frombuffer(pa.decompress(packed, 4 * size, codec="zstd", asbytes=True), dtype=np.uint32)
+                total += np.frombuffer(pa.decompress(packed, 2 * size, codec="zstd", asbytes=True), dtype=np.uint16)
         if now is not None:
             yield level(now, total)
 
