@@ -30,6 +30,17 @@ def name_catalog(datasets: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, column string")
 
 
+def name_clusters(names: DataFrame) -> DataFrame:
+    """Columns of different names that share a concept, two or more; needs names only."""
+    named = names.select(F.col("column").alias("variable"), concept_root(F.col("column")).alias("concept_root"))
+    # One entry per column name of the collection.
+    return (
+        named.distinct().groupBy("concept_root")
+        .agg(F.sort_array(F.collect_list("variable")).alias("variables"))
+        .where(F.size("variables") >= 2)
+    )
+
+
 def concept_root(name: Column) -> Column:
     """Name without its suffix tokens, then the alias of what is left."""
     out = F.lower(F.trim(name))

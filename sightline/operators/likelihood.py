@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +25,10 @@ from sightline.operators.features import (
 )
 from sightline.operators.profile import largest_dataset, rows_sql, union_all
 from sightline.operators.roles import column_roles
+from sightline.session import shared_folder
 
-HASH_RANGE = 2**52
+#: Hexadecimal digits of the hash that splits rows; 52 bits are exact in a double.
+HASH_DIGITS = 13
 
 
 def group_rates(
@@ -118,12 +120,14 @@ def fill_missing(
 def stratified_split(
     df: DataFrame, target: str, key: Sequence[str], share: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """Add ``is_test``: the given share of every class, chosen by a hash of the key.
+    """Add ``is_test``: the given share of every class, chosen by the MD5 of seed and key.
 
-    The cut per class is an order statistic of the hash, found without sorting a
+    Any engine can repeat the choice: the first 13 hexadecimal digits of ``md5('seed:key:...')``, a missing
+    key being empty text, and of every class the rows with the smallest of these. The cut per class is an order statistic of the hash, found without sorting a
     class in one task; classes are few, so the cuts are broadcast.
     """
-    unit = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(HASH_RANGE)).cast("double")
+    parts = [F.lit(str(seed)), *[F.coalesce(quoted(k).cast("string"), F.lit("")) for k in key]]
+    unit = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, HASH_DIGITS), 16, 10).cast("double")
     marked = df.withColumn("_unit", unit)
     wanted = F.rint(F.col("_size") * F.lit(float(share))).cast("bigint")
     ranks = F.filter(
@@ -145,7 +149,8 @@ def stratified_split(
 class FittedModel:
     """``status`` is 'fitted' or 'refused' with a ``reason``.
 
-    ``left_out`` names the features without any value in the training rows.
+    ``left_out`` names the features without any value in the training rows. ``certificate`` proves the fit
+    (see ``optimality_certificate``).
     """
 
     status: str
@@ -156,6 +161,14 @@ class FittedModel:
     train_rows: int = 0
     test_rows: int = 0
     left_out: tuple[str, ...] = ()
+    certificate: DataFrame | None = None
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written once to the shared folder, so that no later use repeats the work."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def logistic_stages(categories: Sequence[str], numbers: Sequence[str], n_train: int) -> Pipeline:
@@ -180,12 +193,55 @@ def logistic_stages(categories: Sequence[str], numbers: Sequence[str], n_train:
     stages.append(
         LogisticRegression(
             featuresCol="_features", labelCol="label", regParam=1.0 / n_train,
-            elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9,
+            elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-12,
         )
     )
     return Pipeline(stages=stages)
 
 
+def feature_names(model: PipelineModel, categories: Sequence[str], numbers: Sequence[str]) -> list[str]:
+    """Names of the coefficients in their order: ``column=level`` for categories."""
+    levels = model.stages[0].labelsArray if categories else []
+    return [f"{c}={level}" for c, known in zip(categories, levels) for level in known] + list(numbers)
+
+
+def optimality_certificate(
+    model: PipelineModel, train: DataFrame, categories: Sequence[str], numbers: Sequence[str]
+) -> DataFrame:
+    """One row per coefficient that tells whether the fit is the optimum, from one pass over the training rows.
+
+    The penalised loss is strictly convex, so a fit is the optimum exactly where its gradient is zero: for a
+    feature, the sum of (p - y) x plus the coefficient (a penalty of unit strength); for the intercept, the sum
+    of (p - y), which is free of penalty, so that the mean of p equals that of y. ``gradient`` is this sum
+    divided by the sum of absolute values of x, which makes it free of units. ``feature_sum`` is the sum of x:
+    it shows, apart from the fit, which rows were split off, how gaps were filled and levels coded.
+    """
+    names = feature_names(model, categories, numbers)
+    p = vector_to_array("probability")[1]
+    x = F.col("_features")
+    sums = (
+        model.transform(train)
+        .agg(
+            Summarizer.metrics("sum", "normL1").summary(x).alias("plain"),
+            Summarizer.metrics("sum").summary(x, p).alias("said"),
+            Summarizer.metrics("sum").summary(x, F.col("label").cast("double")).alias("was"),
+            F.count("*").alias("rows"),
+            F.sum(p - F.col("label")).alias("rest"),
+        )
+        # One value per coefficient.
+        .first()
+    )
+    fitted = model.stages[-1]
+    rows = [("(intercept)", float(fitted.intercept), float(sums["rows"]), sums["rest"] / sums["rows"])]
+    for i, name in enumerate(names):
+        w, size = float(fitted.coefficients[i]), float(sums["plain"]["normL1"][i])
+        gradient = float(sums["said"]["sum"][i]) - float(sums["was"]["sum"][i]) + w
+        rows.append((name, w, float(sums["plain"]["sum"][i]), gradient / max(size, 1.0)))
+    return train.sparkSession.createDataFrame(
+        rows, "feature string, coefficient double, feature_sum double, gradient double"
+    )
+
+
 def fit_logistic(
     df: DataFrame,
     features: Sequence[str],
@@ -213,27 +269,20 @@ def fit_logistic(
         return FittedModel("refused", "Target column does not have at least two classes.")
     categories = [c for c in features if is_category(df, c)]
     numbers = [c for c in features if c not in categories]
-    split = stratified_split(working, "label", key, test_share, seed)
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fills = impute_values(split.where(~F.col("is_test")), categories, numbers)
-        # One row per feature.
-        fills = df.sparkSession.createDataFrame(fills.collect(), fills.schema)
-        known = {
-            r["column"] for r in fills.collect()
-            if r["text_fill"] is not None or r["number_fill"] is not None
-        }
-        left_out = tuple(c for c in features if c not in known)
-        categories, numbers = ([c for c in x if c in known] for x in (categories, numbers))
-        if not known:
-            return FittedModel("refused", "No feature has a value in the training rows.", left_out=left_out)
-        filled = fill_missing(split, fills, categories, numbers)
-        train, test = filled.where(~F.col("is_test")), filled.where("is_test")
-        counted = {r["is_test"]: r["count"] for r in split.groupBy("is_test").count().collect()}
-        n_train, n_test = counted.get(False, 0), counted.get(True, 0)
-        model = logistic_stages(categories, numbers, n_train).fit(train)
-    finally:
-        split.unpersist()
+    split = _written(stratified_split(working, "label", key, test_share, seed), "split")
+    # One row per feature.
+    found = impute_values(split.where(~F.col("is_test")), categories, numbers).collect()
+    fills = df.sparkSession.createDataFrame(found, "column string, text_fill string, number_fill double")
+    known = {r["column"] for r in found if r["text_fill"] is not None or r["number_fill"] is not None}
+    left_out = tuple(c for c in features if c not in known)
+    categories, numbers = ([c for c in x if c in known] for x in (categories, numbers))
+    if not known:
+        return FittedModel("refused", "No feature has a value in the training rows.", left_out=left_out)
+    filled = fill_missing(split, fills, categories, numbers)
+    train, test = filled.where(~F.col("is_test")), filled.where("is_test")
+    counted = {r["is_test"]: r["count"] for r in split.groupBy("is_test").count().collect()}
+    n_train, n_test = counted.get(False, 0), counted.get(True, 0)
+    model = logistic_stages(categories, numbers, n_train).fit(train)
     scored = model.transform(test).select(
         *key,
         *[c for c in features if c not in key],
@@ -241,6 +290,7 @@ def fit_logistic(
         vector_to_array("probability")[1].alias("predicted_probability"),
         F.col("prediction").cast("int").alias("predicted_class"),
     )
+    scored = _written(scored, "scored")
     return FittedModel(
         "fitted",
         None,
@@ -250,6 +300,7 @@ def fit_logistic(
         n_train,
         n_test,
         left_out,
+        optimality_certificate(model, train, categories, numbers),
     )
 
 

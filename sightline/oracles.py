@@ -741,6 +741,37 @@ SELECT o_orderstatus, true AS is_test, CAST(round_even(count(*) * 0.2e0, 0) AS B
 FROM orders GROUP BY 1
 UNION ALL SELECT o_orderstatus, false, count(*) - CAST(round_even(count(*) * 0.2e0, 0) AS BIGINT)
 FROM orders GROUP BY 1"""
+SPLIT = """
+SELECT *, row_number() OVER (PARTITION BY target ORDER BY CAST('0x' || substr(md5('42:' || doc_id), 1, 13) AS BIGINT))
+       <= round_even(count(*) OVER (PARTITION BY target) * 0.2e0, 0) AS is_test
+FROM graded WHERE target IS NOT NULL"""
+ORACLES["split_rows"] = sql("SELECT doc_id, target, is_test FROM split", "graded", split=SPLIT)
+_train = {
+    "split": SPLIT,
+    "train": "SELECT * FROM split WHERE NOT is_test",
+    "filled": "SELECT "
+    + ", ".join(
+        f"coalesce({c}, (SELECT {c} FROM train WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS {c}"
+        for c in ("lang", "source")
+    )
+    + ", "
+    + ", ".join(
+        f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM train)) AS {c}" for c in ("n_chars", "toxic")
+    )
+    + " FROM train",
+}
+# The optimum is where every gradient is zero; sums of features come from the rows, apart from any fit.
+ORACLES["logit_certificate"] = sql(
+    "SELECT '(intercept)' AS feature, CAST(count(*) AS DOUBLE) AS feature_sum, 0.0e0 AS gradient FROM filled "
+    + "".join(
+        f"UNION ALL SELECT '{c}=' || {c}, CAST(count(*) AS DOUBLE), 0.0e0 FROM filled GROUP BY {c} "
+        for c in ("lang", "source")
+    )
+    + "".join(
+        f"UNION ALL SELECT '{c}', {r(f'sum({c})')}, 0.0e0 FROM filled " for c in ("n_chars", "toxic")
+    ),
+    "graded", **_train,
+)
 ORACLES["classification_report"] = sql(
     f"""SELECT c AS label, {r('p')} AS precision, {r('q')} AS recall, {r('f')} AS f1_score, s AS support FROM k
     UNION ALL SELECT 'accuracy', {r('sum(h) * 1.0e0 / sum(s)')}, {r('sum(h) * 1.0e0 / sum(s)')},
@@ -1017,12 +1048,19 @@ ORACLES["chart_status"] = sql(
 JOINED = """
 SELECT '{pair}' AS dataset_pair, 'merged' AS status, CAST(NULL AS VARCHAR) AS reason, '{keys}' AS keys_used,
        (SELECT count(*) FROM {a}) AS left_rows, (SELECT count(*) FROM {b}) AS right_rows,
-       (SELECT count(*) FROM {a} l JOIN {b} q ON {on}) AS inner_rows,
+       t.rows AS inner_rows,
        (SELECT count(*) FROM {a} l LEFT JOIN {b} q ON {on}) AS left_join_rows,
-       {ua} AS left_unique_ratio, {ub} AS right_unique_ratio"""
+       {ua} AS left_unique_ratio, {ub} AS right_unique_ratio,
+       t.rows AS merged_rows, t.nulls AS null_cells, t.checksum
+FROM (SELECT count(*) AS rows, CAST(coalesce(sum({nulls}), 0) AS BIGINT) AS nulls,
+             CAST(coalesce(sum({hl} + {hr}), 0) % 4294967291 AS BIGINT) AS checksum
+      FROM {a} l JOIN {b} q ON {on}) t"""
+
 
+def joined(pair: str, keys: list[str], fractions: tuple[str, ...] = ()) -> str:
+    """Facts of an inner join, taken from the joined rows themselves."""
+    (a, left), (b, right) = (COLLECTION[n] for n in pair.split(" <-> "))
 
-def joined(pair: str, a: str, b: str, keys: list[str]) -> str:
     def ratio(view: str) -> str:
         there = " AND ".join(f"{k} IS NOT NULL" for k in keys)
         fields = ", ".join(keys)
@@ -1031,14 +1069,26 @@ def joined(pair: str, a: str, b: str, keys: list[str]) -> str:
             f" / (SELECT count(*) FROM {view} WHERE {there})"
         )
 
-    on = " AND ".join(f"l.{k} IS NOT DISTINCT FROM q.{k}" for k in keys)
-    return JOINED.format(pair=pair, keys=",".join(keys), a=a, b=b, on=on, ua=ratio(a), ub=ratio(b))
+    def text(x: str) -> str:
+        whole = f"CAST(round_even({x} * 10000, 0) AS BIGINT)" if x[2:] in fractions else x
+        return f"coalesce(CAST({whole} AS VARCHAR), chr(30))"
+
+    def hashed(cells: list[str]) -> str:
+        return f"CAST('0x' || substr(md5(concat_ws(chr(31), {', '.join(map(text, cells))})), 1, 8) AS BIGINT)"
+
+    ours = [f"l.{c}" for c in sorted(left)]
+    theirs = [f"q.{c}" for c in sorted(right) if c not in keys]
+    return JOINED.format(
+        pair=pair, keys=",".join(keys), a=a, b=b, on=" AND ".join(f"l.{k} = q.{k}" for k in keys),
+        ua=ratio(a), ub=ratio(b), hl=hashed(ours), hr=hashed(theirs),
+        nulls=" + ".join(f"CAST({c} IS NULL AS INT)" for c in ours + theirs),
+    )
 
 
 ORACLES["merge_all"] = sql(
-    joined("departments <-> encounters", "dept", "enc", ["departmentkey"])
+    joined("departments <-> encounters", ["departmentkey"], fractions=("censustract",))
     + " UNION ALL "
-    + joined("encounters <-> screenings", "enc", "sdoh", ["encounterkey", "patientdurablekey"]),
+    + joined("encounters <-> screenings", ["encounterkey", "patientdurablekey"]),
     "dept", "enc", "sdoh",
 )
 ORACLES["run_summary"] = sql(

@@ -531,20 +531,35 @@ def split_shares(spark, d):
     return split.groupBy("o_orderstatus", "is_test").agg(F.count("*").alias("rows"))
 
 
-@query
-def logit_report(spark, d):
-    fitted = likelihood.fit_logistic(
+def _logit(spark, d):
+    return likelihood.fit_logistic(
         t.graded(spark, d), ["n_chars", "toxic", "lang", "source"], "target", ["doc_id"]
     )
-    return rounded(fitted.report)
+
+
+@query
+def logit_report(spark, d):
+    return rounded(_logit(spark, d).report)
 
 
 @query
 def logit_scores(spark, d):
-    fitted = likelihood.fit_logistic(
-        t.graded(spark, d), ["n_chars", "toxic", "lang", "source"], "target", ["doc_id"]
-    )
-    return rounded(fitted.sample)
+    return rounded(_logit(spark, d).sample)
+
+
+@query
+def logit_certificate(spark, d):
+    """That the fit is the optimum: a gradient of zero, and mean p equal to mean y, per coefficient."""
+    found = _logit(spark, d).certificate
+    # Adding zero turns -0.0 into 0.0.
+    return rounded(found.select("feature", "feature_sum", "gradient")).withColumn("gradient", F.col("gradient") + F.lit(0.0))
+
+
+@query
+def split_rows(spark, d):
+    """Which rows the split takes as test rows; any engine can repeat it."""
+    split = likelihood.stratified_split(t.graded(spark, d), "target", ["doc_id"], 0.2)
+    return split.select("doc_id", "target", "is_test")
 
 
 @query
@@ -594,7 +609,7 @@ def join_sizes(spark, d):
     right = t.table(spark, d, "customer").select(
         F.when(F.col("c_custkey") % 4 == 0, "F").when(F.col("c_custkey") % 4 == 1, "O").alias("key")
     )
-    return merge.join_sizes(left, right, ["key"])
+    return merge.join_sizes(left, right, ["key"], null_keys_match=True)
 
 
 @query
@@ -785,10 +800,11 @@ def run_summary(spark, d):
 def merge_all(spark, d):
     """Every ready merge of the collection, after standard names are applied."""
     frames = collection(spark, d)
-    plan = _synthesis(spark, d)
-    renames = merge.rename_map(merge.rename_table(plan.clusters))
+    names = catalog.name_catalog(frames)
+    renames = merge.rename_map(merge.rename_table(catalog.name_clusters(names)))
     standard = {name: merge.standardize(df, renames) for name, df in frames.items()}
-    found, _ = merge.merge_all(plan.merge_actions, standard, renames)
+    actions = catalog.merge_actions(catalog.join_candidates(names, _declared(spark)))
+    found, _ = merge.merge_all(actions, standard, renames)
     return rounded(found.withColumn("keys_used", F.array_join("keys_used", ",")))
 
 

@@ -1,3 +1,7 @@
+import hashlib
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import features, likelihood
@@ -88,3 +92,51 @@ def test_features_without_values_are_left_out_and_fractions_are_refused(spark):
     assert (fitted.status, fitted.left_out) == ("fitted", ("none",))
     assert likelihood.fit_logistic(df, ["none"], "y", ["id"]).status == "refused"
     assert "not whole" in likelihood.fit_logistic(df, ["x"], "part", ["id"]).reason
+
+
+def test_the_certificate_tells_the_optimum_from_other_fits(spark):
+    df = spark.range(600).select(
+        "id",
+        F.when(F.col("id") % 11 != 0, (F.col("id") % 2) * 900.0 + F.rand(7) * 3000).alias("x"),
+        F.when(F.col("id") % 13 != 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("c"),
+        (F.col("id") % 2).alias("y"),
+    )
+    fitted = likelihood.fit_logistic(df, ["x", "c"], "y", ["id"])
+    rows = {r["feature"]: r for r in fitted.certificate.collect()}
+    assert set(rows) == {"(intercept)", "c=c0", "c=c1", "c=c2", "x"}
+    assert max(abs(r["gradient"]) for r in rows.values()) < 1e-5
+    assert rows["(intercept)"]["feature_sum"] == fitted.train_rows
+    assert sum(rows[f"c=c{i}"]["feature_sum"] for i in range(3)) == fitted.train_rows
+
+    # A fit that was stopped after one step does not pass.
+    train = df.select("id", F.col("y").cast("int").alias("label"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    pipeline = likelihood.logistic_stages([], ["x"], 600)
+    pipeline.getStages()[-1].setMaxIter(1)
+    early = likelihood.optimality_certificate(pipeline.fit(train), train, [], ["x"])
+    assert max(abs(r["gradient"]) for r in early.collect()) > 1e-3
+
+
+def test_coefficients_equal_newtons_method(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 2))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(0.3 + x @ [1.0, -2.0])))).astype(int)
+    df = spark.createDataFrame([(i, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))], "id int, a double, b double, y int")
+    fitted = likelihood.fit_logistic(df, ["a", "b"], "y", ["id"])
+    test = {r["id"] for r in fitted.scored.collect()}
+    rest = np.array([i not in test for i in range(500)])
+    design, target, w = np.column_stack([np.ones(rest.sum()), x[rest]]), y[rest], np.zeros(3)
+    penalty = np.diag([0.0, 1.0, 1.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ w))
+        hessian = design.T @ (design * (p * (1 - p))[:, None]) + penalty
+        w -= np.linalg.solve(hessian, design.T @ (p - target) + penalty @ w)
+    got = {r["feature"]: r["coefficient"] for r in fitted.certificate.collect()}
+    assert [got["(intercept)"], got["a"], got["b"]] == pytest.approx(w.tolist(), abs=1e-5)
+
+
+def test_split_follows_md5(spark):
+    df = spark.range(50).select(F.when(F.col("id") != 9, F.col("id")).alias("id"), F.lit(1).alias("y"))
+    unit = lambda k: int(hashlib.md5(f"42:{'' if k is None else k}".encode()).hexdigest()[:13], 16)
+    want = sorted((r["id"] for r in df.collect()), key=unit)[:10]
+    got = [r["id"] for r in likelihood.stratified_split(df, "y", ["id"], 0.2).where("is_test").collect()]
+    assert set(got) == set(want) and len(got) == 10

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,14 +7,100 @@ from pyspark.sql import functions as F
 from sightline.operators import catalog, charts, merge
 
 
-def test_null_keys_match_unless_told_otherwise(spark):
+def test_null_keys_match_if_asked(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, v string")
     right = spark.createDataFrame([(1, "x"), (None, "y"), (None, "z")], "k int, v string")
-    got = sorted((r["k"] or 0, r["v__left"], r["v__right"]) for r in merge.merge_or_left(left, right, ["k"]).collect())
+    merged = merge.merge_or_left(left, right, ["k"], null_keys_match=True)
+    got = sorted((r["k"] or 0, r["v__left"], r["v__right"]) for r in merged.collect())
     assert got == [(0, "b", "y"), (0, "b", "z"), (1, "a", "x")]
-    assert merge.merge_or_left(left, right, ["k"], null_keys_match=False).count() == 1
-    sizes = merge.join_sizes(left, right, ["k"]).first()
+    assert merge.merge_or_left(left, right, ["k"]).count() == 1
+    sizes = merge.join_sizes(left, right, ["k"], null_keys_match=True).first()
     assert (sizes["inner_rows"], sizes["left_join_rows"]) == (3, 4)
+    sizes = merge.join_sizes(left, right, ["k"]).first()
+    assert (sizes["inner_rows"], sizes["left_join_rows"]) == (1, 3)
+
+
+def facts_of_rows(merged, left, right, keys):
+    """Row count, null cells and checksum, from the merged rows one by one."""
+    def text(value):
+        if value is None:
+            return "\x1e"
+        return str(round(value * 10000)) if isinstance(value, float) else str(value)
+
+    def hashed(cells):
+        return int(hashlib.md5("\x1f".join(map(text, cells)).encode()).hexdigest()[:8], 16)
+
+    rows, rest = merged.collect(), [c for c in right.columns if c not in keys]
+    name = lambda c, tag: c if c in merged.columns else f"{c}__{tag}"
+    total = sum(
+        hashed([r[name(c, "a")] for c in sorted(left.columns)])
+        + (0 if r["_met"] is None else hashed([r[name(c, "b")] for c in sorted(rest)]))
+        for r in rows
+    )
+    nulls = sum(v is None for r in rows for c, v in r.asDict().items() if c != "_met")
+    return len(rows), nulls, total % merge.CHECK_PRIME
+
+
+@pytest.mark.parametrize("null_keys", [False, True])
+@pytest.mark.parametrize("shift", [0, 1000])
+def test_facts_equal_those_of_the_merged_rows(spark, null_keys, shift):
+    """A hot key, missing keys, missing cells and clashing names; with the shift no key matches."""
+    third = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 != 0, F.col("id") % 40)
+    left = spark.range(300).select(
+        third.alias("k"), F.when(F.col("id") % 5 != 0, F.col("id") / 8).alias("v"), F.col("id").alias("n")
+    )
+    # Text tells which rows of the right side were met.
+    right = spark.range(90).select(
+        (third + shift).cast("int").alias("k"), F.when(F.col("id") % 4 != 0, F.col("id")).alias("n"),
+        F.concat(F.lit("r"), "id").alias("_met"),
+    )
+    if shift and null_keys:
+        left, right = left.where("k is not null"), right.where("k is not null")
+    got = merge.merge_facts(left, right, ["k"], null_keys).first()
+    merged = merge.merge_or_left(left, right, ["k"], "a", "b", null_keys)
+    rows, nulls, checksum = facts_of_rows(merged, left, right, ["k"])
+    if shift:  # a left join without any match: the marker column is null throughout
+        nulls += rows
+        assert got["inner_rows"] == 0
+    assert (got["merged_rows"], got["null_cells"], got["checksum"]) == (rows, nulls, checksum)
+    sizes = merge.join_sizes(left, right, ["k"], null_keys).first()
+    assert all(got[c] == sizes[c] for c in sizes.asDict())
+    quality = merge.key_quality(left, right, ["k"]).first()
+    assert all(got[c] == quality[c] for c in ("left_unique_ratio", "right_unique_ratio", "valid"))
+
+
+def test_facts_of_empty_sides(spark):
+    empty = spark.createDataFrame([], "k int, v string")
+    got = merge.merge_facts(empty, empty, ["k"]).first()
+    assert got["valid"] is False and (got["merged_rows"], got["null_cells"], got["checksum"]) == (0, 0, 0)
+
+
+def test_one_failing_pair_leaves_the_others(spark):
+    good = spark.createDataFrame([(1, "x")], "k int, v string")
+    broken = good.select(F.raise_error(F.lit("unreadable")).cast("int").alias("k"), "v")
+    other = spark.createDataFrame([("1", "x")], "k string, v string")
+    none = spark.createDataFrame([(None, "x")], "k int, v string")
+    names = {"a": good, "b": good, "broken": broken, "text": other, "none": none}
+    actions = spark.createDataFrame(
+        [(f"a <-> {n}", ["k"], [], "test_merge_first") for n in ("b", "broken", "text", "none")],
+        "dataset_pair string, shared_columns array<string>, possible_join_keys array<string>, recommended_action string",
+    )
+    table, merged = merge.merge_all(actions, names)
+    got = {r["dataset_pair"]: r for r in table.collect()}
+    assert {p: r["status"] for p, r in got.items()} == {
+        "a <-> b": "merged", "a <-> broken": "failed", "a <-> text": "failed", "a <-> none": "failed"
+    }
+    assert got["a <-> b"]["merged_rows"] == 1 and got["a <-> none"]["right_rows"] == 1
+    assert list(merged) == ["a <-> b"]
+
+
+def test_hot_and_missing_keys_make_no_row_pairs(spark):
+    left = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), "id"
+    )
+    got = merge.merge_facts(left, left, ["k"]).first()
+    assert got["inner_rows"] == got["merged_rows"] == 10000**2 + 10000
+    assert got["left_join_rows"] == 10000**2 + 20000
 
 
 def test_sizes_of_a_hot_key_need_no_join(spark):
