@@ -414,12 +414,19 @@ def action_rows(variables: DataFrame, candidates: DataFrame, clusters: DataFrame
     )
 
 
-def run_summary(catalog: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row of counts: datasets, columns, dataset pairs with shared names, findings."""
+def run_summary(catalog: DataFrame, findings: DataFrame, model_facts: DataFrame | None = None) -> DataFrame:
+    """One row of counts: datasets, columns, dataset pairs with shared names, findings.
+
+    With ``model_facts`` (one row) its columns follow, named ``model_...``.
+    """
     pairs = shared_columns(catalog).agg(F.count("*")).scalar()
+    facts = []
+    if model_facts is not None:
+        row = model_facts.first()
+        facts = [F.lit(row[f.name]).cast(f.dataType).alias(f"model_{f.name}") for f in model_facts.schema.fields]
     return catalog.agg(
         F.count_distinct("dataset").alias("datasets"),
         F.count("*").alias("columns"),
         pairs.alias("shared_pairs"),
         findings.agg(F.count("*")).scalar().alias("relationships"),
-    )
+    ).select("*", *facts)

@@ -187,6 +187,52 @@ def scatter_pairs(
     return pairs.where(enough)
 
 
+def scatter_sample(
+    df: DataFrame, a: str, b: str, key: Sequence[str], n: int = 1000, seed: int = 42, min_rows: int = 5
+) -> DataFrame:
+    """A repeatable sample of ``n`` complete pairs: those with the smallest MD5 of seed and key.
+
+    Each task keeps its ``n`` smallest and the driver side merges these, so nothing larger moves. A missing key
+    counts as empty text; of equal hashes the smaller values come first. Fewer than ``min_rows`` pairs give
+    nothing.
+    """
+    parts = [F.lit(str(seed)), *[F.coalesce(quoted(k).cast("string"), F.lit("")) for k in key]]
+    pairs = scatter_pairs(df, a, b, key, min_rows).withColumn("_order", F.md5(F.concat_ws(":", *parts)))
+    return pairs.orderBy("_order", quoted(a), quoted(b)).limit(n).drop("_order")
+
+
+def scatter_grid(df: DataFrame, a: str, b: str, bins: int = 20, min_rows: int = 5) -> DataFrame:
+    """Counts of complete pairs in ``bins`` x ``bins`` equal cells; empty cells are left out.
+
+    Two scans: limits, then counts, of which at most ``bins`` squared leave a task. A constant column gets
+    the range half a unit to either side. Fewer than ``min_rows`` pairs give nothing; infinite values count as missing.
+    """
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    pairs = df.select(
+        finite(as_number(df, a).cast("double")).alias("x"), finite(as_number(df, b).cast("double")).alias("y")
+    ).dropna()
+    limits = pairs.agg(
+        *[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))], F.count("*").alias("n")
+    )
+    sides = [
+        F.struct((F.col(f"{c}0") - pad).alias("lo"), (F.col(f"{c}1") + pad).alias("hi")).alias(c)
+        for c in "xy"
+        for pad in [F.when(F.col(f"{c}0") == F.col(f"{c}1"), 0.5).otherwise(0.0)]
+    ]
+    placed = pairs.withColumn("r", limits.select(F.struct(*sides, "n")).scalar()).where(F.col("r.n") >= min_rows)
+    cell = {
+        c: F.least(F.floor((F.col(c) - F.col(f"r.{c}.lo")) / (F.col(f"r.{c}.hi") - F.col(f"r.{c}.lo")) * bins), F.lit(bins - 1))
+        for c in "xy"
+    }
+    edge = lambda c, i: F.col(f"r.{c}.lo") + i * ((F.col(f"r.{c}.hi") - F.col(f"r.{c}.lo")) / bins)
+    return (
+        placed.select("r", cell["x"].cast("int").alias("bin_a"), cell["y"].cast("int").alias("bin_b"))
+        .groupBy("bin_a", "bin_b")
+        .agg(F.count("*").alias("count"), F.first("r").alias("r"))
+        .select("bin_a", "bin_b", edge("x", F.col("bin_a")).alias("a_from"), edge("y", F.col("bin_b")).alias("b_from"), "count")
+    )
+
+
 def chart_of(df: DataFrame, column: str, graph: str) -> Chart:
     """The chart that an action's graph type stands for; fails if the column cannot be drawn."""
     if graph == "time_series_line_chart":

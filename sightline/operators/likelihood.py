@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import fixed_values as fv
@@ -397,3 +397,21 @@ def model_likelihood(
         "group_rates": group_rates(df, group, target) if group else None,
         "model": fit_logistic(df, features, target, keys[name], seed),
     }
+
+
+def model_facts(spark: SparkSession, out: dict) -> DataFrame:
+    """One row on a run of ``model_likelihood``: choices, rows, accuracy, the best and the worst group."""
+    model, group = out["model"], out.get("group")
+    gap = rate_gap(out["group_rates"], group).first() if out.get("group_rates") is not None else None
+    score = model.report.where("label = 'accuracy'").first() if model.report is not None else None
+    row = (
+        out.get("dataset"), out.get("target"), ",".join(out.get("features", ())), group,
+        model.status, model.reason, model.train_rows, model.test_rows, score and score["f1_score"],
+        *([gap["top_group"], gap["bottom_group"], gap["difference_points"]] if gap else [None] * 3),
+    )
+    return spark.createDataFrame(
+        [row],
+        "dataset string, target string, features string, `group` string, status string, reason string, "
+        "train_rows bigint, test_rows bigint, accuracy double, top_group string, bottom_group string, "
+        "difference_points double",
+    )

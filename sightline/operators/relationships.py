@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from sightline.functions.quantiles import exact_median
 from sightline.functions.scalars import (
     ident,
     number_sql,
+    quoted,
     round_even,
     sql_text,
     strength_label,
@@ -467,10 +469,7 @@ def discover(
     """
     if roles is None:
         roles = column_roles(df, dataset, unique_ratio_rule=unique_ratio_rule)
-    by_method: dict[str, list[Pair]] = {}
-    for r in candidate_pairs(roles).collect():
-        by_method.setdefault(r["method"], []).append((r["column_a"], r["column_b"]))
-    return findings_of(df, dataset, by_method, medians)
+    return findings_of(df, dataset, typed_pairs(roles), medians)
 
 
 def findings_of(
@@ -505,6 +504,91 @@ def findings_of(
     return union_all(found)
 
 
+STATUS_SCHEMA = "dataset string, method string, column_a string, column_b string, status string, reason string"
+
+
+def _reason(error: PySparkException) -> str:
+    return error.getCondition() or type(error).__name__
+
+
+def faulty_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Columns that cannot be read, with the reason.
+
+    Halves that read without a fault are done with, so f faulty ones of c columns cost about f log c scans.
+    """
+    missing = {c: "The column is not there." for c in columns if c not in df.columns}
+    there = [c for c in columns if c not in missing]
+    if not there:
+        return missing
+    try:
+        df.agg(*[F.max(F.xxhash64(quoted(c))).alias(f"_{i}") for i, c in enumerate(there)]).collect()
+        return missing
+    except PySparkException as error:
+        if len(there) == 1:
+            return missing | {there[0]: _reason(error)}
+    half = len(there) // 2
+    return missing | faulty_columns(df, there[:half]) | faulty_columns(df, there[half:])
+
+
+def findings_with_status(
+    df: DataFrame, dataset: str, by_method: dict[str, list[Pair]], medians: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Findings, and one row per pair: ``retained``, ``not_retained`` or ``failed`` with a reason.
+
+    All pairs share the passes of ``findings_of``. Only when these fail are the columns at fault looked for;
+    their pairs are set aside and the rest runs again together, halved as long as a pair still fails. Findings
+    are collected: one row per pair at most.
+    """
+    pairs = [(m, a, b) for m, some in sorted(by_method.items()) for a, b in sorted(some)]
+    failed: dict[tuple[str, str, str], str] = {}
+
+    def measured(some: list[tuple[str, str, str]]) -> list[DataFrame]:
+        grouped: dict[str, list[Pair]] = {}
+        for m, a, b in some:
+            grouped.setdefault(m, []).append((a, b))
+        return [as_local_table(findings_of(df, dataset, grouped, medians))]
+
+    def halved(some: list[tuple[str, str, str]]) -> list[DataFrame]:
+        if not some:
+            return []
+        try:
+            return measured(some)
+        except PySparkException as error:
+            if len(some) == 1:
+                failed[some[0]] = _reason(error)
+                return []
+        half = len(some) // 2
+        return halved(some[:half]) + halved(some[half:])
+
+    try:
+        parts = measured(pairs)
+    except PySparkException:
+        bad = faulty_columns(df, sorted({c for _, a, b in pairs for c in (a, b)}))
+        failed |= {p: bad.get(p[1], bad.get(p[2])) for p in pairs if p[1] in bad or p[2] in bad}
+        parts = halved([p for p in pairs if p not in failed]) or [findings_of(df, dataset, {})]
+    findings = union_all(parts)
+    kept = {(r[0], r[1], r[2]) for r in findings.select("comparison_type", "column_a", "column_b").collect()}
+    rows = [
+        (
+            dataset, m, a, b,
+            "failed" if (m, a, b) in failed
+            else "retained" if (m.replace("_", "_vs_"), a, b) in kept
+            else "not_retained",
+            failed.get((m, a, b)),
+        )
+        for m, a, b in pairs
+    ]
+    return findings, df.sparkSession.createDataFrame(rows, STATUS_SCHEMA)
+
+
+def typed_pairs(roles: DataFrame) -> dict[str, list[Pair]]:
+    """The candidate pairs of one dataset by method; collected, one row per pair."""
+    by_method: dict[str, list[Pair]] = {}
+    for r in candidate_pairs(roles).collect():
+        by_method.setdefault(r["method"], []).append((r["column_a"], r["column_b"]))
+    return by_method
+
+
 def _ranking() -> list[Column]:
     return [F.desc("score"), F.col("column_a"), F.col("column_b")]
 

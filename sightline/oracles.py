@@ -661,6 +661,19 @@ _graded = findings(
     [(a, b) for a in ("lang", "source") for b in ("toxic", "target")],
     [(a, "n_chars") for a in ("toxic", "target")], "g_",
 )
+ORACLES["rel_status"] = sql(
+    f"""SELECT p.*, CASE WHEN f.column_a IS NULL THEN 'not_retained' ELSE 'retained' END AS status,
+       CAST(NULL AS VARCHAR) AS reason
+    FROM (SELECT a.dataset, {PAIR_METHOD} AS method, a."column" AS column_a, b."column" AS column_b
+          FROM roles a JOIN roles b ON a.dataset = b.dataset
+          WHERE a.exclusion_reason IS NULL AND b.exclusion_reason IS NULL) p
+    LEFT JOIN found f ON f.comparison_type = replace(p.method, '_', '_vs_')
+         AND f.column_a = p.column_a AND f.column_b = p.column_b
+    WHERE p.method IS NOT NULL
+    UNION ALL SELECT 'planted', 'numeric_numeric', 'broken', 'qty', 'failed', 'USER_RAISED_EXCEPTION'
+    UNION ALL SELECT 'planted', 'numeric_numeric', 'drift', 'not_there', 'failed', 'The column is not there.'""",
+    "rel", **_planted, **_found,
+)
 ORACLES["rel_top_overall"] = sql(
     """SELECT * FROM (SELECT 'planted' AS dataset, comparison_type, column_a, column_b, rows_used, score,
               metric_value FROM found
@@ -792,6 +805,16 @@ ORACLES["model_workflow"] = sql(
        {r('avg(target) * 100')} AS percent_rate FROM graded GROUP BY 1 HAVING count(*) >= 3""",
     "graded",
 )
+ORACLES["model_facts"] = sql(
+    f"""SELECT 'graded' AS dataset, 'target' AS target, 'lang,n_chars,toxic' AS features, 'lang' AS "group",
+       'fitted' AS status, CAST(NULL AS VARCHAR) AS reason, train_rows, test_rows,
+       arg_min(lang, (-percent_rate, lang)) AS top_group, arg_max(lang, (-percent_rate, lang)) AS bottom_group,
+       {r('max(percent_rate) - min(percent_rate)')} AS difference_points
+    FROM (SELECT lang, avg(target) * 100 AS percent_rate FROM graded GROUP BY 1 HAVING count(*) >= 3),
+         (SELECT count(*) FILTER (NOT is_test) AS train_rows, count(*) FILTER (is_test) AS test_rows FROM split)
+    GROUP BY train_rows, test_rows""",
+    "graded", split=SPLIT,
+)
 
 ORACLES["model_refusals"] = """
 SELECT 'one_class' AS "case", 'refused' AS status,
@@ -846,6 +869,20 @@ ORACLES["scatter_pairs"] = sql(
     "orders_nulled",
 )
 
+ORACLES["scatter_sample"] = """
+SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey
+FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL
+ORDER BY md5('42:' || o_orderkey) LIMIT 500"""
+ORACLES["scatter_grid"] = sql(
+    f"""SELECT i AS bin_a, j AS bin_b, {r('any_value(x0 + i * ((x1 - x0) / 20))')} AS a_from,
+       {r('any_value(y0 + j * ((y1 - y0) / 20))')} AS b_from, count(*) AS count
+    FROM (SELECT *, CAST(least(floor((x - x0) / (x1 - x0) * 20), 19) AS INT) AS i,
+                 CAST(least(floor((y - y0) / (y1 - y0) * 20), 19) AS INT) AS j FROM xy, edges) GROUP BY 1, 2""",
+    xy="""SELECT CAST(l_extendedprice AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem
+          WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL""",
+    edges="SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM xy",
+)
+
 # --------------------------------------------------------------- catalogue
 
 COLLECTION = {

@@ -19,6 +19,7 @@ class Discovery:
     statistics: DataFrame
     catalog: DataFrame
     findings: DataFrame
+    pair_status: DataFrame
     top: DataFrame
     summary: DataFrame
     model: dict
@@ -33,7 +34,10 @@ def related_columns(findings: DataFrame, dataset: str) -> list[str]:
 def discover_collection(
     datasets: dict[str, DataFrame], keys: dict[str, Sequence[str]] | None = None
 ) -> Discovery:
-    """All discovery tables of a collection; the model needs a row key per dataset."""
+    """All discovery tables of a collection; the model needs a row key per dataset.
+
+    A column pair that fails gives a row in ``pair_status``; the others go on.
+    """
     def per_dataset(fn) -> DataFrame:
         return profile.union_all(
             [
@@ -42,13 +46,16 @@ def discover_collection(
             ]
         )
 
+    spark = next(iter(datasets.values())).sparkSession
     table = catalog.build_catalog(datasets)
-    findings = profile.union_all(
-        [
-            relationships.discover(df, name, table.where(F.col("dataset") == name))
-            for name, df in datasets.items()
-        ]
-    )
+    # Measured once: top, summary and model read the collected findings.
+    measured = [
+        relationships.findings_with_status(
+            df, name, relationships.typed_pairs(table.where(F.col("dataset") == name))
+        )
+        for name, df in datasets.items()
+    ]
+    findings = profile.union_all([found for found, _ in measured])
     numeric = {n: df for n, df in datasets.items() if profile.numeric_columns(df)}
     statistics = profile.union_all(
         [
@@ -69,7 +76,8 @@ def discover_collection(
         statistics=statistics,
         catalog=table,
         findings=findings,
+        pair_status=profile.union_all([status for _, status in measured]),
         top=relationships.top_overall(findings),
-        summary=catalog.run_summary(table, findings),
+        summary=catalog.run_summary(table, findings, likelihood.model_facts(spark, model) if model else None),
         model=model,
     )

@@ -426,6 +426,17 @@ def rel_all_ranked(spark, d):
     return top.select("comparison_type", *CORE, "metric_name")
 
 
+@query
+def rel_status(spark, d):
+    """What became of every pair; one column cannot be read and one does not exist."""
+    frame = t.planted(spark, d)
+    pairs = relationships.typed_pairs(roles.column_roles(frame, "planted"))
+    pairs["numeric_numeric"] = [*pairs["numeric_numeric"], ("broken", "qty"), ("drift", "not_there")]
+    broken = frame.withColumn("broken", F.when(F.col("qty") > 0, F.raise_error(F.lit("unreadable")).cast("int")))
+    _, status = relationships.findings_with_status(broken, "planted", pairs)
+    return status
+
+
 @query
 def rel_top_by_type(spark, d):
     best = relationships.top_by_type(_found(spark, d), 1)
@@ -593,6 +604,15 @@ def model_workflow(spark, d):
     return rounded(out["group_rates"])
 
 
+@query
+def model_facts(spark, d):
+    """Choices, rows and group gap of the model workflow, for the run summary."""
+    out = likelihood.model_likelihood(
+        {"graded": t.graded(spark, d), "nation": t.table(spark, d, "nation")}, {"graded": ["doc_id"]}
+    )
+    return rounded(likelihood.model_facts(spark, out).drop("accuracy"))
+
+
 # ------------------------------------------------------------------- merge
 
 
@@ -684,6 +704,16 @@ def scatter_pairs(spark, d):
     return charts.scatter_pairs(t.orders_nulled(spark, d), "o_totalprice", "o_orderkey")
 
 
+@query
+def scatter_sample(spark, d):
+    return charts.scatter_sample(t.table(spark, d, "orders"), "o_totalprice", "o_custkey", ["o_orderkey"], 500)
+
+
+@query
+def scatter_grid(spark, d):
+    return rounded(charts.scatter_grid(t.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", 20))
+
+
 # --------------------------------------------------------------- catalogue
 
 

@@ -251,3 +251,29 @@ def test_importance_adds_up(spark):
     assert found["word"]["importance_score"] == 1.25 + 2.5 + 0.5 + 0.5
     weak = catalog.join_candidates(catalog.build_catalog(frames)).first()
     assert weak["join_strength"] == "weak" and weak["dataset_pair"] == "a <-> b"
+
+
+def test_scatter_grid_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=400), rng.exponential(size=400)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (float("inf"), 2.0)], "x double, y double")
+    want, first, second = np.histogram2d(x, y, 8)
+    got = charts.scatter_grid(df, "x", "y", 8).collect()
+    assert {(r["bin_a"], r["bin_b"]): r["count"] for r in got} == {
+        (i, j): int(n) for (i, j), n in np.ndenumerate(want) if n
+    }
+    assert all(abs(r["a_from"] - first[r["bin_a"]]) < 1e-9 and abs(r["b_from"] - second[r["bin_b"]]) < 1e-9 for r in got)
+    same = spark.createDataFrame([(3.0, 4.0)] * 9, "x double, y double")
+    assert [(r["bin_a"], r["bin_b"], r["count"]) for r in charts.scatter_grid(same, "x", "y", 4).collect()] == [(2, 2, 9)]
+    assert charts.scatter_grid(same.limit(4), "x", "y").isEmpty()
+    assert charts.scatter_grid(same.limit(0), "x", "y").isEmpty()
+
+
+def test_scatter_sample_is_repeatable_and_bounded(spark):
+    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 1.5).alias("x"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("y"))
+    got = charts.scatter_sample(df, "x", "y", ["k"], 40).collect()
+    again = charts.scatter_sample(df.repartition(7), "x", "y", ["k"], 40).collect()
+    assert sorted(got) == sorted(again) and len(got) == 40 and all(r["y"] is not None for r in got)
+    digest = lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest()
+    assert {r["k"] for r in got} == set(sorted(range(0, 300, 2), key=digest)[:40])
+    assert charts.scatter_sample(df.limit(4), "x", "y", ["k"]).isEmpty()

@@ -99,3 +99,27 @@ def test_booleans_count_as_zero_and_one_and_other_values_give_nothing(spark):
     kinds = df.select(F.when(F.col("number") == 1, "a").otherwise("b").alias("kind"), "flag", (F.col("number") * 10).alias("ten"))
     rates = rel.categorical_binary(kinds, [("kind", "flag"), ("kind", "ten")]).collect()
     assert [r["column_b"] for r in rates] == ["flag"]
+
+
+def test_a_failing_column_or_pair_leaves_the_others(spark):
+    df = spark.range(60).select(
+        F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"), (F.col("id") % 7).alias("z"),
+        F.raise_error(F.lit("unreadable")).cast("double").alias("bad"),
+    )
+    pairs = {"numeric_numeric": [("x", "y"), ("x", "z"), ("bad", "x"), ("y", "gone"), ("z", "bad")]}
+    findings, status = rel.findings_with_status(df, "d", pairs)
+    got = {(r["column_a"], r["column_b"]): (r["status"], r["reason"]) for r in status.collect()}
+    assert got == {
+        ("x", "y"): ("retained", None), ("x", "z"): ("not_retained", None),
+        ("bad", "x"): ("failed", "USER_RAISED_EXCEPTION"), ("z", "bad"): ("failed", "USER_RAISED_EXCEPTION"),
+        ("y", "gone"): ("failed", "The column is not there."),
+    }
+    assert [(r["column_a"], r["column_b"]) for r in findings.collect()] == [("x", "y")]
+
+
+def test_all_pairs_fail_or_none_are_there(spark):
+    df = spark.range(30).select(F.raise_error(F.lit("no")).cast("double").alias("a"), F.col("id").alias("b"))
+    findings, status = rel.findings_with_status(df, "d", {"numeric_numeric": [("a", "b")]})
+    assert findings.isEmpty() and status.first()["status"] == "failed"
+    findings, status = rel.findings_with_status(df, "d", {})
+    assert findings.isEmpty() and status.isEmpty()
