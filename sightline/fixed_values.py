@@ -167,3 +167,13 @@ CONCEPT_ALIASES = {
 # Join keys preferred among shared columns.
 PREFERRED_KEYS = ["id", "year", "date", "zip_code", "zipcode"]
 MERGE_ACTIONS = ["test_merge_first", "evaluate_merge_after_standardization"]
+
+# Sentences that the result tables hold.
+CLUSTER_ADVICE = "Standardize or harmonize the variables in the '%s' cluster."
+MERGE_ADVICE = "Consider testing a merge for %s using %s."
+CLUSTER_REASON = "These variables likely represent the same or related concepts."
+NO_DATASETS = "No datasets available for modeling."
+NO_TARGET = "No target column was detected."
+NO_FEATURES = "No usable feature columns were available for modeling."
+NO_TARGET_VALUES = "No rows available after dropping missing target values."
+ONE_CLASS = "Target column does not have at least two classes."

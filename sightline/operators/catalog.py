@@ -198,7 +198,7 @@ def concept_clusters(variables: DataFrame) -> DataFrame:
                 lambda m: F.struct(m["variable_name"], m["importance_score"], m["datasets"]),
             ).alias("members"),
             F.format_string(
-                "Standardize or harmonize the variables in the '%s' cluster.", "concept_root"
+                fv.CLUSTER_ADVICE, "concept_root"
             ).alias("recommendation"),
         )
         .orderBy(F.desc("n_variables"), "concept_root")
@@ -234,7 +234,7 @@ def join_candidates(catalog: DataFrame, declared: DataFrame | None = None) -> Da
         .withColumn(
             "recommendation",
             F.format_string(
-                "Consider testing a merge for %s using %s.", "dataset_pair", F.array_join(columns, ", ")
+                fv.MERGE_ADVICE, "dataset_pair", F.array_join(columns, ", ")
             ),
         )
         .orderBy(rank.desc(), "dataset_pair")
@@ -328,7 +328,7 @@ def standardization_actions(clusters: DataFrame) -> DataFrame:
         "concept_root",
         "variables",
         F.lit("standardize_variable_names_and_meaning").alias("recommended_action"),
-        F.lit("These variables likely represent the same or related concepts.").alias("reason"),
+        F.lit(fv.CLUSTER_REASON).alias("reason"),
     )
 
 

@@ -252,7 +252,7 @@ def fit_logistic(
 ) -> FittedModel:
     """Split, impute on the training rows, fit, and score the test rows."""
     if not features:
-        return FittedModel("refused", "No usable feature columns were available for modeling.")
+        return FittedModel("refused", fv.NO_FEATURES)
     working = df.select(
         *dict.fromkeys([*key, *features]), as_number(df, target).alias("label")
     ).where(F.col("label").isNotNull())
@@ -261,12 +261,12 @@ def fit_logistic(
         F.count_if(F.col("label") != F.floor("label")).alias("fractions"),
     ).first()
     if facts["rows"] == 0:
-        return FittedModel("refused", "No rows available after dropping missing target values.")
+        return FittedModel("refused", fv.NO_TARGET_VALUES)
     if facts["fractions"]:
         return FittedModel("refused", "The target holds numbers that are not whole, so it has no classes.")
     working = working.withColumn("label", F.col("label").cast("int"))
     if facts["low"] == facts["high"]:
-        return FittedModel("refused", "Target column does not have at least two classes.")
+        return FittedModel("refused", fv.ONE_CLASS)
     categories = [c for c in features if is_category(df, c)]
     numbers = [c for c in features if c not in categories]
     split = _written(stratified_split(working, "label", key, test_share, seed), "split")
@@ -376,7 +376,7 @@ def model_likelihood(
     Returns the choices, ``group_rates`` and the ``FittedModel`` (or a refusal).
     """
     if not datasets:
-        return {"model": FittedModel("refused", "No datasets available for modeling.")}
+        return {"model": FittedModel("refused", fv.NO_DATASETS)}
     name = largest_dataset(datasets).first()["dataset"]
     df = create_features(datasets[name])
     roles = column_roles(df, name)
@@ -384,7 +384,7 @@ def model_likelihood(
     if target is None:
         return {
             "dataset": name,
-            "model": FittedModel("refused", "No target column was detected."),
+            "model": FittedModel("refused", fv.NO_TARGET),
         }
     features = detect_features(roles, target, (related or {}).get(name, ()))
     group = detect_group(roles, target)
