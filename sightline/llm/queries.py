@@ -121,6 +121,46 @@ def crc_sql(text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        sets AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))))
+                   END AS s
+            FROM worded
+        ),
+        classes AS MATERIALIZED (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s),
+        shingles AS MATERIALIZED (SELECT rep, len(s) AS n, unnest(s) AS g FROM classes),
+        links AS MATERIALIZED (
+            SELECT a.rep AS x, b.rep AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.rep < b.rep
+            WHERE 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ),
+        edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (
+            SELECT rep AS x, rep AS y FROM classes
+            UNION SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y
+        ),
+        components AS (SELECT x AS rep, min(y) AS least FROM reach GROUP BY x)
+        SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id
+        FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN components USING (rep)
+    """,
+    "op6_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        hashed AS (SELECT page_id, html, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM payloads)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+               -- Four letters of five bits from every five hexadecimal digits.
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM hashed
+    """,
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
