@@ -7,6 +7,7 @@ is padded. Types are decided on whole columns by one aggregation.
 
 from __future__ import annotations
 
+import csv as text_csv
 import logging
 import re
 from collections.abc import Sequence
@@ -29,6 +30,8 @@ from sightline.functions.scalars import (
     strip,
     strip_sql,
 )
+from sightline.operators.profile import union_all
+from sightline.session import shared_folder
 
 log = logging.getLogger(__name__)
 
@@ -38,13 +41,18 @@ REPLACEMENT = "\ufffd"
 FALLBACK = "ISO-8859-1"
 
 
+def _csv_of(folder: str, path: Column) -> Column:
+    """The CSV directly in the folder that a file belongs to; empty text for other files."""
+    base = re.sub(r"^[a-zA-Z0-9]+:/*", "/", folder).rstrip("/")
+    return F.regexp_extract(path, "^(.*" + re.escape(base) + r"/[^/]+\.csv)(/[^/]+)?$", 1)
+
+
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the CSVs directly in a folder; only names are listed, nothing is read.
 
     A CSV is a file or a folder of part files that ends in ``.csv``.
     """
-    base = re.sub(r"^[a-zA-Z0-9]+:/*", "/", folder).rstrip("/")
-    child = F.regexp_extract("path", "^(.*" + re.escape(base) + r"/[^/]+\.csv)(/[^/]+)?$", 1)
+    child = _csv_of(folder, F.col("path"))
     found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv")
@@ -72,9 +80,13 @@ def header(
     first = _reader(spark, encoding, multi_line).option("header", "false").csv(path).first()
     if first is None:
         raise ValueError(f"no header line in {path}")
+    return _header_names(first)
+
+
+def _header_names(fields: Sequence[str | None]) -> list[str]:
     seen: dict[str, int] = {}
     names = []
-    for i, value in enumerate(first):
+    for i, value in enumerate(fields):
         name = value if value is not None else f"Unnamed: {i}"
         if name in seen:
             seen[name] += 1
@@ -90,13 +102,14 @@ def _positions(n: int) -> list[str]:
 
 def _text_frame(
     spark: SparkSession,
-    path: str,
-    names: list[str],
+    path: str | list[str],
+    names: Sequence[str],
     encoding: str,
     multi_line: bool,
     drop_long: bool,
+    tag: Sequence[str] = (),
 ) -> DataFrame:
-    """All fields as text under positional names; short lines are padded.
+    """All fields as text under positional names; short lines are padded. ``tag`` names metadata to keep.
 
     ``drop_long`` leaves out lines with too many fields. It needs every field of
     every line, so the parser's column pruning is off then: otherwise the rows
@@ -122,7 +135,7 @@ def _text_frame(
     fits = F.coalesce(
         field_count(F.col(RAW_LINE)) <= len(names), F.length("_c0") >= 0, F.lit(True)
     )
-    return frame.where(fits).drop(RAW_LINE)
+    return frame.where(fits).select(*_positions(len(names)), *tag)
 
 
 def field_count(line: Column) -> Column:
@@ -180,10 +193,9 @@ def read_csv_text(
 # -------------------------------------------------------------------- types
 
 
-def type_counts(df: DataFrame) -> DataFrame:
-    """One row: per text column the values present and those of each type."""
-    aggs = [undecodable_rows(df).alias("undecodable")]
-    for i, c in enumerate(df.columns):
+def _type_aggregates(columns: Sequence[str]) -> list[Column]:
+    aggs = []
+    for i, c in enumerate(columns):
         raw = ident(c)
         value = strip_sql(raw)
         aggs += [
@@ -195,7 +207,12 @@ def type_counts(df: DataFrame) -> DataFrame:
             F.expr(f"count_if({value} RLIKE r'{NUMBER_PATTERN}') AS f{i}"),
             F.expr(f"count_if(lower({raw}) IN ('true', 'false')) AS b{i}"),
         ]
-    return df.agg(*aggs)
+    return aggs
+
+
+def type_counts(df: DataFrame) -> DataFrame:
+    """One row: per text column the values present and those of each type."""
+    return df.agg(undecodable_rows(df).alias("undecodable"), *_type_aggregates(df.columns))
 
 
 def _types(row, columns: Sequence[str]) -> dict[str, str]:
@@ -254,20 +271,106 @@ def read_csv(
     return _typed(spark, path, multi_line, encoding)
 
 
+def _file_path() -> Column:
+    """The path of a row's file as the listing gives it; metadata holds it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def folder_headers(spark: SparkSession, folder: str) -> dict[str, tuple[list[str], str]]:
+    """Header names and encoding of every CSV of a folder, from one scan of all lines.
+
+    A file with a line that is no UTF-8 is read as ISO-8859-1. Files without any line are not in the result.
+    What is collected is one line per file.
+    """
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").text(folder)
+        .select(
+            _file_path().alias("file"), F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("place"), "value",
+        )
+        .withColumn("path", _csv_of(folder, F.col("file")))
+    )
+    # A file's first line lies in its first block, and lines of a block are numbered in order.
+    first = F.when((F.col("start") == 0) & (F.trim("value") != ""), F.struct("file", "place"))
+    heads = (
+        lines.where(F.col("path") != "").groupBy("path")
+        .agg(
+            F.min_by(F.col("value").cast("binary"), first).alias("head"),
+            F.bool_or(~F.is_valid_utf8("value")).alias("foreign"),
+        )
+        .where(F.col("head").isNotNull())
+    )
+    out = {}
+    for r in heads.collect():
+        encoding = FALLBACK if r["foreign"] else "UTF-8"
+        fields = next(text_csv.reader([bytes(r["head"]).decode(encoding).lstrip("\ufeff")]))
+        out[r["path"]] = _header_names([f or None for f in fields]), encoding
+    return out
+
+
+def read_files(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every CSV of a folder, typed, in two jobs whatever the number of files.
+
+    One job gives headers and encodings, one the types: files of equal width and encoding share a scan, and
+    the counts of all files are collected, one row per file. Files with a header only have double columns.
+    """
+    heads = folder_headers(spark, folder)
+    groups: dict[tuple[int, str], list[str]] = {}
+    for path, (names, encoding) in sorted(heads.items()):
+        groups.setdefault((len(names), encoding), []).append(path)
+
+    def counts(width: int, encoding: str, paths: list[str]) -> DataFrame:
+        file = _csv_of(folder, _file_path()).alias("path")
+        frame = _text_frame(spark, paths, _positions(width), encoding, False, True, [file])
+        columns = _positions(width)
+        clean = frame.select("path", *[missing_to_null(F.col(c)).alias(c) for c in columns])
+        return clean.groupBy("path").agg(*_type_aggregates(columns))
+
+    found = {}
+    if groups:
+        counted = union_all([counts(*group, paths) for group, paths in groups.items()])
+        found = {r["path"]: r for r in counted.collect()}
+    out = {}
+    for path, (names, encoding) in sorted(heads.items()):
+        columns = _positions(len(names))
+        types = _types(found[path], columns) if path in found else dict.fromkeys(columns, "double")
+        frame = _text_frame(spark, path, names, encoding, False, True)
+        clean = frame.select(*[missing_to_null(F.col(c)).alias(c) for c in columns])
+        out[path] = apply_types(clean, types).toDF(*names)
+    return out
+
+
 def read_folder_status(
-    spark: SparkSession, folder: str, names: str | None = None, multi_line: bool = False
+    spark: SparkSession,
+    folder: str,
+    names: str | None = None,
+    multi_line: bool = False,
+    stage: bool = False,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Every CSV of a folder by file name, and a row per file: ``path``, ``status``, ``reason``.
 
-    The status is 'read' or 'failed'; a file that cannot be read does not stop the others.
-    ``names`` is None, 'light' or 'strict' and says how headers are normalised.
+    All files are read together (see ``read_files``). If that fails, or with quoted line breaks, they are read
+    one by one: the status is 'read' or 'failed', and a file that cannot be read does not stop the others.
+    ``names`` is None, 'light' or 'strict' and says how headers are normalised. ``stage`` writes each file as
+    typed Parquet to the shared folder, so that later passes parse no text and read only the columns they use;
+    names must then differ in more than case.
     """
     out, status = {}, []
+    try:
+        together = {} if multi_line else read_files(spark, folder)
+    except (PySparkException, Py4JJavaError, ValueError) as error:
+        log.warning("reading the files one by one: %s", error)
+        together = {}
     for path in csv_files(spark, folder):
         name = path.rsplit("/", 1)[-1]
         try:
-            frame = read_csv(spark, path, multi_line)
-            out[name] = normalize_header(frame, names) if names else frame
+            frame = together[path] if path in together else read_csv(spark, path, multi_line)
+            frame = normalize_header(frame, names) if names else frame
+            if stage:
+                place = f"{shared_folder(spark)}/{strict_name(name)}"
+                frame.write.parquet(place)
+                frame = spark.read.schema(frame.schema).parquet(place)
+            out[name] = frame
             status.append((path, "read", None))
         except (PySparkException, Py4JJavaError, ValueError) as error:
             log.warning("failed %s: %s", name, error)
@@ -276,10 +379,14 @@ def read_folder_status(
 
 
 def read_folder(
-    spark: SparkSession, folder: str, names: str | None = None, multi_line: bool = False
+    spark: SparkSession,
+    folder: str,
+    names: str | None = None,
+    multi_line: bool = False,
+    stage: bool = False,
 ) -> dict[str, DataFrame]:
     """The readable CSVs of ``read_folder_status``."""
-    return read_folder_status(spark, folder, names, multi_line)[0]
+    return read_folder_status(spark, folder, names, multi_line, stage)[0]
 
 
 # ------------------------------------------------------------------ headers

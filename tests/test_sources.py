@@ -72,3 +72,47 @@ def test_lawful_replacement_characters_are_no_foreign_encoding(spark, tmp_path):
     (tmp_path / "marks.csv").write_text("id,town\n1,café\n2,a�b\n", encoding="utf-8")
     got = csv.read_csv(spark, f"{tmp_path}/marks.csv").collect()
     assert [r["town"] for r in got] == ["café", "a�b"]
+
+
+def test_files_read_together_equal_files_read_alone(spark, folder, tmp_path):
+    (tmp_path / "only header.csv").write_text("p,q+r\n")
+    (tmp_path / "blank.csv").write_text("\n\nk,v\n1,2\n")
+    together = csv.read_files(spark, folder)
+    names = {p.rsplit("/", 1)[-1] for p in together}
+    assert names == {"a.csv", "b.csv", "same.csv", "only header.csv", "blank.csv"}
+    for path, frame in together.items():
+        alone = csv.read_csv(spark, path)
+        assert frame.dtypes == alone.dtypes
+        assert sorted(map(str, frame.collect())) == sorted(map(str, alone.collect()))
+
+
+def test_parts_of_a_csv_folder_are_one_table(spark, tmp_path):
+    results.save_csv(spark.range(40).selectExpr("id", "concat('n', id) AS name").repartition(3), f"{tmp_path}/t.csv")
+    ((path, frame),) = csv.read_files(spark, str(tmp_path)).items()
+    assert path.endswith("/t.csv") and frame.dtypes == [("id", "bigint"), ("name", "string")]
+    assert sorted(r["id"] for r in frame.collect()) == list(range(40))
+
+
+def test_staged_files_are_typed_parquet(spark, folder):
+    plain, staged = csv.read_folder(spark, folder, "strict"), csv.read_folder(spark, folder, "strict", stage=True)
+    town = staged["b.csv"]
+    assert town.dtypes == plain["b.csv"].dtypes and sorted(town.collect()) == sorted(plain["b.csv"].collect())
+    assert all(f.endswith(".parquet") for f in town.inputFiles())
+
+
+def test_the_number_of_jobs_does_not_depend_on_the_number_of_files(spark, tmp_path):
+    def jobs(n):
+        place = tmp_path / f"of{n}"
+        place.mkdir()
+        for i in range(n):
+            (place / f"f{i}.csv").write_text("id,name\n" + "".join(f"{j},x{j}\n" for j in range(i % 5)))
+        context = spark.sparkContext
+        context.setJobGroup(f"files{n}", "")
+        try:
+            found = csv.read_files(spark, str(place))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        assert len(found) == n
+        return len(context.statusTracker().getJobIdsForGroup(f"files{n}"))
+
+    assert jobs(3) == jobs(24)
