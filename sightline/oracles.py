@@ -822,8 +822,17 @@ SELECT 'one_class' AS "case", 'refused' AS status,
 UNION ALL SELECT 'no_target_values', 'refused', 'No rows available after dropping missing target values.'
 UNION ALL SELECT 'no_features', 'refused', 'No usable feature columns were available for modeling.'"""
 
+ORACLES["coerced_values"] = """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey * 1.0e0 WHEN 1 THEN o_orderkey + 0.5e0 END AS number,
+       CASE WHEN o_orderkey % 5 <= 1 THEN CAST(o_orderkey AS INT) ELSE 0 END AS flag,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey // 2 AS VARCHAR)
+            ELSE CAST(o_orderkey // 2 AS VARCHAR) || '.5' END AS key_text
+FROM orders"""
+
 # ------------------------------------------------------------------- merge
 
+ORACLES["place_names"] = """
+SELECT s_suppkey AS departmentkey, s_name AS city, s_nationkey AS county FROM supplier"""
 ORACLES["key_quality"] = f"""
 SELECT l.n AS left_non_null_rows, {r('l.d * 1.0e0 / l.n')} AS left_unique_ratio,
        q.n AS right_non_null_rows, {r('q.d * 1.0e0 / q.n')} AS right_unique_ratio,
@@ -1158,6 +1167,14 @@ ORACLES["csv_folder"] = " UNION ALL ".join(
     f"SELECT '{x}.csv' AS dataset, count(*) AS rows, {big(len(names(x)))} AS columns FROM {x}"
     for x in ("region", "nation", "supplier")
 )
+CSV_TYPES = {
+    "nation": "n_nationkey:bigint,n_name:string,n_regionkey:bigint",
+    "supplier": "s_suppkey:bigint,s_name:string,s_nationkey:bigint,s_acctbal:double",
+    "customer": "c_custkey:bigint,c_name:string,c_nationkey:bigint,c_acctbal:double,c_mktsegment:string",
+}
+ORACLES["csv_folder_staged"] = " UNION ALL ".join(
+    f"SELECT '{x}.csv' AS dataset, count(*) AS rows, '{types}' AS types FROM {x}" for x, types in CSV_TYPES.items()
+)
 ORACLES["json_roundtrip"] = sql(
     "SELECT censustract, total_encounters, ed_rate FROM areas", "enc", "sdoh", "dept", **_rq3
 )

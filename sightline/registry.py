@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import fixed_values as fv
-from sightline.functions.scalars import round_even
+from sightline.functions.scalars import as_flag, as_key_text, as_number, round_even
 from sightline.operators import (
     catalog,
     charts,
@@ -613,9 +613,32 @@ def model_facts(spark, d):
     return rounded(likelihood.model_facts(spark, out).drop("accuracy"))
 
 
+@query
+def coerced_values(spark, d):
+    """Numbers, flags and keys out of text that is a number, nearly one, or none."""
+    key = F.col("o_orderkey")
+    text = (
+        F.when(key % 5 == 0, F.concat(F.lit(" "), key, F.lit(" "))).when(key % 5 == 1, F.concat(key, F.lit(".50")))
+        .when(key % 5 == 2, "n/a").when(key % 5 == 3, F.concat(key, F.lit("d")))
+    )
+    df = t.table(spark, d, "orders").select(key, text.alias("text"), (key / 2).alias("half"))
+    return df.select(
+        key, as_number(df, "text").alias("number"), as_flag(df, "text").alias("flag"), as_key_text(df, "half").alias("key_text")
+    )
+
+
 # ------------------------------------------------------------------- merge
 
 
+@query
+def place_names(spark, d):
+    """Two columns that share a standard name, told apart as city and county."""
+    dept = t.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("departmentkey"), F.col("s_name").alias("Town"), F.col("s_nationkey").alias("District")
+    )
+    return cohort.disambiguate_places(merge.standardize(dept, {"town": "location", "district": "location"}))
+
+
 @query
 def key_quality(spark, d):
     customer = t.table(spark, d, "customer").withColumnRenamed("c_custkey", "key")
@@ -959,6 +982,23 @@ def csv_folder(spark, d):
     return profile.dataset_shape(csv.read_folder(spark, folder, "strict"))
 
 
+@query
+def csv_folder_staged(spark, d):
+    """Types and rows of the CSVs of a folder, read together and kept as typed Parquet."""
+    folder = shared_folder(spark)
+    for name in ("nation", "supplier", "customer"):
+        results.save_csv(t.table(spark, d, name), f"{folder}/{name}.csv")
+    found = csv.read_folder(spark, folder, "strict", stage=True)
+    return profile.union_all(
+        [
+            df.agg(F.count("*").alias("rows")).select(
+                F.lit(name).alias("dataset"), "rows", F.lit(",".join(f"{c}:{k}" for c, k in df.dtypes)).alias("types")
+            )
+            for name, df in found.items()
+        ]
+    )
+
+
 @query
 def json_roundtrip(spark, d):
     folder = shared_folder(spark) + "/areas.json"
