@@ -2,8 +2,10 @@
 
 Every regex is turned into a Boolean query of trigrams that any match must hold: a conjunction of runs,
 each run a choice between literal strings. One scan of the texts writes the postings of the trigrams
-that the queries name; postings are intersected per document, and only the candidates' texts are matched.
-Rules without mandatory trigrams are matched against every text in the first scan.
+that the queries name, all of them found by one pattern; postings are intersected per document, and only
+the candidates' texts are matched. A bit table of fixed size, broadcast, lets a second scan keep nearly
+all other texts out of the shuffle. Rules without mandatory trigrams are matched against every text in
+the first scan.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ ADDED = (
 )
 #: Literal strings that one run may stand for, and characters of a class that count as a choice.
 MAX_STRINGS, MAX_CLASS = 128, 8
+#: Words of 64 bits in the broadcast table of candidates: at most this many rows of two numbers, some 50 MB.
+FILTER_WORDS = 1 << 20
 
 
 def _parts(parsed) -> list[frozenset[str] | None]:
@@ -116,6 +120,15 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return query
 
 
+def any_trigram(trigrams: list[str]) -> str:
+    """A pattern that matches, with no width, wherever one of the trigrams begins; group 1 is the trigram."""
+    tails: dict[str, list[str]] = {}
+    for t in sorted(trigrams):
+        tails.setdefault(t[0], []).append(re.escape(t[1:]))
+    heads = "".join(re.escape(head) for head in tails)
+    return f"(?=[{heads}])(?=({'|'.join(f'{re.escape(h)}(?:{"|".join(rest)})' for h, rest in tails.items())}))"
+
+
 def _lengths(text: Column, rule: Rule) -> Column:
     """Per match the characters before it since the last match, its own, and its group's."""
     pattern = F.lit(rule.pattern)
@@ -166,11 +179,11 @@ def find_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Ru
         rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         return rows.select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"), *names)
 
-    low = F.lower("text")
-    scanned = keyed(["text"])
-    present = F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(wanted)]) if wanted else F.array().cast("array<int>")
+    present = F.array().cast("array<string>")
+    if wanted:
+        present = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_trigram(wanted)), F.lit(1)))
     scanned = staged(
-        scanned.select("doc_id", "hash", "bytes", F.array_compact(present).alias("trigrams"), _matched(F.col("text"), unindexed).alias("matched") if unindexed else F.array().cast(f"array<struct<rule:int,hits:{_HITS}>>").alias("matched")),
+        keyed(["text"]).select("doc_id", "hash", "bytes", present.alias("trigrams"), _matched(F.col("text"), unindexed).alias("matched") if unindexed else F.array().cast(f"array<struct<rule:int,hits:{_HITS}>>").alias("matched")),
         "postings",
     )
     key = ["doc_id", "hash", "bytes"]
@@ -178,25 +191,31 @@ def find_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Ru
 
     if indexed:
         terms = [
-            (number, run_no, choice_no, wanted.index(t), 1 << bit, (1 << len(choice)) - 1, len(queries[number]))
+            (number, run_no, choice_no, t, 1 << bit, (1 << len(choice)) - 1, len(queries[number]))
             for number, _ in indexed
             for run_no, run in enumerate(queries[number])
             for choice_no, choice in enumerate(run)
             for bit, t in enumerate(sorted(choice))
         ]
         # As many rows as the rules have trigrams.
-        asked = F.broadcast(docs.sparkSession.createDataFrame(terms, "rule int, run int, choice int, trigram int, bit long, mask long, runs int"))
+        asked = F.broadcast(docs.sparkSession.createDataFrame(terms, "rule int, run int, choice int, trigram string, bit long, mask long, runs int"))
         postings = scanned.select(*key, F.explode("trigrams").alias("trigram"))
-        candidates = (
+        candidates = staged(
             postings.join(asked, "trigram")
             .groupBy(*key, "rule", "run", "choice", "mask", "runs").agg(F.bit_or("bit").alias("bits"))
             .where(F.col("bits") == F.col("mask"))
             .groupBy(*key, "rule", "runs").agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), run)")).alias("held"))
             .where(F.bit_count("held") == F.col("runs"))
-            .groupBy(*key).agg(F.collect_set("rule").alias("rules"))
+            .groupBy(*key).agg(F.collect_set("rule").alias("rules")),
+            "candidates",
         )
+        # Bits that candidates set; a text whose bit is not set is none. Few others pass, and the join drops them.
+        word, bit = F.shiftrightunsigned("hash", 6) % FILTER_WORDS, F.col("hash").bitwiseAND(F.lit(63)).cast("int")
+        bits = candidates.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+        bits = F.broadcast(bits.groupBy("word").agg(F.bit_or("bit").alias("mask")))
+        likely = keyed(["text"]).withColumn("word", word).join(bits, "word").where(F.getbit("mask", bit) == 1)
         named = candidates.select(F.col("doc_id").alias("c_doc"), F.col("hash").alias("c_hash"), F.col("bytes").alias("c_bytes"), "rules")
-        texts = keyed(["text"]).join(
+        texts = likely.select(*key, "text").join(
             named,
             F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("hash") == F.col("c_hash")) & (F.col("bytes") == F.col("c_bytes")),
         )

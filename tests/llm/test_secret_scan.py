@@ -2,8 +2,9 @@ import hashlib
 import random
 import re
 
+from sightline.llm import secret_scan
 from sightline.llm.queries import op10_secrets
-from sightline.llm.secret_scan import ADDED, BASE, find_secrets, trigram_query
+from sightline.llm.secret_scan import ADDED, BASE, any_trigram, find_secrets, trigram_query
 from tests.llm.conftest import no_documents, odd_documents
 
 
@@ -67,3 +68,20 @@ def test_odd_rows(spark):
     found = sorted(said(map(tuple, r["found"])) for r in rows)
     assert found == [""] * 11 + ["assign:0:14", "assign:0:14", "assign:0:38,hex:8:38"]
     assert find_secrets(no_documents(spark)).collect() == []
+
+
+def test_trigrams_that_overlap_are_all_found(spark):
+    words = ["aaa", "aab", "aba", "---", "_ke", "k[y", "é.x"]
+    text = "aaab--aaaba---- api_key k[y é.x éyx 😀aab"
+    want = {w for w in words if w in text}
+    (got,) = spark.createDataFrame([(text,)], "text string").selectExpr(f"regexp_extract_all(text, r'{any_trigram(words)}', 1) as t").first()
+    assert set(got) == want and got.count("aab") == 3 and got.count("---") == 2
+
+
+def test_bit_table_loses_no_candidate(spark, monkeypatch):
+    docs = [(i, f"token=abcdef{i}" if i % 3 else f"tok en {i}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for words in (1, 4, secret_scan.FILTER_WORDS):
+        monkeypatch.setattr(secret_scan, "FILTER_WORDS", words)
+        got = {r["doc_id"]: [(s["start"], s["rule"], s["end"], s["kind"]) for s in r["found"]] for r in find_secrets(df).collect()}
+        assert got == {i: brute(t) for i, t in docs}
