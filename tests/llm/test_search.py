@@ -1,9 +1,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from sightline.llm.ann import chi_square_quantile, kd_leaves, nearest_neighbours
+from sightline.llm.ann import box_distance2, chi_square_quantile, cut_tree, kd_leaves, leaf_of, nearest_neighbours, neighbour_lists
 from sightline.llm.queries import op3_nearest, op7_exact_top_k
 from sightline.llm.topk import exact_top_k, products
 from tests.llm.conftest import rows_of
@@ -96,3 +99,49 @@ def test_empty_vectors_meet_only_each_other(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert lists(exact_top_k(df, k=5, every=50).collect()) == {50: [(7, 0), (100, 0)], 100: [(7, 0), (50, 0)], 150: [(8, 768 * 256)]}
     assert lists(exact_top_k(df.where("vec_id in (50, 150, 8)"), k=5, every=50).collect()) == {150: [(8, 768 * 256)]}
+
+
+def test_upper_tree():
+    points = np.random.default_rng(2).normal(size=(1000, 4)).round(1)
+    for leaves in (1, 2, 7, 16):
+        found = leaf_of(points, cut_tree(points, leaves, 5))
+        assert set(found) == set(range(5, 5 + leaves)) and np.bincount(found)[5:].max() <= 2.5 * 1000 / leaves
+    same = np.ones((50, 4))
+    assert set(leaf_of(same, cut_tree(same, 8, 3))) == {3}
+    two = np.repeat([[0.0, 1.0], [0.0, 2.0]], [40, 2], axis=0)
+    assert leaf_of(two, cut_tree(two, 2, 0)).tolist() == [0] * 40 + [1] * 2
+    assert box_distance2(np.array([[0.0, 0.0]]), np.array([[1.0, -1.0]]), np.array([[2.0, 3.0]])).tolist() == [[1.0]]
+
+
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(200, 32))
+    points = middles[rng.integers(0, 200, 50_000)] + 0.4 * rng.normal(size=(50_000, 32))
+    points[::3] = points[0]  # one vector holds a third of the rows
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    path = str(tmp_path_factory.mktemp("vectors") / "t.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(50_000)), "embedding": pa.array(list(points))}), path, row_group_size=5000)
+    return points, spark.read.parquet(path)
+
+
+def test_stop_acts_and_recall_holds(clustered):
+    points, df = clustered
+    every, k, n = 100, 20, len(points)
+    distinct = len(np.unique(points, axis=0))
+    got = lists(nearest_neighbours(df, k=k, every=every).collect())
+    asked = list(range(0, n, every))
+    assert sorted(got) == asked
+    hits = {True: [], False: []}
+    for q in asked:
+        score = points @ points[q]
+        score[q] = -np.inf
+        edge = np.partition(score, n - k)[n - k]
+        # Equally near vectors are as good as each other.
+        hits[q % 3 == 0].append(sum(score[i] >= edge - 1e-12 for i, _ in got[q]) / k)
+        assert len({i for i, _ in got[q]}) == k and q not in {i for i, _ in got[q]}
+    assert np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9
+    found, shards = neighbour_lists(df, k, every, 16, 0.97, 11, 4096)
+    visits, verified = found.agg(F.count("*"), F.sum("verified")).first()
+    print("recall", np.mean(hits[False]), np.mean(hits[True]), "verified", verified / distinct / len(asked), "visits", visits / len(asked), "of", shards)
+    assert verified < 0.2 * distinct * len(asked)
