@@ -138,6 +138,9 @@ def search_shard(
     low, near = projected(vectors, stable, longest2), queries @ stable[:-1]
     farthest = longest2 + np.einsum("ij,ij->i", queries, queries)
     leaves = kd_leaves(low)
+    members = np.full((len(leaves), max(map(len, leaves))), -1)
+    for rows, line in zip(leaves, members):
+        line[: len(rows)] = rows
     bounds = box_distance2(
         near, np.array([low[rows].min(axis=0) for rows in leaves]), np.array([low[rows].max(axis=0) for rows in leaves])
     )
@@ -155,20 +158,18 @@ def search_shard(
         if not len(active):
             break
         leaf = order[active, step]
-        by_leaf = np.argsort(leaf, kind="stable")
-        for group in np.split(by_leaf, np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
-            asking, rows = active[group], leaves[leaf[group[0]]]
-            passing = box_distance2(near[asking], low[rows], low[rows]) <= reach[group, None]
-            verified[asking] += passing.sum(axis=1)
-            which, member = np.nonzero(passing)
-            score = np.full(passing.shape, -np.inf)
-            for start in range(0, len(which), PAIRS):
-                r, c = which[start : start + PAIRS], member[start : start + PAIRS]
-                score[r, c] = np.einsum("ij,ij->i", queries[asking[r]], vectors[rows[c]])
-            at = np.where(passing, rows, -1)
-            best[asking], place[asking] = _keep_best(
-                np.hstack([best[asking], score]), np.hstack([place[asking], at]), k
-            )
+        rows = members[leaf]
+        gap = near[active][:, None, :] - low[rows]
+        passing = (np.einsum("ijk,ijk->ij", gap, gap) <= reach[:, None]) & (rows >= 0)
+        verified[active] += passing.sum(axis=1)
+        which, member = np.nonzero(passing)
+        score = np.full(passing.shape, -np.inf)
+        for start in range(0, len(which), PAIRS):
+            r, c = which[start : start + PAIRS], member[start : start + PAIRS]
+            score[r, c] = np.einsum("ij,ij->i", queries[active[r]], vectors[rows[r, c]])
+        best[active], place[active] = _keep_best(
+            np.hstack([best[active], score]), np.hstack([place[active], np.where(passing, rows, -1)]), k
+        )
     return place, best, verified
 
 
