@@ -61,7 +61,6 @@ class Chart:
 
 #: Parts that the values of a chart are ranked in first.
 PARTS = 64
-_VALUE = "struct<chart:int,bin:bigint,label:string>"
 
 
 def fused_charts(df: DataFrame, charts: Sequence[Chart]) -> DataFrame:
@@ -88,29 +87,41 @@ def fused_charts(df: DataFrame, charts: Sequence[Chart]) -> DataFrame:
         )
     place = {column: i for i, column in enumerate(numbers)}
 
-    columns = []
+    # Values, then bins, then one cell per chart: each in a projection of its own and without lambdas, so that
+    # all of it is compiled and nothing is worked out twice. Months are counted as numbers and spelled after.
+    values = []
     for i, chart in enumerate(charts):
         if chart.kind == "histogram":
             value = as_number(df, chart.column)
         elif chart.kind == "months":
-            value = F.date_format(as_timestamp(df, chart.column), "yyyy-MM")
+            value = F.unix_date(F.trunc(as_timestamp(df, chart.column).cast("date"), "MM")).cast("bigint")
         else:
             value = F.when(is_missing(df, chart.column), F.lit("nan")).otherwise(quoted(chart.column).cast("string"))
-        columns.append(value.alias(f"_v{i}"))
-    wide = df.select(*columns)
+        values.append(value.alias(f"_v{i}"))
+    wide = df.select(*values)
     if limits is not None:
         wide = wide.withColumn("_r", limits.scalar())
+        places = {i: F.col("_r")[place[c.column]] for i, c in enumerate(charts) if c.kind == "histogram"}
+        wide = wide.select("*", *[_bin_near(F.col(f"_v{i}"), r, charts[i].bins).alias(f"_g{i}") for i, r in places.items()])
+        bins = [_bin_of(F.col(f"_v{i}"), F.col(f"_g{i}"), r, charts[i].bins).alias(f"_b{i}") for i, r in places.items()]
+        wide = wide.select(*[f"_v{i}" for i in range(len(charts))], *bins)
     cells = []
     for i, chart in enumerate(charts):
         value = F.col(f"_v{i}")
-        number = chart.kind == "histogram"
-        bin_ = _bin_of(value, F.col("_r")[place[chart.column]], chart.bins) if number else F.lit(None).cast("bigint")
-        label = F.lit(None).cast("string") if number else value
-        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("chart"), bin_.alias("bin"), label.alias("label"))))
+        bin_ = F.col(f"_b{i}") if chart.kind == "histogram" else value if chart.kind == "months" else F.lit(None)
+        label = value if chart.kind == "bars" else F.lit(None)
+        cell = F.struct(F.lit(i).alias("chart"), bin_.cast("bigint").alias("bin"), label.cast("string").alias("label"))
+        cells.append(F.when(value.isNotNull(), cell))
     counts = (
-        wide.select(F.explode(F.array_compact(F.array(*cells)).cast(f"array<{_VALUE}>")).alias("v"))
+        wide.select(F.explode(F.array(*cells)).alias("v")).where("v IS NOT NULL")
         .groupBy("v.chart", "v.bin", "v.label").agg(F.count("*").alias("count"))
     )
+    if months := [i for i, c in enumerate(charts) if c.kind == "months"]:
+        monthly = F.col("chart").isin(months)
+        month = F.date_format(F.date_from_unix_date(F.col("bin").cast("int")), "yyyy-MM")
+        counts = counts.select(
+            "chart", F.when(~monthly, F.col("bin")).alias("bin"), F.when(monthly, month).otherwise(F.col("label")).alias("label"), "count"
+        )
     # The most frequent texts of a chart: first within parts of its values, so that no task sees them all.
     most = F.element_at(F.lit([c.top if c.kind == "bars" else 2**31 - 1 for c in charts]), F.col("chart") + 1)
     for keys in (["chart", "_part"], ["chart"]):
@@ -138,11 +149,15 @@ def fused_charts(df: DataFrame, charts: Sequence[Chart]) -> DataFrame:
     )
 
 
-def _bin_of(x: Column, r: Column, bins: int) -> Column:
+def _bin_near(x: Column, r: Column, bins: int) -> Column:
+    """The bin of x, or one that rounding put next to it."""
+    return F.least(F.floor((x - r["lo"]) / (r["hi"] - r["lo"]) * bins), F.lit(bins - 1).cast("bigint"))
+
+
+def _bin_of(x: Column, guess: Column, r: Column, bins: int) -> Column:
     """The bin of x; a value that rounding put next to its bin is moved by comparing the edges."""
     step = (r["hi"] - r["lo"]) / bins
     edge = lambda i: F.when(i >= bins, r["hi"]).otherwise(r["lo"] + i * step)
-    guess = F.least(F.floor((x - r["lo"]) / (r["hi"] - r["lo"]) * bins), F.lit(bins - 1).cast("bigint"))
     return (
         guess - F.when(x < edge(guess), 1).otherwise(0) + F.when((x >= edge(guess + 1)) & (guess < bins - 1), 1).otherwise(0)
     ).cast("bigint")

@@ -229,6 +229,20 @@ def test_fused_charts_equal_single_ones(spark, tmp_path):
     assert charts.fused_charts(df, []).collect() == []
 
 
+def test_fused_charts_count_without_lambdas(spark):
+    """A lambda is interpreted, and with it every bin and label that it is given."""
+    df = spark.range(1000).select(
+        (F.col("id") % 7).cast("double").alias("x"), F.date_add(F.lit("1999-11-30").cast("date"), (F.col("id") % 40).cast("int")).alias("day")
+    )
+    got = charts.fused_charts(df, [charts.Chart("x", "histogram", 7), charts.Chart("day", "months"), charts.Chart("day", "bars", top=1)])
+    assert "filter(array(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.collect()
+    assert sorted((r["label"], r["count"]) for r in rows if r["chart"] == 1) == [("1999-11", 25), ("1999-12", 775), ("2000-01", 200)]
+    assert all(r["bin"] is None for r in rows if r["chart"] == 1)
+    assert sorted(r["count"] for r in rows if r["chart"] == 0) == [142] + [143] * 6
+    assert [(r["label"], r["count"]) for r in rows if r["chart"] == 2] == [("1999-11-30", 25)]
+
+
 def test_concept_roots(spark):
     names = ["age_group", "employment_status", "unemployed", "social_determinant_score", "Zip_Code", "visit_count", "other"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
