@@ -3,10 +3,12 @@
 Documents become sets of word shingles; equal sets are one class. Shingles are ordered by how often they
 occur, rare ones first, so that a set's first few shingles (its prefix) are rare; two linked sets share at
 least ``needed`` shingles of their prefixes. Similar sets are grouped: around pivots that agree in a
-minimum hash, and, where no link to a pivot holds, by the minimum hash alone. Every group's row of the
+minimum hash, and, where no link to a pivot holds, by the minimum hash alone. Sets whose marks, a few bits
+per set, differ by more than two linked sets can are never compared further. Every group's row of the
 matrix holds the union of its members' prefix shingles, their sizes and how much follows. A set then asks
 the matrix for the other groups, the overlap with a group's union bounds the overlap with every member,
-and only groups that the bound does not rule out are opened and verified with whole sets.
+and only groups that the bound does not rule out are opened. Of a set and a group the likeliest link is
+verified first, with whole sets; the others only if the two are not in one component after that.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ GROUP, KNOWN_WORDS, AT_ONCE, MAX_BROADCAST = 32, 300_000, 1_000_000, 1_000_000
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 #: An ordered shingle is its level above 57 bits of its hash.
 _HASH_BITS = 57
+#: Numbers of 64 bits that the marks of a set have.
+MARKS = 8
 
 
 class Shingles:
@@ -132,11 +136,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64)))
 
 
-SETS = "doc_id long, hash long, n int, key1 long, key2 long, low1 long, low2 long, prefix array<long>"
+def _marks(shingles: np.ndarray) -> np.ndarray:
+    """One bit per hash value, set if an odd number of shingles has it."""
+    odd = np.bincount((shingles & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SETS = "doc_id long, hash long, n int, key1 long, key2 long, low1 long, low2 long, prefix array<long>, marks array<long>"
 
 
 def shingle_sets(docs: DataFrame, words: int, levels, num: int, den: int) -> DataFrame:
-    """Per row the set's size, a 128-bit key of the set, two minimum hashes and the prefix."""
+    """Per row the set's size, a 128-bit key of the set, two minimum hashes, the prefix and the marks."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _in_chunks(batches, words, "doc_id", "hash"):
@@ -150,8 +160,9 @@ def shingle_sets(docs: DataFrame, words: int, levels, num: int, den: int) -> Dat
                     pa.array(half([s[0] if len(s) else 0 for s in sets])),
                     pa.array(half([(s * _M1).min() if len(s) else 0 for s in sets])),
                     _lists([x[: len(x) + (-num * len(x) // den) + 1] if len(x) else x for x in ordered]),
+                    _lists([_marks(s) for s in sets]),
                 ],
-                names=["doc_id", "hash", "n", "key1", "key2", "low1", "low2", "prefix"],
+                names=["doc_id", "hash", "n", "key1", "key2", "low1", "low2", "prefix", "marks"],
             )
 
     return docs.mapInArrow(describe, SETS)
@@ -188,6 +199,12 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _marks_fit(marks_a: Column, marks_b: Column, a: Column, b: Column, num: int, den: int) -> Column:
+    """Whether the marks allow a link: every bit that differs stands for a shingle that only one set has."""
+    apart = sum((F.bit_count(marks_a[i].bitwiseXOR(marks_b[i])) for i in range(1, MARKS)), F.bit_count(marks_a[0].bitwiseXOR(marks_b[0])))
+    return apart <= a + b - 2 * least_overlap(a, b, num, den)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The linked ones of pairs (a, b) of classes, by their whole sets."""
     either = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
@@ -204,32 +221,19 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
     whole = staged(chosen.mapInArrow(tokens, "rep long, tokens array<long>"), "whole")
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            def rows(name: str):
-                column = batch.column(name)
-                flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
-
-            linked = []
-            for x, y in zip(rows("tokens_a"), rows("tokens_b")):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(den * common >= num * (len(x) + len(y) - common))
-            kept = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
-
     both = (
         pairs.join(whole.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a")
         .join(whole.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-        .select("a", "b", "tokens_a", "tokens_b")
+        .select("a", "b", F.size("tokens_a").alias("n_a"), F.size("tokens_b").alias("n_b"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
     )
-    return staged(both.mapInArrow(link, "a long, b long"), "links")
+    linked = F.lit(den).cast("long") * F.col("common") >= F.lit(num).cast("long") * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    return staged(both, "common").where(linked).select("a", "b")
 
 
 def _shared_prefix(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes have enough in common for a link."""
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    """The pairs (a, b) whose marks allow a link and whose prefixes have enough in common for one."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"), F.col("marks").alias(f"marks_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_marks_fit(F.col("marks_a"), F.col("marks_b"), F.col("n_a"), F.col("n_b"), num, den))
     common = F.size(F.array_intersect("prefix_a", "prefix_b"))
     return both.where(common >= needed(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
 
@@ -255,18 +259,18 @@ def _pivot_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _grouped(sets: DataFrame, first: DataFrame) -> DataFrame:
-    """rep, n, prefix, component and component_size: the linked sets by component, the others in groups.
+    """rep, n, prefix, marks, component and component_size: the linked sets by component, the others in groups.
 
     Sets without a link join others of their minimum hash, about GROUP at a time; such a group counts as a
     component of size 1, whose members are yet to be compared.
     """
     sizes = first.groupBy("component").agg(F.count("*").alias("component_size"))
-    placed = sets.select("rep", "n", "prefix", "low1").join(first.withColumnRenamed("node", "rep"), "rep", "left").join(sizes, "component", "left")
+    placed = sets.select("rep", "n", "prefix", "marks", "low1").join(first.withColumnRenamed("node", "rep"), "rep", "left").join(sizes, "component", "left")
     alone = placed.where(F.col("component").isNull())
     crowds = alone.groupBy("low1").agg(F.ceil(F.count("*") / GROUP).alias("chunks")).where("chunks > 1")
     chunk = F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1)))
     named = alone.join(crowds, "low1", "left").withColumn("component", F.xxhash64(F.lit("alone"), "low1", chunk))
-    names = ["rep", "n", "prefix", "component"]
+    names = ["rep", "n", "prefix", "marks", "component"]
     return placed.where(F.col("component").isNotNull()).select(*names, "component_size").union(named.select(*names, F.lit(1).cast("long").alias("component_size")))
 
 
@@ -274,10 +278,10 @@ def _pairs_within(members: DataFrame, num: int, den: int) -> DataFrame:
     """Possible links inside the groups of sets without links, compared within the group's row."""
     groups = (
         members.where("component_size = 1").groupBy("grp")
-        .agg(F.collect_list(F.struct("rep", "n", "prefix")).alias("inside")).where(F.size("inside") > 1)  # about GROUP members
+        .agg(F.collect_list(F.struct("rep", "n", "prefix", "marks")).alias("inside")).where(F.size("inside") > 1)  # about GROUP members
     )
     linked = lambda a, b: (
-        (b["rep"] < a["rep"]) & _sizes_fit(a["n"], b["n"], num, den)
+        (b["rep"] < a["rep"]) & _sizes_fit(a["n"], b["n"], num, den) & _marks_fit(a["marks"], b["marks"], a["n"], b["n"], num, den)
         & (F.size(F.array_intersect(a["prefix"], b["prefix"])) >= needed(a["n"], b["n"], num, den))
     )
     pairs = F.flatten(
@@ -286,18 +290,24 @@ def _pairs_within(members: DataFrame, num: int, den: int) -> DataFrame:
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _matrix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets of different components from the groups that the matrix does not rule out.
+def _by_group(sets: DataFrame) -> DataFrame:
+    """The sets with ``grp``, a number of their group: about GROUP members of one component."""
+    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("component_size") / GROUP))
+    return sets.withColumn("grp", F.xxhash64("component", chunk))
+
+
+def _matrix_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(query, grp, possible): the possible links of sets with groups of other components, likeliest first.
 
-    ``sets`` has rep, n, prefix, component and component_size. Of two components the smaller one asks
+    Only groups that the matrix does not rule out are compared; a row holds about GROUP links at most.
+
+    ``members`` has rep, n, prefix, component, component_size and grp. Of two components the smaller one asks
     (the smaller number, if equally large), so the sets of a large one never meet each other. Where the
     first shingle that two linked sets share stands, both must have as many shingles left as a link takes;
     a row of the matrix holds the most that any member has left, and other rows are not asked.
     """
     rank = F.struct("component_size", "component")
-    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("component_size") / GROUP))
-    members = sets.withColumn("grp", F.xxhash64("component", chunk)).withColumn("rank", rank)
-    tokens = members.select("rep", "n", "grp", "rank", "component", F.posexplode("prefix").alias("at", "token"))
+    tokens = members.withColumn("rank", rank).select("rep", "n", "grp", "rank", "component", F.posexplode("prefix").alias("at", "token"))
     tokens = tokens.withColumn("rest", F.col("n") - F.col("at")).drop("at")
     live = staged(
         tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -322,23 +332,47 @@ def _matrix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
             (asking["token"] == matrix["token"]) & (F.col("rank") < F.col("grp_rank")) & (high * den >= n * num) & (n * den >= low * num)
             & (F.least("rest", "grp_rest") >= least_overlap(n, smallest, num, den))
             & (F.col("asks") >= least_needed(n, low, high, num, den)),
-        ).select(F.col("rep").alias("query"), F.col("n").alias("query_n"), "grp").distinct(),
+        ).select(F.col("rep").alias("query"), "grp").distinct(),
         "opened",
     )
     inside = (
         members.join(opened.select("grp").distinct(), "grp", "left_semi").groupBy("grp")
-        .agg(F.collect_list(F.struct("rep", "n", "prefix")).alias("inside"))  # about GROUP members
+        .agg(F.collect_list(F.struct("rep", "n", "prefix", "marks")).alias("inside"))  # about GROUP members
+    )
+    asks = members.select(F.col("rep").alias("query"), F.col("n").alias("query_n"), F.col("prefix").alias("query_prefix"), F.col("marks").alias("query_marks"))
+    # Members are compared within the row of the query and the group.
+    room = lambda m: F.when(
+        _sizes_fit(m["n"], F.col("query_n"), num, den) & _marks_fit(m["marks"], F.col("query_marks"), m["n"], F.col("query_n"), num, den),
+        F.size(F.array_intersect(m["prefix"], F.col("query_prefix"))) - needed(m["n"], F.col("query_n"), num, den),
+    ).otherwise(F.lit(-1).cast("long"))
+    compared = F.transform("inside", lambda m: F.struct(room(m).alias("room"), m["rep"].alias("rep")))
+    possible = F.transform(F.sort_array(F.filter(compared, lambda m: m["room"] >= 0), asc=False), lambda m: m["rep"])
+    found = opened.join(inside, "grp").join(asks, "query").select("query", "grp", possible.alias("possible"))
+    return staged(found, "possible").where(F.size("possible") > 0)
+
+
+def _ordered_pair(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _still_apart(possible: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
+    """The possible links, but the likeliest of each row, of sets that are not in one component by now.
+
+    A row whose query and group are in one component is dropped before its links become rows.
+    """
+    now = staged(
+        members.select("rep", "grp").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("rep", "grp", F.coalesce("component", "rep").alias("own")),
+        "now",
     )
-    asks = members.select(F.col("rep").alias("query"), F.col("prefix").alias("query_prefix"))
-    # Members are compared within the row of the query and the group; only possible links become rows.
-    possible = F.filter(
-        "inside",
-        lambda m: _sizes_fit(m["n"], F.col("query_n"), num, den)
-        & (F.size(F.array_intersect(m["prefix"], F.col("query_prefix"))) >= needed(m["n"], F.col("query_n"), num, den)),
+    spans = now.groupBy("grp").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    apart = (
+        possible.where(F.size("possible") > 1).join(spans, "grp")
+        .join(now.select(F.col("rep").alias("query"), F.col("own").alias("query_own")), "query")
+        .where((F.col("low") != F.col("query_own")) | (F.col("high") != F.col("query_own")))
+        .select("query", "query_own", F.explode(F.slice("possible", F.lit(2), F.size("possible"))).alias("rep"))
     )
-    pairs = opened.join(inside, "grp").join(asks, "query").select("query", F.explode(possible).alias("m"))
-    across = pairs.select(F.greatest("m.rep", "query").alias("a"), F.least("m.rep", "query").alias("b"))
-    return across.union(_pairs_within(members, num, den)).distinct()
+    return apart.join(now, "rep").where(F.col("own") != F.col("query_own")).select(*_ordered_pair("query", "rep")).distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -368,17 +402,25 @@ def linked_rows(docs: DataFrame, words: int, similarity: tuple[int, int], unname
     sets = staged(shingle_sets(rows, words, levels, num, den), "sets")
     key = ["key1", "key2"]
     # A class goes by the hash of one of its texts: other classes have other texts, whatever their doc_ids.
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "n", "low1", "low2", "prefix")).alias("x")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "n", "low1", "low2", "prefix", "marks")).alias("x")
     classes = staged(
         sets.where((F.col("n") > 0) & (F.col("doc_id").isNotNull() | F.lit(unnamed))).groupBy(*key).agg(one)
-        .select(*key, F.col("x.hash").alias("rep"), "x.doc_id", "x.n", "x.low1", "x.low2", "x.prefix"),
+        .select(*key, F.col("x.hash").alias("rep"), "x.doc_id", "x.n", "x.low1", "x.low2", "x.prefix", "x.marks"),
         "classes",
     )
     near = verified(_pivot_pairs(classes, num, den), classes, rows, words, num, den)
     first = connected_components(near)
     placed = staged(_grouped(classes, first), "placed")
-    far = verified(_matrix_pairs(placed, num, den), classes, rows, words, num, den)
-    last = connected_components(near.union(far)).withColumnRenamed("node", "rep")
+    members = _by_group(placed)
+    possible = _matrix_links(members, num, den)
+    # A link joins whole components, so that of a set with a group the likeliest is verified first.
+    likeliest = possible.select("query", F.col("possible")[0].alias("rep")).select(*_ordered_pair("query", "rep"))
+    links = near.union(verified(likeliest.union(_pairs_within(members, num, den)).distinct(), classes, rows, words, num, den))
+    last = connected_components(links)
+    rest = staged(_still_apart(possible, members, last), "rest")
+    if not rest.isEmpty():
+        last = connected_components(links.union(verified(rest, classes, rows, words, num, den)))
+    last = last.withColumnRenamed("node", "rep")
     least = last.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = classes.select(*key, "rep", "doc_id").join(last.join(least, "component"), "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component"), F.coalesce("least", "doc_id").alias("component_id")

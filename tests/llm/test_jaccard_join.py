@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.llm.components import connected_components
+from sightline.llm import jaccard_join
 from sightline.llm.jaccard_join import least_needed, ngram_jaccard_join
 from sightline.llm.queries import op5_ngram_jaccard
 from tests.llm.conftest import no_documents, odd_documents, rows_of
@@ -136,3 +138,31 @@ def test_texts_that_share_an_id_keep_their_own_components(spark):
     rows = [(1, first), (2, first + " z"), (2, other), (3, other + " z"), (4, last)]
     got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, (8, 10)).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)]
+
+
+def test_marks_rule_out_no_link_and_most_of_what_is_below(spark):
+    rng = np.random.default_rng(2)
+    rows, linked, below = [], [], []
+    for i in range(300):
+        n = int(rng.integers(20, 300))
+        base = rng.integers(0, 2**63, n + n // 4, dtype=np.uint64)
+        cut = int(rng.integers(0, n // 5))
+        a, b = base[:n], base[cut : n + int(rng.integers(0, n // 4))]
+        common = len(np.intersect1d(a, b))
+        share = 100 * common / (len(a) + len(b) - common)
+        (linked if share >= 90 else below if share < 80 else []).append(i)
+        rows.append((i, len(a), len(b), jaccard_join._marks(a).tolist(), jaccard_join._marks(b).tolist()))
+    df = spark.createDataFrame(rows, "i long, a int, b int, x array<long>, y array<long>")
+    fit = jaccard_join._marks_fit(F.col("x"), F.col("y"), F.col("a"), F.col("b"), 90, 100)
+    kept = {r["i"] for r in df.where(fit).select("i").collect()}
+    assert len(linked) > 10 and len(below) > 100
+    assert set(linked) <= kept and len(kept & set(below)) < len(below) / 10
+
+
+def test_links_of_joined_components_do_not_become_rows(spark):
+    """A set that its likeliest link joins to a component asks none of the others there."""
+    members = spark.createDataFrame([(i, 7) for i in range(1, 31)] + [(40, 8), (41, 9)], "rep long, grp long")
+    possible = spark.createDataFrame([(40, 7, list(range(1, 31))), (41, 7, [3, 2, 1])], "query long, grp long, possible array<long>")
+    components = spark.createDataFrame([(i, 1) for i in [*range(1, 31), 40]], "node long, component long")
+    got = jaccard_join._still_apart(possible, members, components).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(41, 1), (41, 2)]
