@@ -27,7 +27,7 @@ from sightline.llm.components import connected_components
 #: Counters that shingles are hashed to, 2 ** COUNTERS_LOG of one byte each for every worker, in parts.
 COUNTERS_LOG, PARTS_LOG = 24, 8
 #: Members of a group, words that a worker remembers, shingles worked on at once, rows to broadcast.
-GROUP, KNOWN_WORDS, AT_ONCE, MAX_BROADCAST = 32, 300_000, 1_000_000, 1_000_000
+GROUP, KNOWN_WORDS, AT_ONCE, MAX_BROADCAST = 32, 100_000, 250_000, 1_000_000
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 #: An ordered shingle is its level above 57 bits of its hash.
 _HASH_BITS = 57
@@ -63,6 +63,7 @@ class Shingles:
 def _in_chunks(batches: Iterator[pa.RecordBatch], words: int, *names: str) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
     """The named columns' values and the shingle sets of a bounded number of shingles at once."""
     shingles, ids, sets, size = Shingles(words), [], [], 0
+    pa.default_memory_pool().release_unused()  # a worker serves several stages
     for batch in batches:
         for *row, text in zip(*[batch.column(n).to_pylist() for n in names], batch.column("text")):
             ids.append(tuple(row))
