@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.session import shared_folder
 from sightline.sources.tables import table
 
-__all__ = ["WORD", "mixed", "pick", "positioned", "staged", "table", "word_count"]
+__all__ = ["WORD", "mixed", "parted", "pick", "positioned", "staged", "table", "word_count"]
 
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,5 +75,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def parted(rows: pa.Array | pa.RecordBatch, size: int = 256) -> Iterator[pa.Array | pa.RecordBatch]:
+    """Consecutive parts of a batch or column: as Python objects, its values would take several times its room."""
+    for start in range(0, len(rows), size):
+        yield rows.slice(start, size)
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

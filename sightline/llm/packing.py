@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import pick, positioned, staged
+from sightline.llm.common import parted, pick, positioned, staged
 
 #: Characters of a word, or white space beyond one a word, from which on a text goes to the slow library.
 LONG_RUN = 1_000
@@ -96,7 +96,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 2
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        pa.default_memory_pool().release_unused()  # a worker serves several stages
+        for batch in (part for whole in batches for part in parted(whole)):
             out: list[list] = [[], [], [], [], []]
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(texts)):

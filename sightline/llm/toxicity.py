@@ -18,9 +18,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
-from sightline.llm.common import pick, staged
+from sightline.llm.common import parted, pick, staged
 
 # Words to start from; labels add the words of the corpus.
 INSULTS = (
@@ -114,22 +114,23 @@ class Features:
 
 
 def with_features(docs: DataFrame, weights: dict[str, float], *names: str) -> DataFrame:
-    """The named columns and ``features``, from a table with these and text."""
-    kept = docs.select(*names)
-    schema = StructType([*kept.schema.fields, StructField("features", ArrayType(DoubleType()))])
+    """The named columns and ``features``, from a table with these and text.
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Python gets nothing but the texts, however wide the rows, and reads a few at once.
+    """
+
+    def features(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tell = Features(weights)
-        for batch in batches:
-            rows = [tell(x) for x in batch.column("_text").to_pylist()]
-            flat = np.array(rows, dtype=np.float64).reshape(-1)
+        pa.default_memory_pool().release_unused()  # a worker serves several stages
+        for column in columns:
+            rows = [np.array([tell(x) for x in part.to_pylist()], dtype=np.float64).reshape(-1) for part in parted(column)]
+            flat = np.concatenate([np.zeros(0), *rows])
             offsets = pa.array(np.arange(0, len(flat) + 1, len(FEATURES)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*names, "features"]
-            )
+            yield pa.ListArray.from_arrays(offsets, pa.array(flat))
 
-    # The text goes first: it may be among the named columns.
-    return docs.select(F.col("text").alias("_text"), *names).mapInArrow(features, schema)
+    # Nondeterministic only in name: else a filter on the score would have every text read twice.
+    tell = F.arrow_udf(features, ArrayType(DoubleType())).asNondeterministic()
+    return docs.select(*names, tell("text").alias("features"))
 
 
 def learn_terms(labelled: DataFrame, min_docs: int = 4, min_log_odds: float = 1.5, min_z: float = 2.5, max_terms: int = 3_000) -> dict[str, float]:
@@ -142,8 +143,9 @@ def learn_terms(labelled: DataFrame, min_docs: int = 4, min_log_odds: float = 1.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(terms_of(text or ""))
+            for part in parted(batch.column("text")):
+                for text in part.to_pylist():
+                    found.update(terms_of(text or ""))
         yield pa.RecordBatch.from_arrays(
             [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"]
         )

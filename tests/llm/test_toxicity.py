@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def test_features():
     assert terms_of("Abcd, x") == {"abcd", "abc-"}
 
 
+def test_carried_rows_stay_out_of_python(spark):
+    docs = spark.createDataFrame([(i, f"you are trash {i}" if i % 2 else f"a fine day {i}", "en", "s", i) for i in range(60)], DOC)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    scored = score_toxicity(docs, labels, carry=True)
+    assert sorted(tuple(r["row"]) for r in scored.collect()) == sorted(tuple(r) for r in docs.collect())
+    kept = scored.where("predicted = 0").select("row.*")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    # Python is asked once, and for one column.
+    asked = re.findall(r"ArrowEvalPython \[features\((.*?)\)#", plan)
+    assert "InArrow" not in plan and len(asked) == 1 and "," not in asked[0]
+    assert kept.count() in range(28, 33)
+
+
 def test_rare_terms_are_weighed_among_many_frequent_ones(spark):
     many = " ".join(f"{i:05d}abc" for i in range(15_000))
     rows = [(1, i < 6, i < 5) for i in range(20)] + [(0, i < 30, False) for i in range(200)]
